@@ -6,20 +6,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import exact_dedup
+from varve.llm import exact_dedup, mixing, packing
 from varve.llm.common import table
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_mixing": op3_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_packing": op10_packing,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": r"""
+WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k,
+                  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS weight FROM d GROUP BY source),
+l AS (SELECT *, 3 * source_size AS most, row_number() OVER o AS pos,
+             CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0) AS BIGINT) AS rest,
+             CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS BIGINT) AS heft
+      FROM s WINDOW o AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source IS NULL, source),
+                    b AS (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT *, most < CAST(rest AS DOUBLE) * weight / heft AS held FROM l),
+f AS (SELECT rest AS free_rest, heft AS free_heft FROM h WHERE NOT held ORDER BY pos LIMIT 1),
+g AS (SELECT source, source_size, CASE WHEN held THEN CAST(most AS DOUBLE) ELSE CAST(free_rest AS DOUBLE) * weight / free_heft END AS target FROM h, f),
+q AS (SELECT doc_id, d.source, k, size, source_size, target,
+             CAST(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+e AS (SELECT *, greatest(0, least(size, CAST(floor(target) AS BIGINT) - (epoch * source_size + start))) AS piece
+      FROM q, (SELECT unnest([0, 1, 2]) AS epoch)),
+m AS (SELECT doc_id, epoch, source, k, CAST(sum(piece) OVER (ORDER BY CAST(epoch * source_size + start + piece AS DOUBLE) / target,
+             source IS NULL, source, k, doc_id, epoch ROWS UNBOUNDED PRECEDING) - piece AS BIGINT) AS mix_start FROM e WHERE piece > 0),
+t AS (SELECT doc_id, size, source_size, target, CAST(sum(piece) AS BIGINT) AS taken FROM e GROUP BY ALL)
+SELECT t.doc_id, size, source_size, target, taken, coalesce(mix_start, -1) AS mix_start FROM t LEFT JOIN m ON t.doc_id = m.doc_id AND m.epoch = 0""",
     "op9_exact_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
