@@ -23,6 +23,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +84,12 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, words))
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that its words stay known."""
+    return Encoder(path)
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -94,7 +101,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str | None, cap
     end = np.array([END_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path or tokenizer_path())
+        encoder = encoder_of(path or tokenizer_path())
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
