@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varve.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from varve.llm import exact_dedup, language, mixing, near_dedup, packing, pii, quality, toxicity
 from varve.llm.common import table
 
 
@@ -14,14 +14,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -32,8 +44,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
+    "op5_pii": op5_pii,
     "op7_near_dedup": op7_near_dedup,
+    "op8_language": op8_language,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
