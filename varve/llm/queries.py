@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from varve.llm import exact_dedup, language, mixing, near_dedup, packing, pii, quality, toxicity
+from varve.llm import exact_dedup, language, mixing, near_dedup, packing, pii, quality, topk, toxicity
 from varve.llm.common import table
 
 
@@ -26,6 +27,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest(table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op5_pii": op5_pii,
+    "op6_topk": op6_topk,
     "op7_near_dedup": op7_near_dedup,
     "op8_language": op8_language,
     "op9_exact_dedup": op9_exact_dedup,
@@ -77,6 +83,13 @@ m AS (SELECT doc_id, epoch, source, k, CAST(sum(piece) OVER (ORDER BY CAST(epoch
              source IS NULL, source, k, doc_id, epoch ROWS UNBOUNDED PRECEDING) - piece AS BIGINT) AS mix_start FROM e WHERE piece > 0),
 t AS (SELECT doc_id, size, source_size, target, CAST(sum(piece) AS BIGINT) AS taken FROM e GROUP BY ALL)
 SELECT t.doc_id, size, source_size, target, taken, coalesce(mix_start, -1) AS mix_start FROM t LEFT JOIN m ON t.doc_id = m.doc_id AND m.epoch = 0""",
+    "op6_topk": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM c)
+SELECT * FROM r WHERE rank <= 10""",
     "op9_exact_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
