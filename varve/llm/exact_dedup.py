@@ -231,23 +231,22 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(combine, LOCAL).repartition("bytes", "sha").mapInArrow(merge, OWNERS)
 
 
-def tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` under ``row`` with their owner's columns."""
-    keys = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), normal_text(F.col(text_col)).alias("text"))
-    keys = keys.select("row", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha"))
-    return keys.join(owners(docs, id_col, text_col), ["bytes", "sha"])
+def keyed(docs: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
+    """``row`` of each row, with its id and its text's length and hash."""
+    keys = docs.select(row.alias("row"), F.col(id_col).cast("long").alias("id"), normal_text(F.col(text_col)).alias("text"))
+    return keys.select("row", "id", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha"))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: its owner, its group's size, and whether it stays."""
-    found = tagged(docs.select(id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).select("id", "text"), "id", "text")
+    found = keyed(docs, id_col, text_col, F.lit(0)).join(owners(docs, id_col, text_col), ["bytes", "sha"])
     keep = F.when(F.col("keep_id") != NO_ID, F.col("keep_id"))
-    return found.select(F.col("row.id").alias("doc_id"), keep.alias("keep_id"), "group_size", F.col("row.id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
+    return found.select(F.col("id").alias("doc_id"), keep.alias("keep_id"), "group_size", F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; one row where a document repeats as a whole."""
-    found = tagged(docs, id_col, text_col)
-    found = found.where(F.coalesce(F.col(f"row.{id_col}").cast("long"), F.lit(NO_ID)) == F.col("keep_id"))
+    rows = keyed(docs, id_col, text_col, F.struct(*(docs[c] for c in docs.columns))).withColumn("keep_id", F.coalesce("id", F.lit(NO_ID)))
+    found = rows.join(owners(docs, id_col, text_col).select("bytes", "sha", "keep_id", "own"), ["bytes", "sha", "keep_id"])
     once, again = found.where("own = 1"), found.where("own > 1").dropDuplicates(["bytes", "sha"])
     return once.unionByName(again).select("row.*")

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -220,8 +221,6 @@ def score(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: s
 
 def score_column(model: Attention, session) -> Column:
     """A vectorised function of a text column: the score, beside whatever columns a row has."""
-    import pandas as pd
-
     shared = session.sparkContext.broadcast(model)
 
     def scores(texts: pd.Series) -> pd.Series:

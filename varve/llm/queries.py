@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varve.llm import exact_dedup, language, mixing, near_dedup, packing, pii, quality, topk, toxicity
+from varve.llm import exact_dedup, language, licenses, mixing, near_dedup, packing, pii, quality, topk, toxicity
 from varve.llm.common import table
 
 
@@ -23,6 +23,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.scan(docs.select(F.col("doc_id").alias("id"), licenses.tree_path(F.col("doc_id"), F.col("source")).alias("path"), "text"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
+    "op4_licenses": op4_licenses,
     "op5_pii": op5_pii,
     "op6_topk": op6_topk,
     "op7_near_dedup": op7_near_dedup,
