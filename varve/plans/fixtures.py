@@ -111,13 +111,13 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event log: ``name, event_id, prev_id, kind, at``; some back links skip an event."""
+    """Event log: ``name, event_id, prev_id, kind, stamp``; some back links skip an event."""
     c = read(spark, sf_dir, "conversations")
     t = F.col("turn")
     prev = F.when(t == 0, None).when((t >= 2) & ((F.col("conv_id") + t) % 13 == 0), t - 2).otherwise(t - 1)
-    kinds = ("create", "claim", "stop", "start", "release")
+    kinds = ("force_claim", "claim", "stop", "start", "release")
     kind = F.element_at(F.array(*map(F.lit, kinds)), (t % len(kinds) + 1).cast("int"))
-    return c.select(F.col("conv_id").alias("name"), t.alias("event_id"), prev.alias("prev_id"), kind.alias("kind"), (F.col("conv_id") * 1000 + t).alias("at"), F.length("text").cast("long").alias("payload"))
+    return c.select(F.col("conv_id").alias("name"), t.alias("event_id"), prev.alias("prev_id"), kind.alias("kind"), (F.col("conv_id") * 1000 + t).alias("stamp"), F.length("text").cast("long").alias("payload"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ SQL = {
       CASE WHEN c_custkey % 4 = 0 THEN 'skeleton' WHEN c_custkey % 4 = 1 THEN 'unclassified' ELSE 'anchor' END AS role FROM customer)""",
     "journal": """journal AS (SELECT conv_id AS name, turn AS event_id,
       CASE WHEN turn = 0 THEN NULL WHEN turn >= 2 AND (conv_id + turn) % 13 = 0 THEN turn - 2 ELSE turn - 1 END AS prev_id,
-      ['create', 'claim', 'stop', 'start', 'release'][turn % 5 + 1] AS kind, conv_id * 1000 + turn AS at, CAST(length(text) AS BIGINT) AS payload FROM conversations)""",
+      ['force_claim', 'claim', 'stop', 'start', 'release'][turn % 5 + 1] AS kind, conv_id * 1000 + turn AS stamp, CAST(length(text) AS BIGINT) AS payload FROM conversations)""",
     "requests": f"""requests AS (SELECT event_id AS request_id, (event_id * 31) % {LOG_SPACE} AS start_lba, (event_id * 31) % {LOG_SPACE} + 1 + event_id % 16 AS end_lba FROM events WHERE event_id % 10 = 0)""",
     "window": f"""win AS (SELECT (s_suppkey * 37) % {LOG_SPACE} AS start_lba, s_suppkey % 9 AS lba_length FROM supplier)""",
     # the current map of the write log, by last write
