@@ -92,7 +92,8 @@ def image(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     if side == "a":
         return f.where("file_id % 7 <> 3")
     f = f.where("file_id % 7 <> 5")
-    changed = F.when(F.col("file_id") % 5 == 0, F.concat("body", F.lit(" changed"))).otherwise(F.col("body"))
+    over = F.concat(F.lit("X"), F.expr("substring(body, 2)"))
+    changed = F.when(F.col("file_id") % 10 == 0, F.concat("body", F.lit(" changed"))).when(F.col("file_id") % 10 == 5, over).otherwise(F.col("body"))
     moved = F.when(F.col("file_id") % 11 == 4, F.concat(F.lit("/moved"), F.col("path"))).otherwise(F.col("path"))
     return f.select("file_id", moved.alias("path"), changed.alias("body")).select("file_id", "path", "body", F.sha2("body", 256).alias("hash"), F.octet_length("body").cast("long").alias("bytes"))
 
@@ -156,7 +157,7 @@ SQL = {
       o_orderdate AS created, CAST(floor(o_totalprice) AS BIGINT) AS bytes FROM orders)""",
     "files": """files AS (SELECT doc_id AS file_id, '/' || source || '/' || lang || '/' || (doc_id // 100) || '/' || doc_id AS path, text AS body, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS bytes FROM documents)""",
     "image_a": """image_a AS (SELECT * FROM files WHERE file_id % 7 <> 3)""",
-    "image_b": """image_b0 AS (SELECT file_id, CASE WHEN file_id % 11 = 4 THEN '/moved' || path ELSE path END AS path, CASE WHEN file_id % 5 = 0 THEN body || ' changed' ELSE body END AS body FROM files WHERE file_id % 7 <> 5),
+    "image_b": """image_b0 AS (SELECT file_id, CASE WHEN file_id % 11 = 4 THEN '/moved' || path ELSE path END AS path, CASE WHEN file_id % 10 = 0 THEN body || ' changed' WHEN file_id % 10 = 5 THEN 'X' || substr(body, 2) ELSE body END AS body FROM files WHERE file_id % 7 <> 5),
       image_b AS (SELECT *, sha256(body) AS hash, CAST(strlen(body) AS BIGINT) AS bytes FROM image_b0)""",
     "lineage": """lineage AS (SELECT c_custkey AS volume_id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent_id, CASE WHEN c_custkey > 1 THEN c_custkey * 10 - c_custkey % 7 END AS branch_snapshot,
       CASE WHEN c_custkey % 9 = 0 THEN [c_custkey - 3, c_custkey - 5] ELSE [] END AS sources,
