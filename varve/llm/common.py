@@ -41,6 +41,17 @@ def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(key: str, make):
+    """What a Python worker keeps from task to task, of one operator at a time: ``make()`` on first use."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def crc_part(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's decimal text modulo ``parts``; null ids are in part 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(0))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.llm.common import crc_part
+from varve.llm.common import crc_part, kept
 
 UNKNOWN = "und"
 #: Documents of each language that the field is fitted to, at most.
@@ -259,17 +259,6 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit([(lang, words.split()) for lang, words in zip(table.column("lang").to_pylist(), table.column("words").to_pylist(), strict=True)])
 
 
-_EMISSIONS: dict[str, Emissions] = {}
-
-
-def emissions_of(key: str, field: Field) -> Emissions:
-    """One for all tasks of a Python worker that label with the same field."""
-    if key not in _EMISSIONS:
-        _EMISSIONS.clear()
-        _EMISSIONS[key] = Emissions(field)
-    return _EMISSIONS[key]
-
-
 def label(texts: list[str | None], emissions: Emissions) -> list[tuple[str, float, int]]:
     """``(language, score, switches)`` of each text."""
     field, out = emissions.field, [(UNKNOWN, 0.0, 0)] * len(texts)
@@ -310,7 +299,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     shared, key = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col)), uuid.uuid4().hex  # 2**BITS weights a language
 
     def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emissions = emissions_of(key, shared.value)
+        emissions = kept(f"language {key}", lambda: Emissions(shared.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

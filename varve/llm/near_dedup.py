@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.common import checkpoint
+from varve.llm.common import checkpoint, kept
 from varve.llm.components import components
 from varve.llm.sketching import Shingler, band_keys, sketch
 
@@ -43,7 +43,7 @@ BINS = 256
 #: Shingles that are sketched at a time.
 AT_ONCE = 300_000
 #: Buckets of more members are searched in blocks of so many members and shingles.
-SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 48, 1024, 2_000_000
+SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 48, 512, 2_000_000
 
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 SETS = "doc_id long, shingles array<long>"
@@ -63,7 +63,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows, bands = banding(percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(width)
+        shingles = kept(f"shingles {width}", lambda: Shingler(width))
 
         def batch_of(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             full = [s for s in sets if len(s)]
@@ -93,7 +93,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, shingles``: the whole sets, sorted."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(width)
+        shingles = kept(f"shingles {width}", lambda: Shingler(width))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -23,14 +23,13 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.llm.common import checkpoint
+from varve.llm.common import checkpoint, kept
 
 #: Ids in a sequence at most.
 CAPACITY = 4096
@@ -42,7 +41,7 @@ FILL_NODES, TAIL_NODES = 300, 20_000
 #: Hash buckets of a length, so that a hot length is counted by many tasks.
 BUCKETS = 1024
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -84,12 +83,6 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, words))
 
 
-@lru_cache(maxsize=1)
-def encoder_of(path: str) -> Encoder:
-    """One encoder for all tasks of a Python worker, so that its words stay known."""
-    return Encoder(path)
-
-
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -101,7 +94,8 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str | None, cap
     end = np.array([END_ID], "<u4").tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path or tokenizer_path())
+        file = path or tokenizer_path()
+        encoder = kept(f"packing {file}", lambda: Encoder(file))
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -18,7 +18,6 @@ empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.common import crc_part
+from varve.llm.common import crc_part, kept
 
 #: Words of a passage.
 PASSAGE = 64
@@ -41,7 +40,7 @@ EPOCHS, RATE, DECAY, BATCH, SEED = 30, 3e-3, 1e-4, 64, 11
 #: Score from which a document is predicted good.
 THRESHOLD = 0.5
 #: Words whose looks a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 LOOKS = 9
 FEATURES = LOOKS + 5 + BUCKETS
@@ -104,12 +103,6 @@ class Passages:
         return out
 
 
-@lru_cache(maxsize=1)
-def passages_of_worker() -> Passages:
-    """One for all tasks of a Python worker, so that its words stay known."""
-    return Passages()
-
-
 class Attention:
     """Encoder, gated attention, and the score of the weighted representation."""
 
@@ -194,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit the attention to ``labels (doc_id, quality)``."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = passages_of_worker()
+        encode = kept("quality", Passages)
         for batch in batches:
             found = [encode(t.as_py()).astype(np.float16).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["id", "label", "bag"])
@@ -209,7 +202,7 @@ def score(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, attention = passages_of_worker(), shared.value
+        encode, attention = kept("quality", Passages), shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
@@ -224,7 +217,7 @@ def score_column(model: Attention, session) -> Column:
     shared = session.sparkContext.broadcast(model)
 
     def scores(texts: pd.Series) -> pd.Series:
-        encode, attention, out = passages_of_worker(), shared.value, []
+        encode, attention, out = kept("quality", Passages), shared.value, []
         for at in range(0, len(texts), 64):
             out.append(attention.scores([encode(t) for t in texts.iloc[at : at + 64]]))
         return pd.Series(np.concatenate(out) if out else np.empty(0))

@@ -17,7 +17,6 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.common import crc_part
+from varve.llm.common import crc_part, kept
 
 #: Labelled rows of each label that the model is fitted to, at most.
 SAMPLE = 3000
@@ -44,17 +43,11 @@ FALSE_COST = 10
 #: Score from which a text is predicted toxic.
 THRESHOLD = 0.7
 #: Words whose terms a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 LETTERS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
-@lru_cache(maxsize=1)
-def terms_of_worker() -> Terms:
-    """One for all tasks of a Python worker, so that its words stay known."""
-    return Terms()
-
-
 class Terms:
     """Hashed terms of whole texts, sorted; the last one stands for the length."""
 
@@ -189,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit the machine to ``labels (doc_id, toxic)``."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = terms_of_worker()
+        terms = kept("toxicity", Terms)
         for batch in batches:
             found = [terms(t.as_py()).astype(np.uint32).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["id", "label", "terms"])
@@ -204,7 +197,7 @@ def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # CHOSEN terms at most
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, machine = terms_of_worker(), shared.value
+        terms, machine = kept("toxicity", Terms), shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
