@@ -36,9 +36,9 @@ from varve.llm.common import checkpoint
 
 K = 10
 #: Routing objects of the upper level at most, and vectors for each of them at least.
-NODES, PER_NODE = 1024, 256
+NODES, PER_NODE = 1024, 2048
 #: Entries of a page, routing objects inside it, and queries of a block and of one visit.
-PAGE, INNER, BLOCK, VISIT = 4096, 48, 128, 8192
+PAGE, INNER, BLOCK, VISIT = 4096, 32, 128, 8192
 
 ASSIGNED = "vec_id long, node int, vec binary"
 HITS = "query_id long, vec_id long, score long"
