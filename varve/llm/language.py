@@ -20,13 +20,14 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +56,14 @@ def words_of(text: str | None) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    """Hashed affixes, n-grams and lexicon entry of a word."""
-    edged = f"^{word[:40]}$"
-    parts = ["=" + word]
-    parts += ["<" + word[:n] for n in (1, 2, 3) if len(word) >= n] + [">" + word[-n:] for n in (1, 2, 3) if len(word) >= n]
-    parts += [edged[i : i + n] for n in (2, 3, 4) for i in range(len(edged) - n + 1)]
+    """Hashed affixes, n-grams (of UTF-8 bytes) and lexicon entry of a word."""
+    body = word.encode(errors="replace")
+    edged = b"^" + body[:64] + b"$"
+    parts = [b"=" + body]
+    parts += [b"<" + body[:n] for n in (2, 3, 4)] + [b">" + body[-n:] for n in (2, 3, 4)]
+    parts += [edged[i : i + n] for n in (2, 3) for i in range(len(edged) - n + 1)]
     mask = (1 << BITS) - 1
-    return [xxhash.xxh3_64_intdigest(p.encode(errors="replace")) & mask for p in parts]
+    return [zlib.crc32(p) & mask for p in parts]
 
 
 class Field:
@@ -73,9 +75,11 @@ class Field:
         self.emit = np.zeros((1 << BITS, k), np.float32)
         self.pass_on = np.eye(k, dtype=np.float32) * 2
 
-    def emission(self, word: str) -> np.ndarray:
-        found = features(word)
-        return self.emit[found].sum(axis=0) / np.sqrt(len(found))
+    def emissions(self, words: list[str]) -> np.ndarray:
+        found = [features(w) for w in words]
+        counts = np.array([len(f) for f in found])
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int64, int(counts.sum()))
+        return np.add.reduceat(self.emit[flat], np.cumsum(counts) - counts) / np.sqrt(counts)[:, None]
 
 
 class Emissions:
@@ -87,21 +91,18 @@ class Emissions:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         known = self.rows
-        rows = np.fromiter((known[w] if w in known else self._row(w) for w in words), np.int64, len(words))
-        return self.table[rows]
+        if fresh := [w for w in set(words) if w not in known]:
+            stop = len(known) + len(fresh)
+            while stop > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[len(known) : stop] = self.field.emissions(fresh)
+            known.update(zip(fresh, range(len(known), stop), strict=True))
+        return self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
     def trim(self) -> None:
         if len(self.rows) > REMEMBERED:
             self.rows.clear()
 
-    def _row(self, word: str) -> int:
-        row = len(self.rows)
-        if row == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[row] = self.field.emission(word)
-        self.rows[word] = row
-        return row
-
 
 def chances(emissions: np.ndarray, lengths: np.ndarray, pass_on: np.ndarray) -> np.ndarray:
     """Each word's chances by forward-backward over chains of the given lengths, all of one word at least."""
