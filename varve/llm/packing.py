@@ -179,10 +179,18 @@ def complete(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int
     return improved(patterns, counts, capacity)
 
 
-def least_sequences(counts: dict[int, int], capacity: int) -> int:
-    """The waste bound: no packing has fewer sequences."""
-    ids = -(-sum(k * v for k, v in counts.items()) // capacity)
-    return max(ids, sum(v for k, v in counts.items() if 2 * k > capacity))
+def least_sequences(counts: dict[int, int], capacity: int, orders: int = 20) -> int:
+    """The waste bound: no packing has fewer sequences.
+
+    The greatest of the volume bound and those of dual feasible functions, which
+    round lengths to k-ths: more than a third of the room counts as a half where
+    only two such pieces fit, and so on.
+    """
+    best = -(-sum(n * v for n, v in counts.items()) // capacity)
+    for k in range(1, orders + 1):
+        total = sum(v * (n * k if (k + 1) * n % capacity == 0 else (k + 1) * n // capacity * capacity) for n, v in counts.items())
+        best = max(best, -(-total // (capacity * k)))
+    return best
 
 
 def improved(patterns: list, counts: dict[int, int], capacity: int) -> list:
