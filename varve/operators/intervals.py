@@ -71,16 +71,20 @@ def installed_if_newer(records: DataFrame, arrival: str, claimant: str, seq: str
     return found.groupBy("seq").agg(F.sum(taken.cast("long")).alias("installed"))
 
 
-def insert_consuming(base: DataFrame, outputs: DataFrame) -> DataFrame:
+def insert_consuming(base: DataFrame, outputs: DataFrame, horizon: bool = False) -> DataFrame:
     """One output's claims laid over a map: taken where the holder is an input, the output itself, or the same hash at a lower id.
 
+    With ``horizon`` a holder is overridden if it is not above the greatest
+    input, whether or not it is one itself.
+
     ``base (lba, start_lba, hash, claimant)`` by block; ``outputs`` records with
     ``hash, claimant, inputs``, at most one for each block. Result by block, with
     ``taken``: whether the output holds it.
     """
     new = blocks(outputs).select("lba", F.col("start_lba").alias("new_start"), F.col("hash").alias("new_hash"), F.col("claimant").alias("new_claimant"), "inputs")
     met = base.join(new, "lba", "full")
-    free = F.col("claimant").isNull() | F.array_contains("inputs", F.col("claimant")) | (F.col("claimant") == F.col("new_claimant"))
+    seen = F.col("claimant") <= F.array_max("inputs") if horizon else F.array_contains("inputs", F.col("claimant"))
+    free = F.col("claimant").isNull() | seen | (F.col("claimant") == F.col("new_claimant"))
     free = free | ((F.col("hash") == F.col("new_hash")) & (F.col("claimant") < F.col("new_claimant")))
     taken = F.col("new_claimant").isNotNull() & F.coalesce(free, F.lit(False))
     pick = lambda new, old: F.when(F.col("taken"), F.col(new)).otherwise(F.col(old))
@@ -179,18 +183,19 @@ def promote_claimants(lbamap: DataFrame, updates: DataFrame, consuming: bool = F
     return out.select("start_lba", "lba_length", "hash", "seq", F.coalesce("raised", "claimant").alias("claimant"), F.col("raised").isNotNull().alias("promoted"))
 
 
-def normalise_ranges(ranges: DataFrame) -> DataFrame:
+def normalise_ranges(ranges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Sorted disjoint ``[start_lba, end_lba)``: empties dropped, overlapping and adjacent ranges joined.
 
-    Ranges are a small relation (windows of a journal), so the running maximum
-    is one window; by bucket it first joins what it can.
+    The running maximum is a window for each group ``by`` (a volume); without
+    one the ranges are a small relation, the windows of one journal.
     """
-    full = ranges.where("lba_length > 0").select("start_lba", end().alias("end_lba"))
-    order = Window.orderBy("start_lba", "end_lba")
+    by = by or []
+    full = ranges.where("lba_length > 0").select(*by, "start_lba", end().alias("end_lba"))
+    order = Window.partitionBy(*by).orderBy("start_lba", "end_lba")
     reach = F.max("end_lba").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = full.withColumn("fresh", F.coalesce((F.col("start_lba") > reach).cast("int"), F.lit(1)))
     marked = marked.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("island").agg(F.min("start_lba").alias("start_lba"), F.max("end_lba").alias("end_lba")).drop("island")
+    return marked.groupBy(*by, "island").agg(F.min("start_lba").alias("start_lba"), F.max("end_lba").alias("end_lba")).drop("island")
 
 
 def contained(points: DataFrame, ranges: DataFrame) -> DataFrame:

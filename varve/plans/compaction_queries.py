@@ -26,6 +26,12 @@ def stats(s, d):
     return gc.segment_stats(classes(s, d))
 
 
+def plan(s, d):
+    """The plan records of a pass; its classification is used five times, so it is kept for the query."""
+    found, held = classes(s, d).persist(), volmap(s, d).persist()
+    return gc.plan_rows(found, gc.candidates(gc.segment_stats(found)), held)
+
+
 STATS = "volume_id, segment_id, total_bytes, retained_bytes, materialised_bytes, live_entries, output_entries, removed_hashes, has_body, pool, density, reclaimable_bytes"
 PAYS = "((pool = 'stable' AND density < 0.7 AND reclaimable_bytes > 0 AND has_body) OR pool = 'tombstone')"
 REAP = (
@@ -66,7 +72,7 @@ QUERIES = {
     ),
     "g09_first_fit_pack": (lambda s, d: gc.packed(stats(s, d), cap_bytes=200_000, cap_entries=60), None),
     "g10_plan": (
-        lambda s, d: gc.plan_rows(classes(s, d), gc.candidates(stats(s, d)), volmap(s, d)),
+        plan,
         prelude("stats")
         + f""", chosen AS (SELECT segment_id FROM stats WHERE {PAYS}), c AS (SELECT * FROM classes WHERE segment_id IN (SELECT segment_id FROM chosen)),
 runs AS (SELECT e.segment_id, e.entry_idx, e.class, e.start_lba AS own, greatest(m.start_lba, e.start_lba) AS lo, least(m.start_lba + m.lba_length, e.start_lba + e.lba_length) AS hi FROM c e JOIN volmap m ON m.volume_id = e.volume_id AND m.claimant = e.segment_id AND m.hash = e.hash
