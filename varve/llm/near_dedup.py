@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varve.llm.common import checkpoint, kept
+from varve.llm.common import checkpoint, kept, small
 from varve.llm.components import components
 from varve.llm.sketching import Shingler, band_keys, sketch
 
@@ -43,7 +43,7 @@ BINS = 256
 #: Shingles that are sketched at a time.
 AT_ONCE = 300_000
 #: Buckets of more members are searched in blocks of so many members and shingles.
-SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 48, 512, 2_000_000
+SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 48, 512, 500_000
 
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 SETS = "doc_id long, shingles array<long>"
@@ -134,9 +134,10 @@ def block_links(percent: int):
         sets = table.column("shingles").combine_chunks()
         flat = sets.flatten().to_numpy()
         sizes = np.diff(sets.offsets.to_numpy())
-        owner = np.repeat(np.arange(len(ids)), sizes)
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
+        del order
         fresh = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, bool)
         column = np.cumsum(fresh) - 1
         shared = np.bincount(column)[column] > 1 if len(flat) else fresh  # a shingle of one member is in no intersection
@@ -179,11 +180,11 @@ def near_links(docs: DataFrame, signed: DataFrame, width: int, percent: int) ->
     ``signed``: the signatures of ``docs (doc_id, text)``.
     """
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"))
-    reps = signed.join(classes, ["doc_id", "set_a", "set_b"], "left_semi").select("doc_id", "n_shingles", "bands")
-    members = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")).distinct()
+    reps = signed.join(classes, ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])
+    members = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("m")).where("m > 1")
     members = checkpoint(members.join(hubs, "bucket"))
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    wanted = small(members.select(F.col("id").alias("doc_id")).distinct())
     sets = checkpoint(shingle_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
     links = verified(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets, percent)
     links = checkpoint(links)
@@ -222,4 +223,5 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the smallest id, and all null ids."""
     gone = digest(docs, id_col, text_col, width, percent).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
+    gone = small(checkpoint(gone))
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
