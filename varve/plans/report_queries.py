@@ -81,7 +81,6 @@ def waits(s, d):
     return fx.read(s, d, "events").select(F.col("event_type").alias("site"), F.floor(F.abs("value") * 100).cast("long").alias("millis"))
 
 
-KIND = F.col("kind")
 QUERIES = {
     "a04_density_census": (
         lambda s, d: re.density_census(aged(s, d)),
@@ -252,11 +251,11 @@ r AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY nth, body_id ROWS BETWEEN UNB
     ),
     "p02_tags": (lambda s, d: fx.files(s, d).select("file_id", sc.stored_tag(sc.content_hash(F.col("body"))).alias("tag")), prelude("files") + "SELECT file_id, substr(sha256(body), 1, 32) AS tag FROM files"),
     "p03_kind_predicates": (
-        lambda s, d: fx.entries(s, d).select("kind").distinct().select("kind", sc.is_canonical(KIND).alias("canonical"), sc.is_data(KIND).alias("data"), sc.is_inline(KIND).alias("inline"), sc.has_body(KIND).alias("body"), sc.is_delta(KIND).alias("delta"), sc.owns_hash(KIND).alias("owns")),
+        lambda s, d: fx.entries(s, d).select("kind").distinct().select("kind", sc.is_canonical(F.col("kind")).alias("canonical"), sc.is_data(F.col("kind")).alias("data"), sc.is_inline(F.col("kind")).alias("inline"), sc.has_body(F.col("kind")).alias("body"), sc.is_delta(F.col("kind")).alias("delta"), sc.owns_hash(F.col("kind")).alias("owns")),
         prelude("entries") + "SELECT DISTINCT kind, kind LIKE 'canonical%' AS canonical, kind IN ('data', 'canonical_data') AS data, kind = 'inline' AS inline, kind IN ('data', 'canonical_data', 'inline') AS body, kind = 'delta' AS delta, kind IN ('data', 'canonical_data', 'inline', 'delta') AS owns FROM entries",
     ),
     "p04_into_canonical": (
-        lambda s, d: fx.entries(s, d).select(sc.as_canonical(KIND).alias("kind"), F.when(sc.as_canonical(KIND) != KIND, 0).otherwise(F.col("lba_length")).alias("n")).groupBy("kind").agg(F.sum("n").cast("long").alias("claimed"), F.count("*").alias("entries")),
+        lambda s, d: fx.entries(s, d).select(sc.as_canonical(F.col("kind")).alias("kind"), F.when(sc.as_canonical(F.col("kind")) != F.col("kind"), 0).otherwise(F.col("lba_length")).alias("n")).groupBy("kind").agg(F.sum("n").cast("long").alias("claimed"), F.count("*").alias("entries")),
         prelude("entries") + "SELECT CASE WHEN kind IN ('data', 'inline', 'delta') THEN 'canonical_' || kind ELSE kind END AS kind, CAST(sum(CASE WHEN kind IN ('data', 'inline', 'delta') THEN 0 ELSE lba_length END) AS BIGINT) AS claimed, count(*) AS entries FROM entries GROUP BY 1",
     ),
     "p05_p06_costs": (
@@ -264,7 +263,7 @@ r AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY nth, body_id ROWS BETWEEN UNB
         prelude("entries") + "SELECT segment_id, entry_idx, stored_length < 256 AS small, CASE WHEN kind = 'delta' THEN delta_length WHEN kind IN ('zero', 'dedup_ref') THEN 0 ELSE stored_length END AS cost FROM entries",
     ),
     "p07_p08_codecs": (
-        lambda s, d: fx.entries(s, d).select("segment_id", "entry_idx", sc.pays_fast_codec(F.col("stored_length"), F.col("stored_length") * 40 * F.col("lba_length") % 7000).alias("pays"), sc.body_codec(F.col("journal"), KIND, F.col("stored_length") * 100, F.col("stored_length") * (F.col("entry_idx") * 40)).alias("codec")),
+        lambda s, d: fx.entries(s, d).select("segment_id", "entry_idx", sc.pays_fast_codec(F.col("stored_length"), F.col("stored_length") * 40 * F.col("lba_length") % 7000).alias("pays"), sc.body_codec(F.col("journal"), F.col("kind"), F.col("stored_length") * 100, F.col("stored_length") * (F.col("entry_idx") * 40)).alias("codec")),
         prelude("entries")
         + "SELECT segment_id, entry_idx, stored_length * 3 // 2 <= stored_length * 40 * lba_length % 7000 AS pays, CASE WHEN journal THEN 'lz4' WHEN kind = 'inline' THEN 'none' WHEN stored_length * 100 > 131072 THEN 'zstd_chunked' WHEN stored_length * entry_idx * 40 < stored_length * 100 THEN 'zstd' ELSE 'none' END AS codec FROM entries",
     ),
