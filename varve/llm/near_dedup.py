@@ -92,37 +92,39 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id, shingles``: the whole sets, sorted."""
 
+    def batch_of(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["doc_id", "shingles"])
+
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = kept(f"shingles {width}", lambda: Shingler(width))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingles(t.as_py()) for t in part.column(1)]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "shingles"])
+            ids, sets, held = [], [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(doc_id)
+                sets.append(shingles(text.as_py()))
+                held += len(sets[-1])
+                if held >= AT_ONCE:
+                    yield batch_of(ids, sets)
+                    ids, sets, held = [], [], 0
+            if ids:
+                yield batch_of(ids, sets)
 
     return docs.mapInArrow(sets_of, SETS)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets have the similarity asked for."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+    """The pairs ``(a, b)`` whose whole sets have the similarity asked for.
 
+    The intersection is taken row by row where the join meets, so a pair of long
+    texts needs the memory of two sets and no batch of them.
+    """
     first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
     second = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return second.select("a", "b", "set_a", "set_b").mapInArrow(keep, "a long, b long")
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    x, y = F.size("set_a"), F.size("set_b")
+    close = (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (both * (100 + percent) >= (x + y) * percent)
+    return second.where(close).select("a", "b")
 
 
 def block_links(percent: int):
