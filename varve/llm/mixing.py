@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.llm.common import WORD_RE, checkpoint
+from varve.llm.common import WORD_RE, checkpoint, small
 
 #: No document is taken more often, so no target is above this many times its source's size.
 EPOCHS = 3
@@ -80,10 +80,10 @@ def schedule(rows: DataFrame, slim: DataFrame) -> DataFrame:
 
     ``slim`` holds the same rows without payload, for the sums by bucket.
     """
-    buckets = slim.groupBy("source_name", "no_source", "bucket").agg(F.sum("size").alias("size"))
+    buckets = checkpoint(slim.groupBy("source_name", "no_source", "bucket").agg(F.sum("size").alias("size")))
     by_source = Window.partitionBy("source_name", "no_source").orderBy("bucket")
     starts = buckets.withColumn("bucket_start", F.sum("size").over(by_source) - F.col("size")).drop("size")
-    starts = starts.join(F.broadcast(targets(buckets)), ["source_name", "no_source"])
+    starts = starts.join(small(targets(buckets)), ["source_name", "no_source"])
     rows = rows.join(starts, ["source_name", "no_source", "bucket"])
     inside = Window.partitionBy("source_name", "no_source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("start", F.col("bucket_start") + F.sum("size").over(inside) - F.col("size"))
@@ -96,14 +96,16 @@ def schedule(rows: DataFrame, slim: DataFrame) -> DataFrame:
 def mixed(rows: DataFrame) -> DataFrame:
     """A row for each copy that the mix takes, with its place: ``epoch, piece, mix_start``.
 
-    Range-sorted by virtual finish time, and cut at the total budget.
+    Range-sorted by virtual finish time, and cut at the total budget. The bins of
+    virtual time are the ranges, so the windows that add up words inside a bin
+    find their rows together and leave them in order.
     """
     copies = rows.select("*", F.posexplode("pieces").alias("epoch", "piece")).where("piece > 0")
     finish = (F.col("epoch") * F.col("source_size") + F.col("start") + F.col("piece")).cast("double") / F.col("target")
     copies = copies.withColumn("finish", finish).withColumn("bin", F.least(F.floor(F.col("finish") * BINS), F.lit(BINS - 1)))
     bins = copies.groupBy("bin").agg(F.sum("piece").alias("piece"))
     bins = bins.select("bin", (F.sum("piece").over(Window.orderBy("bin")) - F.col("piece")).alias("bin_start"))
-    copies = copies.join(F.broadcast(bins), "bin")  # BINS rows at most
+    copies = copies.join(F.broadcast(bins), "bin").repartitionByRange("bin")  # BINS rows at most
     inside = Window.partitionBy("bin").orderBy("finish", "no_source", "source_name", "key", "doc_id", "epoch").rowsBetween(Window.unboundedPreceding, 0)
     copies = copies.withColumn("mix_start", F.col("bin_start") + F.sum("piece").over(inside) - F.col("piece"))
     return copies.where(F.col("mix_start") + F.col("piece") <= F.col("budget"))
@@ -120,7 +122,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix as rows of ``docs``: whole documents, repeated as often as they are taken.
+    """The mix as rows of ``docs`` in its order: whole documents, repeated as often as they are taken.
 
     The document that a source's target cuts enters if the target takes at
     least half of it.
@@ -128,5 +130,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     row = F.struct(*(docs[c] for c in docs.columns))
     rows = prepared(docs, id_col, text_col, source_col, row)
     planned = schedule(rows, rows.drop("row"))
-    copies = planned.select("row", F.explode("pieces").alias("piece"), "size").where("piece > 0 and 2 * piece >= size")
-    return copies.select("row.*")
+    return mixed(planned).where("2 * piece >= size").select("row.*")
