@@ -48,7 +48,7 @@ STEP, AT_ONCE = 32, 100_000
 #: Words whose emissions a task remembers.
 REMEMBERED = 400_000
 
-WORDS = regex.compile(r"[\p{L}\p{M}]+")
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
 def words_of(text: str | None) -> list[str]:
