@@ -1,12 +1,11 @@
 """Fetch planning: which absent bodies to read together.
 
-Batches are capped runs of neighbours, which are sequential by nature; they run
-for each segment on its own entries.
+Batches are capped runs of neighbours, which are sequential by nature: a fold
+over each segment's own entries.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +16,24 @@ CAP = 256 << 10
 def warm_batches(entries: DataFrame, cap: int = CAP) -> DataFrame:
     """``segment_id, batch, first_entry, entries, bytes``: neighbouring absent bodies, up to ``cap`` bytes.
 
-    The first entry of a batch is always in; a present entry closes it.
+    The first entry of a batch is always in; a present entry closes it. A
+    segment has at most a few thousand entries, which one built-in fold reads in
+    order.
     """
+    rows = entries.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("entry_idx", "stored_length", "present"))).alias("rows"))
+    start = F.struct(F.array().cast("array<struct<batch:bigint,first_entry:bigint,entries:bigint,bytes:bigint>>").alias("out"), F.lit(False).alias("open"))
 
-    def batch(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        open_ = False
-        for r in rows.sort_values("entry_idx").itertuples():
-            if r.present:
-                open_ = False
-            elif r.stored_length > 0:
-                if open_ and out[-1][4] + r.stored_length <= cap:
-                    out[-1][3] += 1
-                    out[-1][4] += r.stored_length
-                else:
-                    out.append([r.segment_id, len(out), r.entry_idx, 1, r.stored_length])
-                    open_ = True
-        return pd.DataFrame(out, columns=["segment_id", "batch", "first_entry", "entries", "bytes"])
-
-    slim = entries.select("segment_id", "entry_idx", "stored_length", "present")
-    return slim.groupBy("segment_id").applyInPandas(batch, "segment_id long, batch long, first_entry long, entries long, bytes long")
+    def step(s: Column, r: Column) -> Column:
+        out, absent = s["out"], ~r["present"] & (r["stored_length"] > 0)
+        last = F.element_at(out, -1)
+        extend = absent & s["open"] & (last["bytes"] + r["stored_length"] <= cap)
+        longer = F.struct(last["batch"].alias("batch"), last["first_entry"].alias("first_entry"), (last["entries"] + 1).alias("entries"), (last["bytes"] + r["stored_length"]).alias("bytes"))
+        fresh = F.struct(F.size(out).cast("long").alias("batch"), r["entry_idx"].alias("first_entry"), F.lit(1).cast("long").alias("entries"), r["stored_length"].alias("bytes"))
+        grown = F.when(extend, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))).when(absent, F.concat(out, F.array(fresh))).otherwise(out)
+        return F.struct(grown.alias("out"), (~r["present"] & (absent | s["open"])).alias("open"))
+
+    out = rows.select("segment_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("b"))
+    return out.select("segment_id", "b.batch", "b.first_entry", "b.entries", "b.bytes")
 
 
 def forward_reads(entries: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:

@@ -11,16 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """``id, ancestor, depth`` over ``edges (id, parent)``, one parent each; depth 1 is the parent."""
-    paths = edges.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth"))
+def closure(edges: DataFrame) -> DataFrame:
+    """``id, ancestor, depth`` over ``edges (id, parent)``, one parent each; depth 1 is the parent.
+
+    What is reached so far is kept, so each doubling reads it instead of
+    computing it again.
+    """
+    paths = edges.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).persist()
     reach = 1
-    while reach < max_depth:
-        far = paths.where(F.col("depth") == reach).select(F.col("id"), F.col("ancestor").alias("mid"))
+    while True:
+        far = paths.where(F.col("depth") == reach).select("id", F.col("ancestor").alias("mid"))
+        if far.isEmpty():
+            return paths
         step = paths.select(F.col("id").alias("mid"), "ancestor", F.col("depth").alias("more"))
-        paths = paths.unionByName(far.join(step, "mid").select("id", "ancestor", (F.col("more") + reach).alias("depth")))
+        paths = paths.unionByName(far.join(step, "mid").select("id", "ancestor", (F.col("more") + reach).alias("depth"))).persist()
         reach *= 2
-    return paths
 
 
 def ancestor_walk(lineage: DataFrame, volume: int) -> DataFrame:

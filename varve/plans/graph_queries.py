@@ -137,7 +137,15 @@ w(segment_id, target, pos, n, bytes) AS (SELECT t.segment_id, target, target, CA
 SELECT w.segment_id, target, e.entry_idx, n + 1, bytes + e.stored_length FROM w JOIN entries e ON e.segment_id = w.segment_id AND e.entry_idx = w.pos + 1 WHERE NOT e.present AND e.kind = 'data' AND bytes + e.stored_length <= 9000)
 SELECT segment_id, target, max(n) AS entries, max(bytes) AS bytes FROM w GROUP BY ALL""",
     ),
-    "f02_warm_batches": (lambda s, d: fe.warm_batches(fx.entries(s, d), 6000), None),
+    "f02_warm_batches": (
+        lambda s, d: fe.warm_batches(fx.entries(s, d), 6000),
+        prelude("entries", recursive=True)
+        + """, w(segment_id, pos, batch, bytes, opened) AS (SELECT segment_id, CAST(0 AS BIGINT), CAST(-1 AS BIGINT), CAST(0 AS BIGINT), FALSE FROM entries WHERE entry_idx = 1 UNION ALL
+SELECT w.segment_id, e.entry_idx, CASE WHEN e.present OR e.stored_length = 0 OR (opened AND bytes + e.stored_length <= 6000) THEN batch ELSE batch + 1 END,
+  CASE WHEN e.present OR e.stored_length = 0 THEN bytes WHEN opened AND bytes + e.stored_length <= 6000 THEN bytes + e.stored_length ELSE e.stored_length END, NOT e.present AND (e.stored_length > 0 OR opened)
+  FROM w JOIN entries e ON e.segment_id = w.segment_id AND e.entry_idx = w.pos + 1)
+SELECT w.segment_id, batch, min(pos) AS first_entry, count(*) AS entries, CAST(sum(stored_length) AS BIGINT) AS bytes FROM w JOIN entries e ON e.segment_id = w.segment_id AND e.entry_idx = pos WHERE NOT present AND stored_length > 0 GROUP BY ALL""",
+    ),
     "f03_hint_bits": (
         lambda s, d: fe.hint_bits(ci.presence_words(fx.entries(s, d)), fx.entries(s, d).groupBy("segment_id").agg(F.count("*").alias("count"))),
         prelude("entries") + "SELECT segment_id, entry_idx FROM entries WHERE present",
