@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -41,7 +43,7 @@ FILL_NODES, TAIL_NODES = 300, 20_000
 #: Hash buckets of a length, so that a hot length is counted by many tasks.
 BUCKETS = 1024
 #: Words whose ids a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -59,13 +61,13 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.plain = regex.compile(r"[\t-\r\x20-\x7e¡-įı-ɏ]*+").fullmatch
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        letters, digits = charset("L"), charset("N")
+        self.plain = re.compile(f"[{charset('')}]*+").fullmatch
+        self.words = re.compile(rf"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{digits}]|[^\s{letters}{digits}]+").findall
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -78,9 +80,26 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         words = self.words(text.lower())
-        if fresh := [w for w in set(words) if w not in self.known]:
+        found = list(map(self.known.get, words))
+        if None in found:
+            gaps = [k for k, ids in enumerate(found) if ids is None]
+            fresh = list({words[k] for k in gaps})
             self.known.update(zip(fresh, self._ids(fresh), strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+            for k in gaps:
+                found[k] = self.known[words[k]]
+        return b"".join(found)
+
+
+#: Characters whose normal form, lower case and classes are plain: printable ASCII and Latin, white space.
+PLAIN = [chr(i) for low, high in ((0x09, 0x0D), (0x20, 0x7E), (0xA1, 0x12F), (0x131, 0x24F)) for i in range(low, high + 1)]
+
+
+def charset(category: str) -> str:
+    """The plain characters of a Unicode category, as the inside of a character class."""
+    codes = [ord(c) for c in PLAIN if unicodedata.category(c).startswith(category)]
+    starts = [c for c in codes if c - 1 not in codes]
+    ends = [c for c in codes if c + 1 not in codes]
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
