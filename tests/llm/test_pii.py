@@ -71,3 +71,28 @@ def test_plain_prose_adds_nothing():
 @pytest.mark.parametrize("unit", ["a", "1", "1.", "1 ", "+1", "+1(", "@", "a@", "one ", "dot ", " at ", "a.", "(at)"])
 def test_long_texts_take_linear_time(unit):
     pii.spans(unit * (200_000 // len(unit)))
+
+
+@pytest.mark.parametrize(
+    ("text", "source"),
+    [
+        ("mail jane at example.com", "jane at example.com"),
+        ("mail jane\tdot\tdoe@example.com", "jane\tdot\tdoe@example.com"),
+        ("mail jane\t@\texample.com", "jane\t@\texample.com"),
+        ("mail jane  at  example  dot  com now", "jane  at  example  dot  com"),
+        ("mail jªne@exampl².com", "jªne@exampl².com"),
+    ],
+)
+def test_every_transducer_opens_the_gate(text, source):
+    form = pii.normalised(text)
+    assert form is not None
+    assert source in [text[form.starts[a] : form.ends[b - 1]] for a, b, kind in pii.detected(form.text) if kind == "email"]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["jane", "example.com", "example", "com", " ", "  ", "\t", "at", "AT", "dot", "@", ".", "[at]", "(", ")", "one", "double", "ſix", "fıve", "f\u0130ve", "7", "plus", "-", ", ", "ª", "²", "\xa0", "о", "\u200b"]), max_size=14))
+def test_gate_changes_no_result(parts):
+    text = "".join(parts)
+    on, off = pii.normalised(text), pii.normalised(text, gate=False)
+    assert (on is None) == (off is None)
+    assert on is None or (on.text, on.starts, on.ends) == (off.text, off.starts, off.ends)

@@ -19,6 +19,7 @@ count base spans, ``n_added`` the added ones.
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import re
 import unicodedata
@@ -111,7 +112,25 @@ LOOSE_AT = re.compile(r"(?<=[A-Za-z0-9])[\x20\t]{1,3}@[\x20\t]{1,3}(?=[A-Za-z0-9
 WORD_DOT = re.compile(r"(?i)(?<=[a-z0-9])[\x20\t]{1,3}dot[\x20\t]{1,3}(?=[a-z0-9])")
 #: A spelled "at" between a name and a domain; dots are plain by then.
 WORD_AT = re.compile(r"(?i)(?<=[a-z0-9])[\x20\t]{1,3}at[\x20\t]{1,3}(?=[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,12}(?![a-z0-9]))")
-DISGUISE = re.compile(rf"(?i)[\[({{<][\x20\t]{{0,3}}(?:at|@|dot|\.)[\x20\t]{{0,3}}[\])}}>]|\x20(?:dot|@)\x20|@\x20|\x20@|(?<![a-z]){NAME}[\s,.-]{{1,3}}(?:{NAME}|double|triple|[0-9])|[0-9][\s,.-]{{1,3}}{NAME}(?![a-z])|(?:double|triple)\x20{NAME}")
+# Gates over lower-case text, each wider than the transducers it stands before.
+BRACKET_GATE = re.compile(r"[\[({<][\x20\t]{0,3}(?:at|@|dot|\.)[\x20\t]{0,3}[\])}>]")
+SPELLED_GATE = re.compile(rf"{NAME}[\s,.-]{{1,3}}(?:{NAME}|double|triple|[0-9])|[0-9][\s,.-]{{1,3}}(?:(?:double|triple)[\s-]+)?{NAME}")
+DOT_GATE = re.compile(r"dot[\x20\t]{1,3}[a-z0-9]")
+LOOSE_GATE = re.compile(r"@[\x20\t]|[\x20\t]@")
+WORD_GATE = re.compile(r"at[\x20\t]{1,3}[a-z0-9-]+\.[a-z0-9-]")
+
+
+@functools.cache
+def plain(c: str) -> str:
+    """What the first transducer makes of a character beyond ASCII; nothing of an invisible one."""
+    if c in HIDDEN:
+        return ""
+    new = SIGNS.get(c) or c.translate(LOOKALIKES)
+    if new != c:
+        return new
+    digit = unicodedata.decimal(c, None)
+    form = str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
+    return form if form.isascii() and form else c
 
 
 class Normal:
@@ -126,17 +145,7 @@ class Normal:
         """Homoglyphs, compatibility forms and digits of other scripts become ASCII; invisible characters go."""
         out, starts, ends = [], [], []
         for c, a, b in zip(self.text, self.starts, self.ends, strict=True):
-            if c < "\x80":
-                new = c
-            elif c in HIDDEN:
-                continue
-            else:
-                new = SIGNS.get(c) or c.translate(LOOKALIKES)
-                if new == c:
-                    digit = unicodedata.decimal(c, None)
-                    plain = str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
-                    new = plain if plain.isascii() and plain else c
-            for x in new:
+            for x in c if c < "\x80" else plain(c):
                 out.append(x)
                 starts.append(a)
                 ends.append(b)
@@ -167,7 +176,7 @@ def digits_of(m: re.Match) -> list[tuple[str, int, int]]:
     """The digits of a spelled run, or the run as it is if it spells fewer than three."""
     out, times, begun, spelled = [], 1, None, False
     for t in TOKEN.finditer(m[0]):
-        word = t[0].lower()
+        word = lower(t[0])
         if word == "plus":
             out.append(("+", *t.span()))
         elif word in TIMES:
@@ -187,26 +196,40 @@ def digits_of(m: re.Match) -> list[tuple[str, int, int]]:
 
 def strange(text: str) -> bool:
     """Whether a text has characters that the first transducer changes."""
-    if text.isascii():
-        return False
-    return any(c > "\x7f" and (c in HIDDEN or c in SIGNS or ord(c) in LOOKALIKES or (c > "ɏ" and unicodedata.normalize("NFKC", c) != c) or unicodedata.decimal(c, None) is not None) for c in set(text))
+    return not text.isascii() and any(c > "\x7f" and plain(c) != c for c in set(text))
+
+
+#: An IPv4 address may be spelled with dots between the numbers: dots first, digits in between them after.
+TRANSDUCERS = [(BRACKET_DOT, sign(".")), (BRACKET_AT, sign("@")), (SPELLED, digits_of), (WORD_DOT, sign(".")), (LOOSE_AT, sign("@")), (WORD_AT, sign("@"))]
+
+
+def lower(text: str) -> str:
+    """Lower case as the patterns see it, with as many characters."""
+    return text.lower() if text.isascii() else text.replace("\u0130", "i").lower()
+
+
+def disguised(text: str) -> bool:
+    """Whether a transducer may have a match in a text. The first that has one in the chain sees the text as it is."""
+    low = lower(text)
+    return bool(
+        ("@" in low and LOOSE_GATE.search(low))
+        or BRACKET_GATE.search(low)
+        or WORD_GATE.search(low)
+        or DOT_GATE.search(low)
+        or SPELLED_GATE.search(low)
+    )
 
 
-def normalised(text: str) -> Normal | None:
-    """The normal form, or None where no transducer has anything to do."""
+def normalised(text: str, gate: bool = True) -> Normal | None:
+    """The normal form, or None where no transducer has anything to do; the gate only saves time."""
     odd = strange(text)
-    if not odd and not DISGUISE.search(text):
+    if gate and not odd and not disguised(text):
         return None
     normal = Normal(text)
     if odd:
         normal.characters()
-    # an IPv4 address may be spelled with dots between the numbers: dots first, digits in between them after
-    normal.replace(BRACKET_DOT, sign("."))
-    normal.replace(BRACKET_AT, sign("@"))
-    normal.replace(SPELLED, digits_of)
-    normal.replace(WORD_DOT, sign("."))
-    normal.replace(LOOSE_AT, sign("@"))
-    normal.replace(WORD_AT, sign("@"))
+    for pattern, made in TRANSDUCERS:
+        normal.replace(pattern, made)
     return normal if normal.text != text else None
 
 
