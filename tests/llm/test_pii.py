@@ -96,3 +96,28 @@ def test_gate_changes_no_result(parts):
     on, off = pii.normalised(text), pii.normalised(text, gate=False)
     assert (on is None) == (off is None)
     assert on is None or (on.text, on.starts, on.ends) == (off.text, off.starts, off.ends)
+
+
+@pytest.mark.parametrize(
+    ("text", "fragment", "whole"),
+    [
+        ("mail jоhn@example.com", "hn@example.com", "jоhn@example.com"),
+        ("mail jane dot doe@example.com", "doe@example.com", "jane dot doe@example.com"),
+        ("mail john@example.cоm now", "john@example.c", "john@example.cоm"),
+    ],
+)
+def test_base_fragments_hide_no_identifier(text, fragment, whole):
+    base, added = pii.spans(text)
+    assert [text[a:b] for a, b, _ in base] == [fragment]
+    assert [text[a:b] for a, b, _ in added] == [whole]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["jo", "о", "@", " at ", ".", " dot ", "com", "de", " ", "1.2", "one ", "4111 1111 1111 1111", "+1 017 555 7713"]), max_size=12))
+def test_added_spans_are_those_that_no_base_span_covers(parts):
+    text = "".join(parts)
+    base, added = pii.spans(text)
+    assert base == pii.detected(text)
+    form = pii.normalised(text)
+    found = [(form.starts[a], form.ends[b - 1], kind) for a, b, kind in pii.detected(form.text)] if form else []
+    assert added == [s for s in found if not any(a <= s[0] and s[1] <= b and kind == s[2] for a, b, kind in base)]

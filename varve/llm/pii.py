@@ -5,7 +5,8 @@ phone numbers. A chain of transducers then normalises homoglyphs, spelled
 digits and at/dot disguises, keeping for each character of the normal form the
 span of source characters that it stands for. The detectors run again on the
 normal form, and what they find there is mapped back to the source; it is added
-unless it overlaps a base span of its kind.
+unless a base span of its kind covers it. Base spans stay beside added ones that
+overlap them, as they may be fragments of a disguised identifier.
 
 Offsets count code points; ends are exclusive. Every detector takes time in
 proportion to the text, whatever the text.
@@ -244,8 +245,8 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     added = []
     for a, b, kind in detected(normal.text):
         start, end = normal.starts[a], normal.ends[b - 1]
-        near = bisect.bisect_left(taken[kind], (end, 0))  # the last base span that begins before the end
-        if not near or taken[kind][near - 1][1] <= start:
+        near = bisect.bisect_left(taken[kind], (start + 1, 0))  # the last base span that begins at the start or before
+        if not near or taken[kind][near - 1][1] < end:
             added.append((start, end, kind))
     return base, added
 
