@@ -356,6 +356,36 @@ def test_licenses_inherit_from_the_nearest_directory(spark):
     assert got == {1: ("MIT", "own", "a"), 2: ("CC-BY-NC-4.0", "own", "a/b"), 3: ("CC-BY-NC-4.0", "inherited", "a/b"), 4: ("MIT", "inherited", "a"), 5: ("Apache-2.0", "own", "a/d"), 6: ("", "none", ""), 7: ("", "none", ""), 8: ("CC-BY-NC-4.0", "inherited", "a/b")}
 
 
+NOTICE = "Licensed under the Apache License, Version 2.0"
+SHARES = {"licensed": 0.02, "under": 0.2, "the": 0.9, "license": 0.02, "version": 0.05, "apache": 0.01, "copyright": 0.02}
+
+
+@pytest.mark.parametrize("files", [1_000, 50_000, 5_000_000])
+def test_licence_scores_do_not_depend_on_the_number_of_files(files):
+    made = [licenses.Templates(n, {t: int(share * n) for t, share in SHARES.items()}) for n in (1_000, files)]
+    (a, name), (b, other) = (t.scan("Copyright 2020 Acme " + NOTICE, False) for t in made)
+    assert name == other == "Apache-2.0" and abs(a - b) < 1e-9 and a >= licenses.LEAST
+
+
+@pytest.mark.parametrize("before", ["word " * 400, "".join(f"w{i} copyright\n" for i in range(14))])
+def test_licences_inside_long_statements(before):
+    made = licenses.Templates(1_000, {t: int(share * 1_000) for t, share in SHARES.items()})
+    score, name = made.scan(before.strip() + " other text " + NOTICE + " and more of it " * 90, False)
+    assert name == "Apache-2.0" and score >= licenses.LEAST
+
+
+@pytest.mark.parametrize("spdx", ["MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "BSD-3-Clause", "CC0-1.0"])
+def test_full_licence_texts(spdx):
+    made, text = licenses.Templates(1_000, {}), dict(licenses.full_texts())[spdx]
+    assert made.scan(text, True) == (pytest.approx(1.0), spdx)
+    assert made.scan("int main()\n" * 500 + text + "\nint other()" * 500, False) == (pytest.approx(1.0), spdx)
+
+
+def test_frequencies_count_all_words(spark):
+    n, found = licenses.frequencies(spark.createDataFrame([("the code the",), ("the",), (None,), ("code x",)], "text string"))
+    assert n == 4 and found == {"the": 2, "code": 2, "x": 1}
+
+
 # --- empty tables ---
 
 

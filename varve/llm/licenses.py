@@ -1,9 +1,17 @@
 """License scans: TF-IDF cosine to templates, and inheritance from the nearest directory above.
 
-Every statement of a file that a cue word marks (a line, and the paragraph it
-opens) is compared with every template by the cosine of sparse TF-IDF vectors;
-so is the whole text of a licence file. Document frequencies of the templates'
-words are counted over all files. A file has its own licence if its best cosine
+Templates are short notices and full licence texts. Every statement of a file
+that a cue word marks is compared with every template by the cosine of sparse
+TF-IDF vectors; so is the whole text of a licence file. Statements are the
+cue's line, the paragraph from its first cue on, and the windows of a notice's
+length in which the cue stands where it stands in that notice, so a notice is
+found in a line of any length. Full texts get such windows where the words
+around their first cue stand.
+
+Document frequencies are counted over all files, for all words. A word's weight
+depends on the share of files that have it, not on their number; words in less
+than ``RARE`` of them weigh as if in that share, so what the driver holds is
+bounded by the words of a file. A file has its own licence if its best cosine
 reaches ``LEAST``. Licence files speak for their directory: a file without its
 own takes the licence of the nearest directory above that has one.
 
@@ -20,21 +28,27 @@ files each. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varve.llm.common import checkpoint
+
 #: Cosine from which a statement carries a template's licence.
 LEAST = 0.6
 #: Names of files that speak for their directory.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)(\.[a-z]+)?$"
-#: Lines of a paragraph that a cue opens.
-LINES = 12
+#: Share of the files under which a word's weight grows no more.
+RARE = 1e-3
+#: Different words a task counts before it passes them on, and statements whose cosine it remembers.
+COUNTED, REMEMBERED = 500_000, 100_000
 
 # The public short notices of common licences.
 TEMPLATES = [
@@ -70,50 +84,104 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-VOCABULARY = frozenset(t for _, text in TEMPLATES for t in tokens(text))
+def full_texts() -> list[tuple[str, str]]:
+    """Full licence texts by name, without their copyright lines."""
+    return [(f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+
+
+def cues(low: str, starts: list[int]) -> list[int]:
+    """Positions of the words in which cues begin, ascending; ``starts`` are the places of the words."""
+    return sorted({bisect.bisect_right(starts, m.start()) - 1 for m in CUE.finditer(low)})
 
 
 class Templates:
-    """Unit TF-IDF vectors of the templates, for cosines of statements."""
+    """Unit TF-IDF vectors of the templates by word, for cosines of statements."""
 
     def __init__(self, files: int, frequency: dict[str, int]) -> None:
-        self.idf = {t: math.log((1 + files) / (1 + frequency.get(t, 0))) + 1 for t in VOCABULARY}
-        self.rare = math.log(1 + files) + 1
-        self.vectors = [(name, self._unit(Counter(tokens(text)))) for name, text in TEMPLATES]
-
-    def _unit(self, counts: Counter) -> dict[str, float]:
-        raw = {t: (1 + math.log(n)) * self.idf.get(t, self.rare) for t, n in counts.items()}
+        self.idf = {t: 1 - math.log(n / files) for t, n in frequency.items() if n > RARE * files}
+        self.rare = 1 - math.log(RARE)
+        self.names, self.vectors = [], {}
+        self.windows: set[tuple[int, int]] = set()  # (length, place of a cue) of the notices
+        self.openings: dict[tuple[str, ...], set[tuple[int, int]]] = {}  # the same of full texts, by the words around the first cue
+        self.memory: dict[tuple[str, ...], tuple[float, str]] = {}
+        for name, text in TEMPLATES:
+            self._add(name, text)
+            self.windows |= {(len(tokens(text)), j) for j in self._cues(text)}
+        for name, text in full_texts():
+            self._add(name, text)
+            words, j = tokens(text), self._cues(text)[0]
+            self.openings.setdefault(tuple(words[j : j + 3]), set()).add((len(words), j))
+
+    def _cues(self, text: str) -> list[int]:
+        return cues(text.lower(), [m.start() for m in TOKEN.finditer(text.lower())])
+
+    def _add(self, name: str, text: str) -> None:
+        for t, x in self._unit(tokens(text)).items():
+            self.vectors.setdefault(t, []).append((len(self.names), x))
+        self.names.append(name)
+
+    def _unit(self, words: list[str] | tuple[str, ...]) -> dict[str, float]:
+        raw = {t: (1 + math.log(n)) * self.idf.get(t, self.rare) for t, n in Counter(words).items()}
         norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
         return {t: x / norm for t, x in raw.items()}
 
-    def best(self, statement: str) -> tuple[float, str]:
-        """The greatest cosine and its licence; (0, "") for none."""
-        vector = self._unit(Counter(tokens(statement)))
+    def best(self, words: list[str] | tuple[str, ...]) -> tuple[float, str]:
+        """The greatest cosine of a statement's words and its licence; (0, "") for none."""
+        cosines = [0.0] * len(self.names)
+        for t, x in self._unit(words).items():
+            for i, y in self.vectors.get(t, ()):
+                cosines[i] += x * y
         found = (0.0, "")
-        for name, template in self.vectors:
-            cosine = sum(x * vector.get(t, 0.0) for t, x in template.items())
+        for cosine, name in zip(cosines, self.names, strict=True):
             if cosine > found[0] + 1e-12:
                 found = (min(1.0, cosine), name)
         return found
 
+    def remembered(self, words: tuple[str, ...]) -> tuple[float, str]:
+        found = self.memory.get(words)
+        if found is None:
+            if len(self.memory) > REMEMBERED:
+                self.memory.clear()
+            found = self.memory[words] = self.best(words)
+        return found
+
     def scan(self, text: str, whole: bool) -> tuple[float, str]:
         """The best of all marked statements, and of the whole text of a licence file."""
-        found = self.best(text) if whole and text else (0.0, "")
+        found = self.best(tokens(text)) if whole and text else (0.0, "")
         if not CUE.search(text):
             return found
-        lines = text.splitlines()
-        for i, line in enumerate(lines):
-            if CUE.search(line):
-                for statement in (line, "\n".join(paragraph(lines, i))):
-                    now = self.best(statement)
-                    if now[0] > found[0] + 1e-12:
-                        found = now
+        for statement in self.statements(text):
+            now = self.remembered(statement) if len(statement) <= 64 else self.best(statement)
+            if now[0] > found[0] + 1e-12:
+                found = now
         return found
 
+    def statements(self, text: str) -> Iterator[tuple[str, ...]]:
+        """Words of the statements around the cues of a text."""
+        lines, fresh = text.splitlines(), True
+        for i, line in enumerate(lines):
+            if not line.strip():
+                fresh = True
+            elif CUE.search(line):
+                yield tuple(tokens(line))
+                if fresh:
+                    yield tuple(tokens("\n".join(paragraph(lines, i))))
+                fresh = False
+        low = text.lower()
+        places = list(TOKEN.finditer(low))
+        words, marked = [m[0] for m in places], cues(low, [m.start() for m in places])
+        met = set()
+        for p in marked:
+            for length, j in (*self.windows, *self.openings.get(tuple(words[p : p + 3]), ())):
+                part = (max(0, p - j), p - j + length)
+                if part not in met:
+                    met.add(part)
+                    yield tuple(words[part[0] : part[1]])
+
 
 def paragraph(lines: list[str], at: int) -> list[str]:
     out = []
-    for line in lines[at : at + LINES]:
+    for line in lines[at:]:
         if not line.strip():
             break
         out.append(line)
@@ -126,19 +194,25 @@ def directory(path: Column) -> Column:
 
 
 def frequencies(files: DataFrame) -> tuple[int, dict[str, int]]:
-    """The number of files, and of those that each template word is in, over all whole texts."""
+    """The number of files, and of those that each word is in, for words in more than ``RARE`` of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = Counter(), 0
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
+
+        found = Counter()
         for batch in batches:
             for text in batch.column(0):
-                n += 1
-                found.update(VOCABULARY.intersection(tokens(text.as_py() or "")))
-        yield pa.RecordBatch.from_arrays([pa.array(["", *found]), pa.array([n, *found.values()], pa.int64())], ["term", "n"])
-
-    rows = files.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # the vocabulary at most
-    counts = {r["term"]: r["n"] for r in rows}
-    return counts.pop("", 0), counts
+                found.update({"", *tokens(text.as_py() or "")})
+                if len(found) > COUNTED:
+                    yield told()
+                    found = Counter()
+        yield told()
+
+    counts = checkpoint(files.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")))
+    n = sum(r["n"] for r in counts.where("term = ''").collect())
+    rows = counts.where(F.col("n") > RARE * n).collect()  # the words of 1 / RARE files at most
+    return n, {r["term"]: r["n"] for r in rows if r["term"]}
 
 
 def scan(files: DataFrame) -> DataFrame:
