@@ -173,6 +173,14 @@ def test_bin_completion_uses_every_piece_once(lengths):
     assert packing.least_sequences(counts, 50) <= sequences <= len(bins)
 
 
+@pytest.mark.parametrize("counts", [{1: 100_000}, {1: 30_000, 2: 30_000, 3: 9_000}, {1: 50_000, 4000: 20, 700: 45}, {7: 9_000, 5: 2_000}])
+def test_many_short_pieces_fill_sequences(counts):
+    patterns = packing.complete(counts, 4096)
+    assert sum(t for _, t in patterns) == packing.least_sequences(counts, 4096)
+    assert all(sum(k * n for k, n in uses) <= 4096 for uses, _ in patterns)
+    assert {k: sum(t * dict(uses).get(k, 0) for uses, t in patterns) for k in counts} == counts
+
+
 # --- near dedup ---
 
 

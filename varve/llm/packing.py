@@ -24,6 +24,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,46 +134,41 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str | None, cap
 
 
 def filling(room: int, lengths: list[int], supply: dict[int, int], nodes: int = FILL_NODES) -> list[int]:
-    """Lengths whose sum comes nearest to ``room`` from below.
+    """Lengths whose sum comes nearest to ``room`` from below, as far as ``nodes`` steps find it.
 
-    Depth-first with the largest length that fits first, which is the best-fit
-    filling (the incumbent) on the first way down. A filling in which one
-    longer piece could stand for a set of shorter ones is dominated; trying
-    longer pieces first reaches the dominating one before. A branch ends when
-    its lengths cannot beat the incumbent's waste. ``lengths`` ascends.
+    Depth-first over the number of pieces of each length, with the largest
+    length that fits and as many of it as fit first, which is the best-fit
+    filling (the incumbent) on the first way down. That way is always gone to
+    its end; ``nodes`` counts the steps after it. The search ends when nothing
+    is left over. ``lengths`` ascends.
     """
-    best: list[int] = []
-    left = room
-    used: dict[int, int] = {}
-    path: list[int] = []
-    budget = nodes
+    best: list[tuple[int, int]] = []
+    left, budget, first = room, nodes, True
+    path: list[tuple[int, int]] = []
 
     def descend(free: int, top: int) -> bool:
-        nonlocal best, left, budget
+        nonlocal best, left, budget, first
         if free < left:
             best, left = path[:], free
-        if left == 0 or budget <= 0:
+        if left == 0:
             return True
-        at = min(bisect.bisect_right(lengths, free), top) - 1
-        while at >= 0:
+        for at in range(min(bisect.bisect_right(lengths, free), top) - 1, -1, -1):
             length = lengths[at]
-            have = supply[length] - used.get(length, 0)
-            if have > 0:
-                budget -= 1
-                used[length] = used.get(length, 0) + 1
-                path.append(length)
-                done = descend(free - length, at + 1)
+            for n in range(min(supply[length], free // length), 0, -1):
+                if not first:
+                    budget -= 1
+                    if budget < 0:
+                        return True
+                path.append((length, n))
+                done = descend(free - length * n, at)
                 path.pop()
-                used[length] -= 1
                 if done:
                     return True
-            at -= 1
-            if budget <= 0:
-                return True
+        first = False
         return False
 
     descend(room, len(lengths))
-    return best
+    return [length for length, n in best for _ in range(n)]
 
 
 def complete(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -229,12 +225,10 @@ def improved(patterns: list, counts: dict[int, int], capacity: int) -> list:
             chosen.append((i, n))
             taken += n
         pieces = sorted((k for i, n in chosen for k, m in patterns[i][0] for _ in range(m * n)), reverse=True)
-        if len(pieces) > 400:
-            break
         found = branch(pieces, taken - 1, capacity)
         if found:
             rest = [(p, t - dict(chosen).get(i, 0)) for i, (p, t) in enumerate(patterns)]
-            fresh = [(sorted({k: s.count(k) for k in s}.items(), reverse=True), 1) for s in found]
+            fresh = [(sorted(Counter(s).items(), reverse=True), 1) for s in found]
             return improved([(p, t) for p, t in rest if t] + fresh, counts, capacity)
     return patterns
 
@@ -243,45 +237,50 @@ def branch(pieces: list[int], sequences: int, capacity: int) -> list[list[int]]
     """The pieces in so many sequences, or None if the search finds none."""
     budget = [TAIL_NODES]
 
-    def place(rest: list[int], sequences_left: int, waste_left: int) -> list[list[int]] | None:
+    def place(rest: dict[int, int], sequences_left: int, waste_left: int) -> list[list[int]] | None:
         if not rest:
             return []
         if not sequences_left or budget[0] <= 0:
             return None
-        room = capacity - rest[0]
-        for chosen in completions(rest[1:], room, waste_left, budget):
-            gone = list(rest[1:])
-            for k in chosen:
-                gone.remove(k)
+        largest = next(iter(rest))
+        room = capacity - largest
+        for chosen in completions(less(rest, {largest: 1}), room, waste_left, budget):
+            gone = less(rest, Counter([largest, *chosen]))
             found = place(gone, sequences_left - 1, waste_left - (room - sum(chosen)))
             if found is not None:
-                return [[rest[0], *chosen], *found]
+                return [[largest, *chosen], *found]
             if budget[0] <= 0:
                 return None
         return None
 
     waste = sequences * capacity - sum(pieces)
-    return place(pieces, sequences, waste) if waste >= 0 else None
+    return place(dict(sorted(Counter(pieces).items(), reverse=True)), sequences, waste) if waste >= 0 else None
+
+
+def less(rest: dict[int, int], gone: dict[int, int]) -> dict[int, int]:
+    return {k: n - gone.get(k, 0) for k, n in rest.items() if n > gone.get(k, 0)}
 
 
-def completions(rest: list[int], room: int, waste: int, budget: list[int], most: int = 30) -> list[list[int]]:
-    """Fillings of ``room`` that waste no more than ``waste``, fullest first; of two that differ by one piece the longer."""
-    out: list[list[int]] = []
+def completions(rest: dict[int, int], room: int, waste: int, budget: list[int], most: int = 30) -> list[list[int]]:
+    """Fillings of ``room`` that waste no more than ``waste``, fullest first, none to which a piece could be added; ``rest`` descends."""
+    lengths, out = list(rest.items()), []
 
-    def go(start: int, free: int, path: list[int]) -> None:
+    def go(i: int, free: int, path: list[tuple[int, int]], short: int) -> None:
+        """``short``: the least length of which pieces were left out."""
         budget[0] -= 1
-        fits = False
-        last = None
-        for i in range(start, len(rest)):
-            if rest[i] <= free and rest[i] != last:
-                fits, last = True, rest[i]
-                go(i + 1, free - rest[i], [*path, rest[i]])
-                if budget[0] <= 0 or len(out) >= most:
-                    return
-        if not fits and free <= waste:
-            out.append(path)
-
-    go(0, room, [])
+        while i < len(lengths) and lengths[i][0] > free:
+            i += 1
+        if i == len(lengths):
+            if short > free and free <= waste:
+                out.append([k for k, n in path for _ in range(n)])
+            return
+        length, have = lengths[i]
+        for n in range(min(have, free // length), -1, -1):
+            go(i + 1, free - n * length, [*path, (length, n)], short if n == have else length)
+            if budget[0] <= 0 or len(out) >= most:
+                return
+
+    go(0, room, [], room + 1)
     return sorted(out, key=lambda p: (-sum(p), len(p)))
 
 
