@@ -255,6 +255,20 @@ def test_top_k_with_ties_and_copies(spark):
     assert got == brute.top_k(whole, lambda i: i % 100 == 0)
 
 
+def test_top_k_of_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    one = {i: rng.integers(-5, 6, 4).tolist() for i in range(40)}
+    best = max(range(1, 40), key=lambda i: np.dot(one[i], one[0]))
+    rows = [(i, v) for i, v in one.items()] + [(best, one[best])] * 14 + [(7, one[7])] * 4 + [(20, one[20]), (20, one[21])]
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.top_k(table, "vec_id", "embedding", F.col("vec_id") % 20 == 0, scale=1).collect()))
+    want = []
+    for q in (0, 20):
+        pairs = sorted((-int(np.dot(v, a)), i) for p, a in rows if p == q for i, v in rows if i != q)
+        want += [(q, n + 1, i, -score) for n, (score, i) in enumerate(pairs[:10])]
+    assert got == want
+
+
 def test_top_k_of_few(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in topk.top_k(table, "vec_id", "embedding", F.col("vec_id") == 0).collect()]

@@ -18,8 +18,8 @@ distance is computed.
 Scores are exact integers; bounds are compared with slack, so rounding never
 prunes a tie. Defined results: null vectors and vectors with null or non-finite
 components take no part; shorter vectors are continued with zeros; rows that
-repeat an id are candidates each, but never of their own id; null ids take no
-part. An empty table gives an empty result.
+repeat an id are candidates each, and queries each whose pairs are ranked
+together, but never of their own id; null ids take no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -242,7 +242,7 @@ def top_k(table: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int
         return meeting.groupBy("page", "visit").cogroup(asked.groupBy("page", "visit")).applyInArrow(search, HITS)
 
     first = checkpoint(meet(ahead))
-    own = first.groupBy("query_id").agg(F.min("score").alias("worst"), F.count("*").alias("m")).where(F.col("m") == k)
+    own = first.groupBy("query_id").agg(F.min("score").alias("worst"), F.count("*").alias("m")).where(F.col("m") >= k)
     waiting = queries.join(own.withColumnRenamed("query_id", "vec_id").select("vec_id", "worst"), "vec_id", "left")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +255,6 @@ def top_k(table: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int
     waiting = waiting.select("vec_id", "vec", "page", F.col("worst").cast("double").alias("worst")).mapInArrow(bounded, "vec_id long, vec binary, page long, bound double")
     waiting = waiting.withColumn("block", spot).withColumn("visit", F.pmod("block", F.lit(n_visits)).cast("long"))
     sent = checkpoint(waiting.groupBy("block").applyInArrow(blocks, visits))
-    hits = first.unionByName(meet(sent)).distinct()
+    hits = first.unionByName(meet(sent))  # a row of a query meets each page once, so no pair of rows is there twice
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
