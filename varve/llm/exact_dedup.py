@@ -11,15 +11,18 @@ where one group is hot.
 Defined results. Null texts count as empty. Rows with equal text and equal id
 are the same document: the digest marks each of them kept, and
 :func:`exact_dedup` returns one of them. Null ids sort after all others. An
-empty table gives an empty result. Columns other than the two named ones are
+empty table gives an empty result. A text of any length is one key; the task
+that meets it holds it whole. Columns other than the two named ones are
 neither read by the digest nor changed by the filter.
 """
 
 from __future__ import annotations
 
+import hashlib
 import pickle
+import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,17 +31,22 @@ from pyspark.sql import functions as F
 from varve.llm.common import SPACE_RE, task_folder
 
 #: Bytes of keys that a task's trie holds before it sends or spills them.
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 16 << 20
+#: What a node weighs besides its label.
+NODE_BYTES = 300
+#: Bytes of texts in a batch that a task sends.
+BATCH_BYTES = 2 << 20
 NO_ID = (1 << 63) - 1
 
 
 class Node:
     """A node of the trie: an edge label, children by first byte, and the owner of the key that ends here."""
 
-    __slots__ = ("label", "children", "least", "rows", "own")
+    __slots__ = ("label", "children", "least", "rows", "own", "file")
 
     def __init__(self, label: bytes) -> None:
         self.label = label
+        self.file = None  # of a subtree that was spilled
         self.children: dict[int, Node] = {}
         self.least, self.rows, self.own = NO_ID, 0, 0
 
@@ -66,22 +74,22 @@ def shared(a: bytes, b: bytes) -> int:
 class PatriciaTrie:
     """A compressed radix trie over whole byte strings that spills by subtree.
 
-    When the labels held exceed ``budget`` bytes, the subtree below the heaviest
-    first byte goes to a file; later keys with that byte are appended to the
-    file. :meth:`owners` reads the files back one by one, each as a trie of its
-    own one byte deeper, so memory stays near the budget.
+    When more than ``budget`` bytes are held, the heaviest subtrees below the
+    first node that branches go to files of their own, until half the budget is
+    free. What all keys share above that node is never walked byte by byte, so a
+    long common beginning costs no extra rounds. A spilled subtree leaves its
+    first byte behind, and later keys below it are appended to its file.
+    :meth:`owners` reads the files back one by one, each as a trie of its own
+    with fewer keys than the one it came from, so memory stays near the budget
+    (or one key, if that is larger).
     """
 
-    def __init__(self, budget: int = TRIE_BYTES, depth: int = 0) -> None:
-        self.budget, self.depth, self.held = budget, depth, 0
+    def __init__(self, budget: int = TRIE_BYTES) -> None:
+        self.budget, self.held = budget, 0
         self.root = Node(b"")
-        self.spilled: dict[int, object] = {}
-        self.weight: dict[int, int] = {}
+        self.spilled: list[object] = []
 
     def insert(self, key: bytes, least: int, rows: int = 1, own: int = 1) -> None:
-        if len(key) > self.depth and key[self.depth] in self.spilled:
-            pickle.dump((key, least, rows, own), self.spilled[key[self.depth]])
-            return
         node, at = self.root, 0
         while True:
             if at == len(key):
@@ -92,7 +100,10 @@ class PatriciaTrie:
                 leaf = Node(key[at:])
                 leaf.take(least, rows, own)
                 node.children[key[at]] = leaf
-                self._grow(key, len(leaf.label) + 100)
+                self._grow(len(leaf.label))
+                return
+            if child.file is not None:
+                pickle.dump((key, least, rows, own), child.file)
                 return
             label = child.label
             if key.startswith(label, at):
@@ -103,62 +114,92 @@ class PatriciaTrie:
             child.label = label[cut:]
             upper.children[child.label[0]] = child
             node.children[key[at]] = upper
+            self.held += NODE_BYTES
             node, at = upper, at + cut
 
-    def _grow(self, key: bytes, size: int) -> None:
-        self.held += size
-        if len(key) > self.depth:
-            first = key[self.depth]
-            self.weight[first] = self.weight.get(first, 0) + size
-            if self.held > self.budget and len(self.weight) > 0:
-                self._spill(max(self.weight, key=self.weight.get))
+    def _grow(self, size: int) -> None:
+        self.held += size + NODE_BYTES
+        if self.held > self.budget:
+            self._spill()
 
-    def _spill(self, first: int) -> None:
-        file = tempfile.TemporaryFile(dir=task_folder())
-        for key, node in walk(self.root):
-            if len(key) > self.depth and key[self.depth] == first:
-                pickle.dump((key, node.least, node.rows, node.own), file)
-        self.spilled[first] = file
-        self.held -= self.weight.pop(first)
-        drop(self.root, b"", self.depth, first)
+    def _spill(self) -> None:
+        node, prefix = self.root, b""
+        while True:
+            inner = [c for c in node.children.values() if c.file is None]
+            if len(inner) != 1 or node.rows or not inner[0].children:
+                break
+            node = inner[0]
+            prefix += node.label
+        weights = sorted(((weight(c), byte) for byte, c in node.children.items() if c.file is None), reverse=True)
+        for size, byte in weights if len(weights) > 1 or node.rows or prefix else []:
+            if self.held <= self.budget // 2:
+                break
+            stub = Node(bytes([byte]))
+            stub.file = tempfile.TemporaryFile(dir=task_folder())
+            for key, found in walk(node.children[byte], prefix):
+                pickle.dump((key, found.least, found.rows, found.own), stub.file)
+            for inner in files_below(node.children[byte]):
+                inner.seek(0)
+                shutil.copyfileobj(inner, stub.file, 1 << 20)
+                inner.close()
+                self.spilled.remove(inner)
+            node.children[byte] = stub
+            self.spilled.append(stub.file)
+            self.held -= size
 
     def owners(self) -> Iterator[tuple[bytes, int, int, int]]:
         """Each different key with its smallest id, its rows, and the rows that carry that id."""
-        for key, node in walk(self.root):
-            yield key, node.least, node.rows, node.own
-        self.root = Node(b"")
-        for file in self.spilled.values():
+        files = yield from self._told()
+        while files:
+            file = files.pop()
             file.seek(0)
-            below = PatriciaTrie(self.budget, self.depth + 1)
+            below = PatriciaTrie(self.budget)
             while True:
                 try:
                     below.insert(*pickle.load(file))
                 except EOFError:
                     break
             file.close()
-            yield from below.owners()
+            files += yield from below._told()
+
+    def _told(self) -> Generator[tuple[bytes, int, int, int], None, list[object]]:
+        """The owners in memory, which are then let go; returns the files of the others."""
+        for key, node in walk(self.root):
+            yield key, node.least, node.rows, node.own
+        self.root, files, self.spilled = Node(b""), self.spilled, []
+        return files
 
 
-def walk(root: Node) -> Iterator[tuple[bytes, Node]]:
-    """Terminal nodes with their keys."""
-    stack = [(b"", root)]
+def walk(root: Node, prefix: bytes = b"") -> Iterator[tuple[bytes, Node]]:
+    """Terminal nodes in memory with their keys."""
+    stack = [(prefix, root)]
     while stack:
         prefix, node = stack.pop()
         key = prefix + node.label
         if node.rows:
             yield key, node
-        stack.extend((key, child) for child in node.children.values())
+        stack.extend((key, child) for child in node.children.values() if child.file is None)
 
 
-def drop(node: Node, prefix: bytes, depth: int, first: int) -> None:
-    """Remove the keys whose byte at ``depth`` is ``first``."""
-    for byte, child in list(node.children.items()):
-        key = prefix + child.label
-        if len(key) > depth:
-            if key[depth] == first:
-                del node.children[byte]
-        else:
-            drop(child, key, depth, first)
+def files_below(root: Node) -> list:
+    """Files of subtrees that were spilled inside this one before."""
+    stack, found = [root], []
+    while stack:
+        node = stack.pop()
+        if node.file is not None:
+            found.append(node.file)
+        stack.extend(node.children.values())
+    return found
+
+
+def weight(root: Node) -> int:
+    """Bytes that a subtree holds."""
+    stack, total = [root], 0
+    while stack:
+        node = stack.pop()
+        total += len(node.label) + NODE_BYTES
+        stack.extend(child for child in node.children.values() if child.file is None)
+    return total
 
 
 LOCAL = "bytes long, sha string, text string, least long, n long, own long"
@@ -168,12 +209,12 @@ OWNERS = "bytes long, sha string, keep_id long, group_size long, own long"
 def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each different text of a task, with the smallest id and the counts."""
 
-    def flush(trie: PatriciaTrie, shas: dict[bytes, str]) -> Iterator[pa.RecordBatch]:
+    def flush(trie: PatriciaTrie) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for key, least, n, own in trie.owners():
-            rows.append((len(key), shas[key], key.decode(), least, n, own))
+            rows.append((len(key), hashlib.sha256(key).hexdigest(), key.decode(), least, n, own))
             size += len(key)
-            if size > 4 << 20:
+            if size > BATCH_BYTES:
                 yield packed(rows)
                 rows, size = [], 0
         if rows:
@@ -184,26 +225,23 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bytes", "sha", "text", "least", "n", "own"])
 
-    trie, shas = PatriciaTrie(2 * TRIE_BYTES), {}
+    trie = PatriciaTrie(2 * TRIE_BYTES)
     for batch in batches:
-        ids, texts, hashes = (batch.column(i).to_pylist() for i in range(3))
-        for doc_id, text, sha in zip(ids, texts, hashes, strict=True):
-            key = text.encode()
-            trie.insert(key, NO_ID if doc_id is None else doc_id)
-            shas[key] = sha
-        if trie.held > TRIE_BYTES:
-            yield from flush(trie, shas)
-            trie, shas = PatriciaTrie(2 * TRIE_BYTES), {}
-    yield from flush(trie, shas)
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            trie.insert(text.as_py().encode(), NO_ID if doc_id is None else doc_id)
+            if trie.held > TRIE_BYTES:
+                yield from flush(trie)
+                trie = PatriciaTrie(2 * TRIE_BYTES)
+    yield from flush(trie)
 
 
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The owners of a reduce task's keys: whole texts under their content hash."""
     trie = PatriciaTrie()
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(6)]
-        for _, sha, text, least, n, own in zip(*columns, strict=True):
-            trie.insert(bytes.fromhex(sha) + text.encode(), least, n, own)
+        numbers = [batch.column(i).to_pylist() for i in (3, 4, 5)]
+        for sha, text, least, n, own in zip(batch.column(1), batch.column(2), *numbers, strict=True):
+            trie.insert(bytes.fromhex(sha.as_py()) + text.as_py().encode(), least, n, own)
     rows = []
     for key, least, n, own in trie.owners():
         rows.append((len(key) - 32, key[:32].hex(), least, n, own))
@@ -227,7 +265,6 @@ def normal_text(text: Column) -> Column:
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``bytes, sha, keep_id, group_size, own``: one row for each different text."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), normal_text(F.col(text_col)).alias("text"))
-    rows = rows.select("id", "text", F.sha2("text", 256).alias("sha"))
     return rows.mapInArrow(combine, LOCAL).repartition("bytes", "sha").mapInArrow(merge, OWNERS)
 
 
