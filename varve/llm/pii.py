@@ -104,8 +104,8 @@ NAMES = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "
 TIMES = {"double": 2, "triple": 3}
 
 NAME = "(?:" + "|".join(NAMES) + ")"
-#: At least three digits in a row, one of them spelled.
-SPELLED = re.compile(rf"(?i)(?<![a-z0-9])(?:plus[\s-]+)?(?:(?:double|triple)[\s-]+)?(?:{NAME}|[0-9]+)(?:[\s,.-]{{1,3}}(?:(?:double|triple)[\s-]+)?(?:{NAME}|[0-9]+))++(?![a-z0-9])")
+#: At least three digits in a row, one of them spelled. No look-ahead: a failed end would have the run scanned again from each number.
+SPELLED = re.compile(rf"(?i)(?<![a-z0-9])(?:plus[\s-]+)?(?:(?:double|triple)[\s-]+)?(?:{NAME}|[0-9]+)(?:[\s,.-]{{1,3}}(?:(?:double|triple)[\s-]+)?(?:{NAME}|[0-9]+))++")
 TOKEN = re.compile(rf"(?i)plus|double|triple|{NAME}|[0-9]+")
 BRACKET_AT = re.compile(r"(?i)[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?:at|@)[\x20\t]{0,3}[\])}>][\x20\t]{0,3}")
 BRACKET_DOT = re.compile(r"(?i)[\x20\t]{0,3}[\[({<][\x20\t]{0,3}(?:dot|\.)[\x20\t]{0,3}[\])}>][\x20\t]{0,3}")
@@ -174,9 +174,18 @@ def sign(character: str) -> Callable[[re.Match], list[tuple[str, int, int]]]:
 
 
 def digits_of(m: re.Match) -> list[tuple[str, int, int]]:
-    """The digits of a spelled run, or the run as it is if it spells fewer than three."""
-    out, times, begun, spelled = [], 1, None, False
-    for t in TOKEN.finditer(m[0]):
+    """The digits of a spelled run, or the run as it is if it spells fewer than three.
+
+    A last number that goes on as a word is no part of the run.
+    """
+    out, times, begun, spelled, parts = [], 1, None, False, list(TOKEN.finditer(m[0]))
+    end = len(m[0])
+    if m.string[m.end() : m.end() + 1].isalnum() and m.string[m.end()].isascii():
+        parts.pop()
+        while parts and lower(parts[-1][0]) in TIMES:
+            parts.pop()
+        end = parts[-1].end() if parts else 0
+    for t in parts:
         word = lower(t[0])
         if word == "plus":
             out.append(("+", *t.span()))
@@ -192,7 +201,7 @@ def digits_of(m: re.Match) -> list[tuple[str, int, int]]:
             times, begun = 1, None
     if not spelled or sum(c != "+" for c, _, _ in out) < 3:
         return [(c, i, i + 1) for i, c in enumerate(m[0])]
-    return out
+    return out + [(c, i, i + 1) for i, c in enumerate(m[0]) if i >= end]
 
 
 def strange(text: str) -> bool:
