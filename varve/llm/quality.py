@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -214,15 +213,15 @@ def score(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: s
 
 def score_column(model: Attention, session) -> Column:
     """A vectorised function of a text column: the score, beside whatever columns a row has."""
-    shared = session.sparkContext.broadcast(model)
+    shared = session.sparkContext.broadcast(model)  # of fixed size
 
-    def scores(texts: pd.Series) -> pd.Series:
+    def scores(texts: pa.Array) -> pa.Array:
         encode, attention, out = kept("quality", Passages), shared.value, []
         for at in range(0, len(texts), 64):
-            out.append(attention.scores([encode(t) for t in texts.iloc[at : at + 64]]))
-        return pd.Series(np.concatenate(out) if out else np.empty(0))
+            out.append(attention.scores([encode(t.as_py()) for t in texts.slice(at, 64)]))
+        return pa.array(np.concatenate(out) if out else np.empty(0), pa.float64())
 
-    return F.pandas_udf(scores, "double")
+    return F.arrow_udf(scores, "double")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
