@@ -1,14 +1,17 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
-A text's terms are its different words and their beginnings, hashed, and one
-term for the order of magnitude of its length. The model adds a weight for each
-term and an inner product of two learned vectors for each pair of terms, so a
-pair can count for more than both alone. It is fitted on the driver to a
-bounded sample of labelled rows, at most ``SAMPLE`` of each label, chosen by a
-hash of the id; every document is scored on its whole text.
+A text's terms are its different words and their beginnings, hashed into
+``2 ** BITS`` buckets, and one term for the order of magnitude of its length.
+The model adds a weight for each term and an inner product of two learned
+vectors for each pair of terms, so a pair can count for more than both alone. A
+term counts by how far its share differs between the sampled labels, which
+keeps terms of chance small without leaving any out. The model is fitted on the
+driver to a bounded sample of labelled rows, at most ``SAMPLE`` of each label,
+chosen by a hash of the id; every document is scored on its whole text.
 
 Defined results. Null texts count as empty, and an empty text has the score of
-its length term alone. Rows that repeat an id are scored each. Without any
+its length term alone. A text of any length is its different terms, at most one
+for each bucket. Rows that repeat an id are scored each. Without any
 labelled row, or with rows of one label only, the score is the share of label 1
 among them (0 where there are none). Null labels are left out. An empty table
 gives an empty result.
@@ -30,12 +33,12 @@ from varve.llm.common import crc_part, kept
 #: Labelled rows of each label that the model is fitted to, at most.
 SAMPLE = 3000
 #: Bits of the term hash, and length of the learned vectors.
-BITS, RANK = 32, 6
+BITS, RANK = 20, 6
 #: Lengths of the word beginnings that are terms.
 STARTS = (3, 4, 5, 6, 7)
-EPOCHS, RATE, DECAY, BATCH, SEED = 60, 0.1, 1e-3, 256, 7
-#: Terms that the model has, at most: those that tell the sampled labels apart best.
-CHOSEN = 3000
+EPOCHS, RATE, DECAY, BATCH, SEED = 25, 0.1, 1e-3, 256, 7
+#: Chi-squared of a term between the labels at which it counts half.
+HALF = 20.0
 #: Every so many sampled rows one is held back, to place the threshold.
 HELD_BACK = 5
 #: Where the threshold goes, a clean text predicted toxic costs as much as so many toxic ones missed.
@@ -79,32 +82,26 @@ def hashed(kind: bytes, part: str) -> int:
 
 
 class Machine:
-    """The chosen terms (sorted), and their weights and vectors."""
-
-    def __init__(self, keys: np.ndarray, bias: float) -> None:
-        self.keys, self.bias = keys, bias
-        self.weights, self.vectors = np.zeros(len(keys) + 1, np.float32), np.zeros((len(keys) + 1, RANK), np.float32)
-
-    def places(self, terms: np.ndarray) -> np.ndarray:
-        """Where a text's chosen terms are; one place after the last, without weight, stands for none."""
-        if not len(self.keys):
-            return np.zeros(1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, terms), len(self.keys) - 1)
-        found = at[self.keys[at] == terms]
-        return found if len(found) else np.array([len(self.keys)])
-
-    def forward(self, places: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Logits, and what the gradient needs. Pairs weigh one over the number of a text's terms, so that long texts do not win by length."""
-        flat, counts = np.concatenate(places), np.array([len(p) for p in places])
+    """How much each bucket counts, and its weight and vector."""
+
+    def __init__(self, buckets: int, bias: float) -> None:
+        self.bias = bias
+        self.value, self.weights, self.vectors = np.zeros(buckets, np.float32), np.zeros(buckets, np.float32), np.zeros((buckets, RANK), np.float32)
+
+    def forward(self, terms: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Logits, and what the gradient needs. Pairs weigh one over the sum of a text's values, so that long texts do not win by length."""
+        flat, counts = np.concatenate(terms), np.array([len(t) for t in terms])
         starts = np.cumsum(counts) - counts
-        v = self.vectors[flat]
+        x = self.value[flat]
+        norm = 1 + np.add.reduceat(x, starts)
+        v = self.vectors[flat] * x[:, None]
         sums = np.add.reduceat(v, starts, axis=0)
         squares = np.add.reduceat(np.einsum("ij,ij->i", v, v), starts)
-        pairs = 0.5 * (np.einsum("ij,ij->i", sums, sums) - squares) / counts
-        return self.bias + np.add.reduceat(self.weights[flat], starts) + pairs, flat, counts, v, sums
+        pairs = 0.5 * (np.einsum("ij,ij->i", sums, sums) - squares) / norm
+        return self.bias + np.add.reduceat(self.weights[flat] * x, starts) + pairs, flat, counts, x, norm, v, sums
 
     def scores(self, terms: list[np.ndarray]) -> np.ndarray:
-        logits = self.forward([self.places(t) for t in terms])[0].astype(np.float64)
+        logits = self.forward(terms)[0].astype(np.float64)
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
 
@@ -114,7 +111,7 @@ def fit(terms: list[np.ndarray], labels: np.ndarray) -> Machine:
     known = labels[back]
     model = descend([t for t, b in zip(terms, back, strict=True) if not b], labels[~back])
     if 0 < known.sum() < len(known):
-        logits = model.forward([model.places(t) for t, b in zip(terms, back, strict=True) if b])[0]
+        logits = model.forward([t for t, b in zip(terms, back, strict=True) if b])[0]
         order = np.argsort(-logits, kind="stable")
         found, wrong = np.cumsum(known[order]) / known.sum(), np.cumsum(1 - known[order]) / (len(known) - known.sum())
         best = int(np.argmax(found - FALSE_COST * wrong))
@@ -123,49 +120,46 @@ def fit(terms: list[np.ndarray], labels: np.ndarray) -> Machine:
     return model
 
 
-def telling(terms: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The terms whose presence differs most between the labels, by chi-squared with one row of each added."""
-    keys, place = np.unique(np.concatenate(terms), return_inverse=True)
-    label = np.repeat(labels, [len(t) for t in terms])
-    all_rows, toxic = np.bincount(place, minlength=len(keys)), np.bincount(place, label, len(keys))
-    n0, n1 = (labels == 0).sum() + 2.0, (labels == 1).sum() + 2.0
-    both = (all_rows + 2) / (n0 + n1)
-    gap = ((toxic + 1) / n1 - (all_rows - toxic + 1) / n0) ** 2 / (both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)
-    gap[all_rows < 2] = 0
-    best = np.argsort(-gap, kind="stable")[:CHOSEN]
-    return np.sort(keys[best[gap[best] > 0]])
+def telling(place: np.ndarray, label: np.ndarray, n0: int, n1: int, buckets: int) -> np.ndarray:
+    """How much each term counts: chi-squared of its presence between the labels, with one row of each added, over itself and ``HALF``."""
+    rows, toxic = np.bincount(place, minlength=buckets), np.bincount(place, label, buckets)
+    n0, n1 = n0 + 2.0, n1 + 2.0
+    both = (rows + 2) / (n0 + n1)
+    gap = ((toxic + 1) / n1 - (rows - toxic + 1) / n0) ** 2 / (both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)
+    return (gap / (gap + HALF)).astype(np.float32)
 
 
 def descend(terms: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """Adaptive gradient descent on the logistic loss, in a fixed order."""
+    """Adaptive gradient descent on the logistic loss, in a fixed order, over the buckets that the sample has."""
     share = float(labels.mean()) if len(labels) else 0.0
-    bias = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
+    whole = Machine(1 << BITS, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     if share in (0.0, 1.0):
-        return Machine(np.empty(0, np.int64), bias)
-    model, rng = Machine(telling(terms, labels), bias), np.random.default_rng(SEED)
-    places = [model.places(t) for t in terms]
-    size = len(model.weights)
+        return whole
+    keys, place = np.unique(np.concatenate(terms), return_inverse=True)
+    counts = np.array([len(t) for t in terms])
+    model, rng, size = Machine(len(keys), whole.bias), np.random.default_rng(SEED), len(keys)
+    model.value = telling(place, np.repeat(labels, counts), int((labels == 0).sum()), int((labels == 1).sum()), size)
+    places = np.split(place, np.cumsum(counts)[:-1])
     model.vectors = (rng.standard_normal((size, RANK)) * 0.05).astype(np.float32)
-    seen_w, seen_v, none = np.full(size, 1e-2), np.full((size, RANK), 1e-2), size - 1
+    seen_w, seen_v = np.full(size, 1e-2, np.float32), np.full((size, RANK), 1e-2, np.float32)
     balance = np.where(labels == 1, min(4.0, 0.5 / share), min(4.0, 0.5 / (1 - share)))
     for _ in range(EPOCHS):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
-            logit, flat, counts, v, sums = model.forward([places[i] for i in chosen])
+            logit, flat, counts, x, norm, v, sums = model.forward([places[i] for i in chosen])
             slope = balance[chosen] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[chosen]) / len(chosen)
-            each = np.repeat(slope, counts)
-            grad = np.bincount(flat, each, size) + DECAY * model.weights
+            each = np.repeat(slope, counts) * x
+            grad = np.bincount(flat, each, size).astype(np.float32) + DECAY * model.weights
             seen_w += grad**2
             model.weights -= RATE * grad / np.sqrt(seen_w)
-            push = (each / np.repeat(counts, counts))[:, None] * (np.repeat(sums, counts, axis=0) - v)
-            for k in range(RANK):
-                grad = np.bincount(flat, push[:, k], size) + DECAY * model.vectors[:, k]
-                seen_v[:, k] += grad**2
-                model.vectors[:, k] -= RATE * grad / np.sqrt(seen_v[:, k])
-            model.weights[none], model.vectors[none] = 0, 0
+            push = (each / np.repeat(norm, counts))[:, None] * (np.repeat(sums, counts, axis=0) - v)
+            grad = np.stack([np.bincount(flat, push[:, k], size) for k in range(RANK)], axis=1).astype(np.float32) + DECAY * model.vectors
+            seen_v += grad**2
+            model.vectors -= RATE * grad / np.sqrt(seen_v)
             model.bias -= RATE * float(slope.sum())
-    return model
+    whole.bias, whole.value[keys], whole.weights[keys], whole.vectors[keys] = model.bias, model.value, model.weights, model.vectors
+    return whole
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, each: int) -> DataFrame:
@@ -194,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # CHOSEN terms at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, machine = kept("toxicity", Terms), shared.value
