@@ -1,10 +1,11 @@
 """Language of whole texts by a linear-chain conditional random field over words.
 
-Every word is a position of the chain. Its features are affixes, character
+Every word is a position of the chain; runs of scripts that are written without
+spaces are cut into positions of ``RUN`` letters. A position's features are affixes, character
 n-grams and, as a lexicon, the word itself, all hashed; transitions between the
 languages of neighbouring words are learned with them. Training sequences are
-code-switched: segments from all over the sampled documents, each labelled with
-its document's language, strung together. Forward-backward gives each word's
+code-switched: all words of the sampled documents, cut into segments, each
+labelled with its document's language, strung together. Forward-backward gives each word's
 chances, and a text's language is the one with the most expected words; its
 share of them is the score.
 
@@ -13,7 +14,7 @@ of ``STEP`` words whose transfer matrices are computed side by side, so a long
 text is as cheap for its length as many short ones.
 
 Defined results. ``und`` with score 0 for null texts and texts without a
-letter. Ties go to the language first in code-point order. Rows that repeat an
+letter. A text of any length is one chain. Ties go to the language first in code-point order. Rows that repeat an
 id are labelled each. Without any training text all texts are ``und``. An empty
 table gives an empty result.
 """
@@ -36,29 +37,42 @@ from varve.llm.common import crc_part, kept
 UNKNOWN = "und"
 #: Documents of each language that the field is fitted to, at most.
 SAMPLE = 250
-#: Segments taken from a sampled document at most, spread over all of it, and their words.
-SEGMENTS, SEGMENT = 24, (3, 24)
+#: Words of the segments into which a sampled document is cut.
+SEGMENT = (3, 24)
 #: Words of a training sequence.
 SEQUENCE = 64
 #: Buckets of the hashed features.
-BITS = 15
+BITS = 17
 EPOCHS, RATE, DECAY, BATCH, SEED = 6, 0.1, 1e-5, 64, 5
 #: Words of a segment of forward-backward, and words that are labelled at a time.
 STEP, AT_ONCE = 32, 100_000
 #: Words whose emissions a task remembers.
 REMEMBERED = 400_000
 
+#: Letters of a position in scripts without spaces between words.
+RUN = 4
+
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall((text or "").lower())
+    low = (text or "").lower()
+    words = WORDS.findall(low)
+    if low.isascii() or not UNSPACED.search(low):
+        return words
+    return [p for w in words for p in (positions(w) if UNSPACED.search(w) else (w,))]
+
+
+def positions(run: str) -> list[str]:
+    """A run of letters in pieces of ``RUN`` characters."""
+    return [run[i : i + RUN] for i in range(0, len(run), RUN)]
 
 
 def features(word: str) -> list[int]:
     """Hashed affixes, n-grams (of UTF-8 bytes) and lexicon entry of a word."""
     body = word.encode(errors="replace")
-    edged = b"^" + body[:64] + b"$"
+    edged = b"^" + body + b"$"
     parts = [b"=" + body]
     parts += [b"<" + body[:n] for n in (2, 3, 4)] + [b">" + body[-n:] for n in (2, 3, 4)]
     parts += [edged[i : i + n] for n in (2, 3) for i in range(len(edged) - n + 1)]
@@ -246,13 +260,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for batch in batches:
             ids, langs, parts = [], [], []
             for doc_id, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words = words_of(text)
+                words, at = words_of(text), 0
                 rng = np.random.default_rng([SEED, doc_id & 0xFFFFFFFF])
-                sizes = rng.integers(SEGMENT[0], SEGMENT[1] + 1, SEGMENTS)
-                for at, n in zip(np.linspace(0, max(0, len(words) - SEGMENT[1]), SEGMENTS).astype(int), sizes, strict=True):
+                while at < len(words):
+                    n = int(rng.integers(SEGMENT[0], SEGMENT[1] + 1))
                     ids.append(doc_id)
                     langs.append(lang)
                     parts.append(" ".join(words[at : at + n]))
+                    at += n
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(parts, pa.string())], ["id", "lang", "words"])
 
     sample = rows.join(F.broadcast(picked), ["id", "lang"]).select("id", "text", "lang")  # ``each`` rows a language at most
