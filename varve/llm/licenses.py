@@ -233,7 +233,7 @@ def scan(files: DataFrame) -> DataFrame:
 
     kind = dict(files.dtypes)["id"]
     own = files.select("id", "path", "text", speaks.alias("speaks")).mapInArrow(marked, f"id {kind}, path string, speaks boolean, license string, score double")
-    own = own.withColumn("dir", directory(F.col("path")))
+    own = checkpoint(own.withColumn("dir", directory(F.col("path"))))  # without the texts, which are scanned once
     spoken = own.where("speaks and license <> ''").groupBy(F.col("dir").alias("above"))
     spoken = spoken.agg(F.min(F.struct((-F.col("score")).alias("low"), "path", "license")).alias("best")).select("above", F.col("best.license").alias("given"))
     parts = F.split("dir", "/")
