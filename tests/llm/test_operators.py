@@ -1,8 +1,11 @@
 """The training-data operators against plain versions: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import bisect
+import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -76,6 +79,28 @@ def test_trie_owners_with_spills(items, budget):
     assert {k: (a, n, o) for k, a, n, o in trie.owners()} == want
 
 
+@pytest.mark.parametrize("budget", [1_000, 20_000, 200_000])
+def test_trie_spills_below_a_long_shared_beginning(budget):
+    rnd = random.Random(1)
+    head = bytes(rnd.randrange(256) for _ in range(3_000))
+    keys = [head + str(rnd.randrange(200)).encode() * rnd.choice([1, 3, 40]) for _ in range(600)] + [head, head[:1_500], b""]
+    trie, want = exact_dedup.PatriciaTrie(budget), Counter(keys)
+    for i, key in enumerate(keys):
+        trie.insert(key, i)
+    assert {k: (a, n) for k, a, n, _ in trie.owners()} == {k: (keys.index(k), n) for k, n in want.items()}
+
+
+def test_exact_of_very_long_texts(spark):
+    head = "licence " * 4_000
+    rows = [(i, head + f"{i % 40} " + "tail " * 20_000, None, None) for i in range(120)]
+    exact_dedup.TRIE_BYTES, kept = 1 << 20, exact_dedup.TRIE_BYTES
+    try:
+        got = sorted((repr(r.doc_id), repr(r.keep_id), r.group_size, r.text_sha256) for r in exact_dedup.digest(docs(spark, rows).repartition(1)).collect())
+    finally:
+        exact_dedup.TRIE_BYTES = kept
+    assert got == sorted((repr(d), repr(k), n, h) for d, k, n, h in brute.exact([(r[0], r[1]) for r in rows]))
+
+
 # --- mixing ---
 
 
@@ -173,7 +198,44 @@ def test_bin_completion_uses_every_piece_once(lengths):
     assert packing.least_sequences(counts, 50) <= sequences <= len(bins)
 
 
-@pytest.mark.parametrize("counts", [{1: 100_000}, {1: 30_000, 2: 30_000, 3: 9_000}, {1: 50_000, 4000: 20, 700: 45}, {7: 9_000, 5: 2_000}])
+def _best_fit(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - n)
+    return len(rooms)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=120))
+def test_packing_is_never_worse_than_best_fit(lengths):
+    counts = _counts(lengths)
+    grouped = packing.best_fit(counts, 60)
+    assert sum(t for _, t in grouped) == _best_fit(lengths, 60)
+    assert {k: sum(t * dict(uses).get(k, 0) for uses, t in grouped) for k in counts} == counts
+    assert sum(t for _, t in packing.complete(counts, 60)) <= _best_fit(lengths, 60)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 9), min_size=1, max_size=4), st.lists(st.integers(1, 9), min_size=1, max_size=4))
+def test_domination_is_a_partition(a, b):
+    a, b = sorted(a, reverse=True), sorted(b, reverse=True)
+    fits = any(all(sum(x for x, i in zip(b, places, strict=True) if i == j) <= room for j, room in enumerate(a)) for places in itertools.product(range(len(a)), repeat=len(b)))
+    assert fits or not packing.dominates(a, b)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("mean", [1, 5, 10, 12, 400])
+def test_hundred_thousand_pieces(mean, seed):
+    lengths = np.clip(np.random.default_rng(seed).normal(mean, mean / 3, 100_000), 1, 4096).astype(int).tolist()
+    counts = _counts(lengths)
+    used = sum(t for _, t in packing.complete(counts, 4096))
+    least = packing.least_sequences(counts, 4096)
+    assert least <= used <= min(_best_fit(lengths, 4096), least + least // 1_000 + 1)
+
+
+@pytest.mark.parametrize("counts", [{5: 100_000}, {10: 100_000}, {1: 100_000}, {1: 30_000, 2: 30_000, 3: 9_000}, {1: 50_000, 4000: 20, 700: 45}, {7: 9_000, 5: 2_000}])
 def test_many_short_pieces_fill_sequences(counts):
     patterns = packing.complete(counts, 4096)
     assert sum(t for _, t in patterns) == packing.least_sequences(counts, 4096)
@@ -190,25 +252,71 @@ def test_near_digest(spark, rows):
         assert got == brute.near([(r[0], r[1]) for r in rows], width, percent)
 
 
-def test_near_group_larger_than_a_small_bucket(spark):
-    """A base with many edited copies, most of which are close to the base only, dealt in several blocks."""
-    rnd = random.Random(5)
-    base = [f"w{rnd.randrange(5000)}" for _ in range(120)]
-    rows = []
-    for i in range(150):
+@pytest.fixture
+def small_blocks():
+    """Blocks, buckets and hubs so small that few rows go every way of the search."""
+    sizes = {"BLOCK_ROWS": 40, "SMALL": 8, "MANY": 60, "HUBS": 3}
+    kept = {k: getattr(near_dedup, k) for k in sizes}
+    for k, v in sizes.items():
+        setattr(near_dedup, k, v)
+    yield
+    for k, v in kept.items():
+        setattr(near_dedup, k, v)
+
+
+def edited(rnd, n, length, edits):
+    """Copies of one text with so many words exchanged, most of which are close to the base only."""
+    base = [f"w{rnd.randrange(5000)}" for _ in range(length)]
+    for _ in range(n):
         copy = base[:]
-        for _ in range(rnd.choice([0, 1, 2, 3, 5])):
-            copy[rnd.randrange(120)] = f"e{rnd.randrange(5000)}"
-        rows.append((i, " ".join(copy), None, None))
-    near_dedup.BLOCK_ROWS, kept = 40, near_dedup.BLOCK_ROWS
-    near_dedup.SMALL, small = 8, near_dedup.SMALL
-    try:
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.digest(docs(spark, rows), width=3, percent=85).collect()}
-    finally:
-        near_dedup.BLOCK_ROWS, near_dedup.SMALL = kept, small
+        for _ in range(rnd.choice(edits)):
+            copy[rnd.randrange(length)] = f"e{rnd.randrange(5000)}"
+        yield " ".join(copy)
+
+
+def test_near_group_larger_than_a_small_bucket(spark, small_blocks):
+    rnd = random.Random(5)
+    rows = [(i, t, None, None) for i, t in enumerate([*edited(rnd, 150, 120, [0, 1, 2, 3, 5]), *edited(rnd, 120, 150, [4, 6, 8])])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.digest(docs(spark, rows), width=3, percent=85).collect()}
     assert got == brute.near([(r[0], r[1]) for r in rows], 3, 85)
 
 
+def test_blocks_copy_outsiders_only(spark, small_blocks):
+    """A bucket with a large component: its members go to the blocks of outsiders and no further."""
+    rows = [("b", i, 5, 0 if i < 400 else i) for i in range(430)]
+    many = spark.createDataFrame(rows, "bucket string, id long, n long, component long")
+    sets = spark.range(430).selectExpr("id", "array(id) shingles")
+    assert near_dedup.in_blocks(many, sets).where("id < 400").count() == 400
+
+
+def test_near_rows_that_repeat_an_id(spark):
+    words = [[f"{k}{i}" for i in range(100)] for k in "ab"]
+    a, b = (" ".join(w) for w in words)
+    rows = [(3, a + " more"), (5, a), (5, b), (5, b), (9, b + " more"), (11, b + " more"), (11, None), (12, "c d e f g h"), (12, "c d e f g h")]
+    got = near_dedup.digest(docs(spark, [(*r, None, None) for r in rows])).collect()
+    found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got)
+    assert found == sorted((d, max(0, len((t or "").split()) - 4), (3 if t else d) if d < 12 else 12, d in (3, 12) or not t) for d, t in rows)
+    left = near_dedup.near_dedup(docs(spark, [(*r, None, None) for r in rows])).collect()
+    assert sorted(r.doc_id for r in left) == [3, 12, 12]
+
+
+def test_near_recall_against_brute_force(spark):
+    """Groups of copies around the threshold: every link of brute force is found."""
+    rnd = random.Random(8)
+    texts = [t for _ in range(60) for t in edited(rnd, 12, rnd.choice([20, 60, 200]), [0, 1, 2, 4, 8])]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.digest(docs(spark, rows)).collect()}
+    assert got == brute.near([(r[0], r[1]) for r in rows], 5, 80)
+
+
+def test_near_of_very_long_texts(spark):
+    rnd = random.Random(9)
+    long = [f"w{rnd.randrange(50_000)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long), None, None), (2, " ".join(long[:-4000]), None, None), (3, " ".join(long[:200_000]), None, None)]
+    got = {r.doc_id: r.component_id for r in near_dedup.digest(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_filter(spark, rows):
     table = docs(spark, rows + [(None, rows[9][1], None, None)])
     kept = near_dedup.near_dedup(table)
@@ -278,6 +386,57 @@ def test_top_k_of_few(spark):
 # --- learned scores ---
 
 
+def test_factorization_machine_against_all_pairs():
+    """The sum over pairs, one by one."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Machine(50, 0.3)
+    model.value, model.weights, model.vectors = rng.random(50).astype(np.float32), rng.standard_normal(50).astype(np.float32), rng.standard_normal((50, toxicity.RANK)).astype(np.float32)
+    texts = [np.sort(rng.choice(50, n, replace=False)) for n in (1, 2, 9, 30, 50)]
+    for terms, got in zip(texts, model.scores(texts), strict=True):
+        x = [float(model.value[t]) for t in terms]
+        pairs = sum(x[i] * x[j] * float(model.vectors[terms[i]] @ model.vectors[terms[j]]) for i in range(len(x)) for j in range(i))
+        logit = 0.3 + sum(v * float(model.weights[t]) for v, t in zip(x, terms, strict=True)) + pairs / (1 + sum(x))
+        assert math.isclose(got, 1 / (1 + math.exp(-logit)), abs_tol=1e-5)
+
+
+def test_attention_against_plain_sums():
+    """Each passage on its own: gated weight, softmax over the document, weighted representation."""
+    rng = np.random.default_rng(5)
+    model = quality.Attention(0.4)
+    model.mean, model.scale = rng.standard_normal(quality.FEATURES).astype(np.float32), rng.random(quality.FEATURES).astype(np.float32) + 0.5
+    bags = [rng.standard_normal((n, quality.FEATURES)).astype(np.float32) for n in (1, 3, 40)]
+    for bag, got in zip(bags, model.scores(bags), strict=True):
+        h = [np.tanh(((x - model.mean) / model.scale).astype(float) @ model.encode) for x in bag]
+        e = [float((np.tanh(v @ model.tanh) / (1 + np.exp(-(v @ model.gate)))) @ model.weigh) for v in h]
+        a = [math.exp(v) / sum(map(math.exp, e)) for v in e]
+        z = sum(w * v for w, v in zip(a, h, strict=True))
+        assert math.isclose(got, 1 / (1 + math.exp(-(float(z @ model.score) + model.bias))), abs_tol=1e-4)
+
+
+def test_pairs_of_terms_count_for_more_than_both_alone(spark):
+    """Labels that no sum of weights can tell: toxic where exactly the pair stands."""
+    rnd, rows, marks = random.Random(6), [], []
+    for i in range(900):
+        text = [rnd.choice(["plain", "words", "stand", "here", "and", "there"]) for _ in range(12)]
+        a, b = rnd.random() < 0.5, rnd.random() < 0.5
+        text += ["insult"] * a + ["group"] * b
+        rnd.shuffle(text)
+        rows.append((i, " ".join(text), "en", "s"))
+        marks.append((i, 1, int(a and b)))
+    found = {r.doc_id: r for r in toxicity.digest(docs(spark, rows), labels(spark, marks)).collect()}
+    own = [(found[i].predicted, t) for i, _, t in marks if found[i].held_out]
+    assert np.mean([p == t for p, t in own]) > 0.97
+
+
+@pytest.mark.parametrize("digest", [toxicity.digest, quality.digest])
+def test_scores_of_very_long_texts(spark, digest):
+    rows, marks = learnable(200)
+    long = [(7001, rows[0][1] + " filler word" * 300_000, None, None), (7002, "x" * 2_000_000, None, None)]
+    found = {r.doc_id: r.score for r in digest(docs(spark, rows + long), labels(spark, marks)).collect()}
+    assert len(found) == 202 and all(0 <= s <= 1 for s in found.values())
+
+
+
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
@@ -340,6 +499,27 @@ def test_language(spark):
     assert found[5003].lang_pred == "cc" and found[5003].switches >= 1 and abs(found[5003].score - 0.75) < 0.05
 
 
+def test_features_of_whole_words():
+    """Letters far from a word's ends count, and scripts without spaces are cut into positions."""
+    assert set(language.features("a" * 100 + "x" + "b" * 100)) != set(language.features("a" * 100 + "y" + "b" * 100))
+    assert language.words_of("Eins zwei") == ["eins", "zwei"] and language.words_of(None) == []
+    run = "".join(chr(0x4E00 + i) for i in range(200))
+    cut = language.words_of(f"abc {run} déf")
+    assert "".join(cut[1:-1]) == run and all(len(p) <= language.RUN for p in cut[1:-1]) and (cut[0], cut[-1]) == ("abc", "déf")
+
+
+def test_language_of_unspaced_and_long_texts(spark):
+    rnd = random.Random(7)
+    letters = {"zh": [chr(0x4E00 + i) for i in range(60)], "yy": [chr(0x4E00 + i) for i in range(50, 110)], "aa": list("abcdefgh ")}
+    text = lambda lang, n: "".join(rnd.choice(letters[lang]) for _ in range(n))
+    rows = [(i, text(lang, rnd.choice([30, 200])), lang, "s") for i in range(200) for lang in [rnd.choice(list(letters))]]
+    rows += [rows[3], (6000, text("yy", 400_000), None, None), (6001, text("aa", 400_000), None, None)]
+    found = language.digest(docs(spark, rows)).collect()
+    assert len(found) == len(rows)
+    truth = {r[0]: r[2] for r in rows} | {6000: "yy", 6001: "aa"}
+    assert np.mean([r.lang_pred == truth[r.doc_id] for r in found if r.held_out or r.doc_id >= 6000]) > 0.97
+
+
 def test_forward_backward_in_segments():
     rng = np.random.default_rng(1)
     lengths = np.array([1, 5, 31, 32, 33, 64, 200])
@@ -396,7 +576,29 @@ def test_licences_inside_long_statements(before):
     assert name == "Apache-2.0" and score >= licenses.LEAST
 
 
-@pytest.mark.parametrize("spdx", ["MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "BSD-3-Clause", "CC0-1.0"])
+def plain_cosine(a, b, files, frequency):
+    """The cosine of two texts' TF-IDF vectors, term by term."""
+    idf = lambda t: 1 - math.log(max(frequency.get(t, 0) / files, licenses.RARE))
+    x, y = ({t: (1 + math.log(n)) * idf(t) for t, n in Counter(licenses.tokens(s)).items()} for s in (a, b))
+    norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(v * y.get(t, 0.0) for t, v in x.items()) / norm if norm else 0.0
+
+
+def test_cosines_against_brute_force():
+    rnd, frequency = random.Random(3), {t: int(1_000 * s) for t, s in SHARES.items()}
+    made = licenses.Templates(1_000, frequency)
+    every = [*licenses.TEMPLATES, *licenses.full_texts()]
+    for _ in range(60):
+        words = licenses.tokens(rnd.choice(every)[1])
+        for _ in range(rnd.choice([0, 2, 10])):
+            words[rnd.randrange(len(words))] = rnd.choice(["apache", "word", "the", "license", "xnine"])
+        score, name = made.best(words)
+        want = [(plain_cosine(" ".join(words), text, 1_000, frequency), n) for n, text in every]
+        best = max(want)[0]
+        assert abs(score - best) < 1e-9 and name in [n for c, n in want if c > best - 1e-9]
+
+
+@pytest.mark.parametrize("spdx", ["MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "ISC", "Unlicense"])
 def test_full_licence_texts(spdx):
     made, text = licenses.Templates(1_000, {}), dict(licenses.full_texts())[spdx]
     assert made.scan(text, True) == (pytest.approx(1.0), spdx)

@@ -1,6 +1,8 @@
 """Personal data: the base detectors against the plain patterns, and disguises mapped back."""
 
+import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -71,6 +73,30 @@ def test_plain_prose_adds_nothing():
 @pytest.mark.parametrize("unit", ["a", "1", "1.", "1 ", "+1", "+1(", "@", "a@", "one ", "dot ", " at ", "a.", "(at)"])
 def test_long_texts_take_linear_time(unit):
     pii.spans(unit * (200_000 // len(unit)))
+    begun = time.perf_counter()
+    pii.spans("one two three. " + unit * (200_000 // len(unit)) + "1a")
+    assert time.perf_counter() - begun < 20
+
+
+def test_a_run_ends_before_a_number_that_goes_on():
+    text = "call plus one zero one seven five five five seven seven one three double 4x"
+    base, added = pii.spans(text)
+    assert not base and [text[a:b] for a, b, _ in added] == ["plus one zero one seven five five five seven seven one three"]
+
+
+def test_digest_against_the_plain_patterns(spark):
+    texts = ["mail a.b@c.de or 1.2.3.4 and +1 (017) 555-7713, 4111 1111 1111 1111", "jo at example dot com", None, "", "none", "mail a.b@c.de or 1.2.3.4", "x " * 100_000 + "a@b.cd"]
+    rows = [(i, t, "x", 1, "y") for i, t in enumerate(texts)] + [(0, texts[0], "x", 1, "y"), (None, texts[1], "x", 1, "y")]
+    schema = "doc_id long, text string, spans string, n_ip int, base_sha256 string"
+    got = sorted(pii.digest(spark.createDataFrame(rows, schema)).collect(), key=repr)
+    want = []
+    for doc_id, text, *_ in rows:
+        base, added = plain(text or ""), pii.spans(text)[1]
+        told = lambda found: ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(found, key=lambda s: (s[0], pii.KINDS.index(s[2]))))
+        counts = [sum(k == kind for *_, k in base) for kind in pii.KINDS]
+        want.append((doc_id, *counts, hashlib.sha256(told(base).encode()).hexdigest(), told(base + added), len(added)))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert pii.digest(spark.createDataFrame([], schema)).count() == 0
 
 
 @pytest.mark.parametrize(

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tests.llm import brute
@@ -44,8 +45,21 @@ def test_pipeline(spark, tmp_path):
     assert got == want
 
 
-def test_stages_keep_the_columns(spark, tmp_path):
-    table = docs(spark, corpus(3, 30)).select("doc_id", "text", "lang", "source")
-    labels(spark, [(1, 1, 0)]).write.parquet(f"{tmp_path}/labels.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, table, str(tmp_path)).columns == table.columns
+@pytest.mark.parametrize("n", [0, 30])
+def test_stages_keep_the_columns(spark, tmp_path, n):
+    """Rows that repeat, null ids, extra columns whose names clash, and empty tables."""
+    made = corpus(3, n)
+    table = docs(spark, made + made[:4] + [(None, "only null", None, None)] * bool(n))
+    labels(spark, [(1, 1, 0)] if n else []).write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, table, str(tmp_path))
+        if name != "packing":
+            assert found.columns == table.columns and found.dtypes == table.dtypes
+        assert (found.count() > 0) == (n > 0)
+
+
+def test_run_over_clashing_columns_and_empty_tables(spark, tmp_path):
+    labels(spark, []).write.parquet(f"{tmp_path}/labels.parquet")
+    for n in (40, 0):
+        docs(spark, corpus(5, n)).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        assert (corpus_pipeline.run(spark, str(tmp_path)).count() > 0) == (n > 0)
