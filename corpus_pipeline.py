@@ -11,11 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from varve.llm import exact_dedup, mixing, near_dedup, packing, quality
-from varve.llm.common import shared_folder, table
+from varve.llm.common import shared_folder, small_batches, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -52,10 +53,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage has read is removed once its result is written."""
+    small_batches(spark)
+    docs, read = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        remove(spark, read)
+        read = f"{folder}/{name}"
+        docs = spark.read.parquet(read)
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, folder)  # the packer's pieces stand in the checkpoint folder
+    return packed
+
+
+def remove(spark: SparkSession, folder: str | None) -> None:
+    if folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
