@@ -5,8 +5,10 @@ needs is the number of pieces of each length, at most ``CAPACITY`` numbers
 however large the corpus is; on these the driver runs bin completion. The
 largest remaining length is completed with an undominated filling of what is
 left in its sequence, and the filling is used as often as the supply allows.
-The best-fit solution is the incumbent; the waste bound (the least number of
-sequences for all ids) prunes, and a solution that meets it is optimal.
+Best-fit decreasing runs beside it, and the better solution is the incumbent of
+a branch and bound over the emptiest sequences, which prunes by the waste bound
+and by dominance; a solution that meets the least number of sequences is
+optimal. No packing is worse than best-fit decreasing.
 
 Pieces find their place by rank: the rank of a piece among those of its length
 is a two-level running count, and the plan maps ranges of ranks to sequences.
@@ -21,7 +23,6 @@ from __future__ import annotations
 import bisect
 import os
 import re
-import struct
 import unicodedata
 import zlib
 from collections import Counter
@@ -44,7 +45,7 @@ FILL_NODES, TAIL_NODES = 300, 20_000
 #: Hash buckets of a length, so that a hot length is counted by many tasks.
 BUCKETS = 1024
 #: Words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -71,21 +72,25 @@ class Encoder:
         self.words = re.compile(rf"[{letters}]+|'(?:[stmd]|re|ve|ll)|[{digits}]|[^\s{letters}{digits}]+").findall
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words: all encoded in one text, and told apart by the word that each id is of."""
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            found = self.whole.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(found.word_ids, minlength=len(part)))).tolist()
+            self.known.update((w, ids[a:z]) for w, a, z in zip(part, [0, *ends], ends, strict=False))
 
     def encode(self, text: str) -> bytes:
         if not self.plain(text) or any(t in text for t in self.special):
-            return self._ids([text])[0]
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) > REMEMBERED:
             self.known.clear()
         words = self.words(text.lower())
         found = list(map(self.known.get, words))
         if None in found:
             gaps = [k for k, ids in enumerate(found) if ids is None]
-            fresh = list({words[k] for k in gaps})
-            self.known.update(zip(fresh, self._ids(fresh), strict=True))
+            self._learn(list({words[k] for k in gaps}))
             for k in gaps:
                 found[k] = self.known[words[k]]
         return b"".join(found)
@@ -133,8 +138,8 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str | None, cap
 # --- bin completion over a histogram of lengths ---
 
 
-def filling(room: int, lengths: list[int], supply: dict[int, int], nodes: int = FILL_NODES) -> list[int]:
-    """Lengths whose sum comes nearest to ``room`` from below, as far as ``nodes`` steps find it.
+def filling(room: int, lengths: list[int], supply: dict[int, int], nodes: int = FILL_NODES) -> list[tuple[int, int]]:
+    """Lengths and how many of each, whose sum comes nearest to ``room`` from below, as far as ``nodes`` steps find it.
 
     Depth-first over the number of pieces of each length, with the largest
     length that fits and as many of it as fit first, which is the best-fit
@@ -168,11 +173,21 @@ def filling(room: int, lengths: list[int], supply: dict[int, int], nodes: int =
         return False
 
     descend(room, len(lengths))
-    return [length for length, n in best for _ in range(n)]
+    return best
 
 
 def complete(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns ([(length, times)], sequences that use it) for all pieces."""
+    """Patterns ([(length, times)], sequences that use it) for all pieces.
+
+    Bin completion and best-fit decreasing; the better of both is the incumbent
+    that the branch and bound over the emptiest sequences starts from.
+    """
+    best = min((completed(counts, capacity), best_fit(counts, capacity)), key=lambda p: sum(t for _, t in p))
+    return improved(best, counts, capacity)
+
+
+def completed(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """The largest remaining length with its fullest filling, as often as the supply allows, until nothing remains."""
     supply = {k: v for k, v in counts.items() if v}
     lengths = sorted(supply)
     patterns = []
@@ -182,8 +197,8 @@ def complete(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int
         rest = filling(capacity - largest, lengths, supply)
         supply[largest] += 1
         uses: dict[int, int] = {largest: 1}
-        for length in rest:
-            uses[length] = uses.get(length, 0) + 1
+        for length, n in rest:
+            uses[length] = uses.get(length, 0) + n
         times = min(supply[k] // n for k, n in uses.items())
         patterns.append((sorted(uses.items(), reverse=True), times))
         for k, n in uses.items():
@@ -191,7 +206,52 @@ def complete(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int
             if not supply[k]:
                 del supply[k]
                 lengths.pop(bisect.bisect_left(lengths, k))
-    return improved(patterns, counts, capacity)
+    return patterns
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Best-fit decreasing on counts: each piece goes to the fullest sequence that has room for it.
+
+    Sequences with the same room are one group; a length fills a group up before
+    it goes to the next one, as best fit does piece by piece.
+    """
+    groups: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}  # by room: patterns and sequences
+    rooms: list[int] = []
+
+    def put(room: int, pattern: tuple[tuple[int, int], ...], times: int) -> None:
+        if room not in groups:
+            groups[room] = []
+            bisect.insort(rooms, room)
+        groups[room].append((pattern, times))
+
+    for length in sorted((k for k, n in counts.items() if n), reverse=True):
+        left = counts[length]
+        while left:
+            at = bisect.bisect_left(rooms, length)
+            if at == len(rooms):
+                each = capacity // length
+                if left >= each:
+                    put(capacity - each * length, ((length, each),), left // each)
+                if left % each:
+                    put(capacity - left % each * length, ((length, left % each),), 1)
+                break
+            room = rooms[at]
+            pattern, times = groups[room].pop()
+            if not groups[room]:
+                del groups[room]
+                rooms.pop(at)
+            each = room // length
+            full = min(times, left // each)
+            if full:
+                put(room - each * length, (*pattern, (length, each)), full)
+            left -= full * each
+            if full < times:
+                if left:
+                    put(room - left * length, (*pattern, (length, left)), 1)
+                if times - full - bool(left):
+                    put(room, pattern, times - full - bool(left))
+                left = 0
+    return [(list(p), t) for room in rooms for p, t in groups[room]]
 
 
 def least_sequences(counts: dict[int, int], capacity: int, orders: int = 20) -> int:
@@ -262,7 +322,7 @@ def less(rest: dict[int, int], gone: dict[int, int]) -> dict[int, int]:
 
 
 def completions(rest: dict[int, int], room: int, waste: int, budget: list[int], most: int = 30) -> list[list[int]]:
-    """Fillings of ``room`` that waste no more than ``waste``, fullest first, none to which a piece could be added; ``rest`` descends."""
+    """Undominated fillings of ``room`` that waste no more than ``waste``, fullest first; ``rest`` descends."""
     lengths, out = list(rest.items()), []
 
     def go(i: int, free: int, path: list[tuple[int, int]], short: int) -> None:
@@ -281,7 +341,30 @@ def completions(rest: dict[int, int], room: int, waste: int, budget: list[int],
                 return
 
     go(0, room, [], room + 1)
-    return sorted(out, key=lambda p: (-sum(p), len(p)))
+    out.sort(key=lambda p: (-sum(p), len(p)))
+    kept: list[list[int]] = []
+    for filling in out:
+        if not any(dominates(k, filling) for k in kept):
+            kept.append(filling)
+    return kept
+
+
+def dominates(a: list[int], b: list[int]) -> bool:
+    """Whether the pieces of ``b`` fit into rooms of the sizes of ``a``'s, so that ``b`` can be swapped for ``a`` in any packing.
+
+    Both descend. Best fit answers; where it fails the other way may still exist, and ``b`` stays.
+    """
+    if len(b) < len(a) or len(b) > 24:
+        return False
+    rooms = sorted(a)
+    for piece in b:
+        at = bisect.bisect_left(rooms, piece)
+        if at == len(rooms):
+            return False
+        room = rooms.pop(at) - piece
+        if room:
+            bisect.insort(rooms, room)
+    return True
 
 
 def ranges(patterns: list) -> np.ndarray:
