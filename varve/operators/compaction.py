@@ -1,7 +1,7 @@
 """Liveness, classification and planning of compactions.
 
 An entry's fate follows from the blocks that the current map still resolves to
-it. The classification is one range join in address buckets and three
+it. The classification is one join by volume, segment and hash and three
 lookups by hash; per-segment liveness is one aggregate. Only first-fit packing
 is sequential, and it runs for each volume on its own few candidates.
 """
@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from varve.operators import content_index as ci
 from varve.operators import intervals as iv
+from varve.operators import read_path as rp
 
 #: Bytes and entries of a packed output, share of live bytes below which packing pays, outputs of a pass.
 CAP_BYTES, CAP_ENTRIES, SPARSE, MAX_BUCKETS = 32 << 20, 8192, 0.70, 4
 #: Entries after which the reaping of data segments stops for a pass.
 REAP_CAP = 32_768
+#: Ids of a stretch of segments.
+STRETCH = 4096
 DEAD = ("drop", "drop_and_remove_hash")
 
 
@@ -28,14 +31,16 @@ def live_hashes(volmap: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def live_runs(entries: DataFrame, volmap: DataFrame) -> DataFrame:
-    """Runs of the map that keep an entry alive: same hash, same anchor, and the entry's segment as claimant."""
-    claims = volmap.select("volume_id", F.col("start_lba").alias("r_start"), F.col("lba_length").alias("r_length"), F.col("hash").alias("r_hash"), "payload_block_offset", "claimant")
-    sides = entries.select("volume_id", "segment_id", "entry_idx", "hash", "start_lba", "lba_length")
-    met = iv.overlapping(sides, claims, iv.end(), F.col("r_start") + F.col("r_length"), on=["volume_id"])
+    """Runs of the map that keep an entry alive: same hash, same anchor, and the entry's segment as claimant.
+
+    They meet by equality on volume, segment and hash; the overlap is tested on
+    the few pairs that are left.
+    """
+    claims = volmap.select("volume_id", F.col("claimant").alias("segment_id"), "hash", F.col("start_lba").alias("r_start"), iv.end().alias("r_end"), "payload_block_offset")
+    met = entries.select("volume_id", "segment_id", "entry_idx", "hash", "start_lba", iv.end().alias("l_end")).join(claims, ["volume_id", "segment_id", "hash"])
     low, high = F.greatest("start_lba", "r_start"), F.least("l_end", "r_end")
     anchored = low - F.col("start_lba") == F.col("payload_block_offset") + low - F.col("r_start")
-    met = met.where((F.col("hash") == F.col("r_hash")) & (F.col("claimant") == F.col("segment_id")) & anchored)
-    return met.select("segment_id", "entry_idx", low.alias("run_start"), (high - low).alias("run_length"))
+    return met.where((low < high) & anchored).select("segment_id", "entry_idx", low.alias("run_start"), (high - low).alias("run_length"))
 
 
 def keep_cost() -> Column:
@@ -130,6 +135,60 @@ def packed(stats: DataFrame, cap_bytes: int = CAP_BYTES, cap_entries: int = CAP_
     return slim.groupBy("volume_id").applyInPandas(pack, "volume_id long, segment_id long, bucket long")
 
 
+def repack_scan(classes: DataFrame, referenced: DataFrame) -> DataFrame:
+    """``volume_id, segment_id, live_bytes, live_entries, all_live, journal`` of each segment.
+
+    Live bytes are those of data and inline entries, in part where an entry is
+    dead in part. A segment is all live if every body's hash is referenced,
+    wherever the claim is; one journal entry makes it a journal segment.
+    """
+    c = F.col("class")
+    data = F.col("kind").isin("data", "inline")
+    whole = c.isin("fully_live", "defer_unresolvable_delta", "demote_to_canonical")
+    kept = F.when(whole, F.col("stored_length")).when(c == "partial_death", F.floor(F.col("stored_length") * F.col("live_blocks") / F.col("lba_length"))).otherwise(0)
+    count = F.when(whole, 1).when(c == "partial_death", F.col("runs") + F.col("emit_canonical").cast("long")).when(c == "zero_sub_runs", F.col("runs")).otherwise(0)
+    rows = classes.join(referenced.select("hash", F.lit(True).alias("named")), "hash", "left")
+    bodied = F.col("kind").isin("data", "inline", "canonical_data", "canonical_inline")
+    return rows.groupBy("volume_id", "segment_id").agg(
+        F.sum(F.when(data, kept).otherwise(0)).cast("long").alias("live_bytes"),
+        F.sum(count).cast("long").alias("live_entries"),
+        F.bool_and(F.when(bodied & (F.col("stored_length") > 0), F.coalesce("named", F.lit(False))).otherwise(True)).alias("all_live"),
+        F.bool_or("journal").alias("journal"),
+    )
+
+
+def repacked(scan: DataFrame, cap_bytes: int = CAP_BYTES, cap_entries: int = CAP_ENTRIES) -> DataFrame:
+    """``volume_id, segment_id, bucket, action`` for each scanned segment of a volume.
+
+    Data segments go first fit by live bytes, largest first and then by id, into
+    as many buckets as they need (``pack``); a bucket of one all-live segment is
+    no change (``leave``). All journal segments of a volume merge into one
+    output above the others (``journal``, bucket -1), unless a single all-live
+    one stands where it is because no data output is made (``leave``).
+    """
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rooms: list[list[int]] = []
+        held: list[list] = []
+        for r in rows[~rows["journal"]].sort_values(["live_bytes", "segment_id"], ascending=[False, True]).itertuples():
+            at = next((i for i, (b, e) in enumerate(rooms) if r.live_bytes <= b and r.live_entries <= e), None)
+            if at is None:
+                at = len(rooms)
+                rooms.append([cap_bytes, cap_entries])
+                held.append([])
+            rooms[at][0] -= r.live_bytes
+            rooms[at][1] -= r.live_entries
+            held[at].append(r)
+        changed = [len(h) > 1 or not h[0].all_live for h in held]
+        out = [(r.volume_id, r.segment_id, i, "pack" if c else "leave") for i, (h, c) in enumerate(zip(held, changed, strict=True)) for r in h]
+        journal = list(rows[rows["journal"]].itertuples())
+        stays = len(journal) == 1 and journal[0].all_live and not any(changed)
+        out += [(r.volume_id, r.segment_id, -1, "leave" if stays else "journal") for r in journal]
+        return pd.DataFrame(out, columns=["volume_id", "segment_id", "bucket", "action"])
+
+    return scan.groupBy("volume_id").applyInPandas(pack, "volume_id long, segment_id long, bucket long, action string")
+
+
 def plan_rows(classes: DataFrame, entries_of: DataFrame, volmap: DataFrame) -> DataFrame:
     """Plan records of the chosen segments: keep, canonical, run, zero_split, and drop for a segment without any.
 
@@ -158,11 +217,20 @@ def unreachable(entries: DataFrame, segments: DataFrame, volmap: DataFrame, floo
     return rest.join(owned.select("segment_id").distinct(), "segment_id", "left_anti")
 
 
+def above_floor(segments: DataFrame, floors: DataFrame) -> DataFrame:
+    """Segments above their volume's floor, its latest snapshot; a volume without one has none below it."""
+    met = segments.join(floors.select("volume_id", "floor"), "volume_id", "left")
+    return met.where(F.col("floor").isNull() | (F.col("segment_id") > F.col("floor")))
+
+
 def capped(reapable: DataFrame, cap: int = REAP_CAP) -> DataFrame:
-    """Segments admitted in id order while the total before them is under the cap; journal segments always."""
-    before = Window.orderBy("segment_id").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum(F.when(F.col("journal"), 0).otherwise(F.col("entries"))).over(before), F.lit(0))
-    return reapable.withColumn("ahead", ahead).withColumn("admitted", F.col("journal") | (F.col("ahead") < cap))
+    """Segments admitted in id order while the total before them is under the cap; journal segments always.
+
+    Sums by stretch of ids come first, so that no window runs over all segments.
+    """
+    counted = F.when(F.col("journal"), 0).otherwise(F.col("entries"))
+    rows = rp.placed(reapable.withColumn("counted", counted), F.floor(F.col("segment_id") / STRETCH), ["segment_id"], "counted")
+    return rows.withColumnRenamed("body_offset", "ahead").drop("counted").withColumn("admitted", F.col("journal") | (F.col("ahead") < cap))
 
 
 def bloated(volmap: DataFrame, owners: DataFrame, min_dead: int, min_ratio: float, min_bytes: int) -> DataFrame:
@@ -186,6 +254,12 @@ def reclaim_ranges(volmap: DataFrame, ranges: DataFrame) -> DataFrame:
     return marked.groupBy("hash").agg(F.bool_and("whole").alias("all_inside"), F.count("*").alias("runs"), F.sum("lba_length").alias("blocks")).where("all_inside").drop("all_inside")
 
 
+def reaped_head(head: DataFrame, reaped: DataFrame) -> DataFrame:
+    """``volume_id, section, segment_id``: a head after a reap, whose segments move to the tombstoned ones."""
+    rows = head.join(reaped.select("segment_id", F.lit(True).alias("gone")), "segment_id", "left")
+    return rows.select("volume_id", F.when(F.col("gone"), "tombstoned").otherwise(F.col("section")).alias("section"), "segment_id")
+
+
 def live_set(manifest: DataFrame, added: DataFrame, superseded: DataFrame, tombstoned: DataFrame) -> DataFrame:
     """``manifest + added - superseded - tombstoned``, each a column ``segment_id``."""
     return manifest.union(added).distinct().join(superseded, "segment_id", "left_anti").join(tombstoned, "segment_id", "left_anti")

@@ -59,6 +59,20 @@ def offsets(items: DataFrame, by: str, order: list[str], size: str) -> DataFrame
     return items.withColumn("body_offset", F.coalesce(F.sum(size).over(before), F.lit(0)))
 
 
+def placed(items: DataFrame, stretch: Column, order: list[str], size: str) -> DataFrame:
+    """Start of each item in one sequence of all: the running sum of the sizes before it in ``order``.
+
+    ``stretch`` never falls along the order. Sums by stretch come first, so the
+    window over all is over one row a stretch and the others run side by side.
+    """
+    rows = items.withColumn("stretch", stretch)
+    sums = rows.groupBy("stretch").agg(F.sum(size).alias("total"))
+    sums = sums.select("stretch", (F.sum("total").over(Window.orderBy("stretch")) - F.col("total")).alias("ahead"))
+    inside = Window.partitionBy("stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(sums, "stretch").withColumn("body_offset", F.col("ahead") + F.sum(size).over(inside) - F.col(size))
+    return rows.drop("stretch", "ahead")
+
+
 def rate(part: Column, whole: Column) -> Column:
     """``part / whole``, 0 where there is no whole."""
     return F.when(whole == 0, 0.0).otherwise(part / whole)

@@ -9,6 +9,7 @@ from varve.operators import content_index as ci
 from varve.operators import intervals as iv
 from varve.plans import fixtures as fx
 from varve.plans.fixtures import prelude
+from varve.sources.shared import cut
 
 FLOOR = 2000
 NOW = "TIMESTAMP '1996-01-01 00:00:00'"
@@ -19,16 +20,23 @@ def volmap(s, d):
 
 
 def classes(s, d):
-    return gc.classified(fx.entries(s, d), fx.segments(s, d), volmap(s, d))
+    return gc.classified(fx.entries(s, d), fx.segments(s, d), cut(volmap(s, d)))
 
 
 def stats(s, d):
     return gc.segment_stats(classes(s, d))
 
 
+def head(s, d):
+    """Every segment in its section of its volume's head."""
+    section = F.when(F.col("segment_id") % 50 == 7, "tombstoned").when(F.col("tier") == "gc", "superseded").otherwise("added")
+    return fx.segments(s, d).select("volume_id", section.alias("section"), "segment_id")
+
+
 def plan(s, d):
-    """The plan records of a pass; its classification is used five times, so it is kept for the query."""
-    found, held = classes(s, d).persist(), volmap(s, d).persist()
+    """The plan records of a pass; the map and the classification are used several times and computed once."""
+    held = cut(volmap(s, d))
+    found = cut(gc.classified(fx.entries(s, d), fx.segments(s, d), held))
     return gc.plan_rows(found, gc.candidates(gc.segment_stats(found)), held)
 
 
@@ -55,8 +63,8 @@ QUERIES = {
         prelude("classes") + "SELECT segment_id, CAST(sum(live_blocks) AS BIGINT) AS live_blocks, CAST(sum(runs) AS BIGINT) AS runs FROM matches GROUP BY segment_id",
     ),
     "g05_snapshot_floor": (
-        lambda s, d: fx.segments(s, d).crossJoin(fx.segments(s, d).where("segment_id % 97 = 0 and segment_id < 3000").agg(F.max("segment_id").alias("floor"))).where("segment_id > floor").groupBy("tier").agg(F.count("*").alias("n"), F.max("floor").alias("floor")),
-        prelude("segments") + ", f AS (SELECT max(segment_id) AS floor FROM segments WHERE segment_id % 97 = 0 AND segment_id < 3000) SELECT tier, count(*) AS n, max(floor) AS floor FROM segments, f WHERE segment_id > floor GROUP BY tier",
+        lambda s, d: gc.above_floor(fx.segments(s, d), fx.segments(s, d).where(F.col("segment_id") <= fx.segment_share(s, d, 4)).groupBy("volume_id").agg(F.max("segment_id").alias("floor"))).groupBy("volume_id", "tier").agg(F.count("*").alias("n"), F.max("floor").alias("floor")),
+        prelude("segments") + f", f AS (SELECT volume_id, max(segment_id) AS floor FROM segments WHERE segment_id <= {fx.segment_share_sql(4)} GROUP BY 1) SELECT volume_id, tier, count(*) AS n, max(floor) AS floor FROM segments JOIN f USING (volume_id) WHERE segment_id > floor GROUP BY ALL",
     ),
     "g06_pools": (
         lambda s, d: stats(s, d).groupBy("pool").agg(F.count("*").alias("segments"), F.sum("total_bytes").alias("bytes")),
@@ -109,13 +117,9 @@ SELECT hash, count(*) AS runs, CAST(sum(lba_length) AS BIGINT) AS blocks FROM w
 SELECT input, output FROM l WHERE since + INTERVAL {RETAIN} DAY <= {NOW} AND input NOT IN (SELECT segment_id FROM segments WHERE tier = 'pending')""",
     ),
     "g20_live_set": (
-        lambda s, d: gc.live_set(fx.segments(s, d).where("segment_id < 8000").select("segment_id"), fx.segments(s, d).where("segment_id >= 7000 and tier <> 'pending'").select("segment_id"), gc.superseded_inputs(fx.segments(s, d)), fx.segments(s, d).where("segment_id % 50 = 7").select("segment_id")),
+        lambda s, d: gc.live_set(fx.segments(s, d).where(F.col("segment_id") <= fx.segment_share(s, d, 6)).select("segment_id"), fx.segments(s, d).where((F.col("segment_id") > fx.segment_share(s, d, 5)) & (F.col("tier") != "pending")).select("segment_id"), gc.superseded_inputs(fx.segments(s, d)), fx.segments(s, d).where("segment_id % 50 = 7").select("segment_id")),
         prelude("segments")
-        + "SELECT segment_id FROM segments WHERE (segment_id < 8000 OR (segment_id >= 7000 AND tier <> 'pending')) AND segment_id % 50 <> 7 AND segment_id NOT IN (SELECT unnest(inputs) FROM segments WHERE tier = 'gc')",
-    ),
-    "g21_apply_reap_to_head": (
-        lambda s, d: fx.segments(s, d).groupBy(F.when(F.col("segment_id") % 50 == 7, "tombstoned").when(F.col("tier") == "pending", "local").otherwise("live").alias("state")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")),
-        prelude("segments") + "SELECT CASE WHEN segment_id % 50 = 7 THEN 'tombstoned' WHEN tier = 'pending' THEN 'local' ELSE 'live' END AS state, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM segments GROUP BY 1",
+        + f"SELECT segment_id FROM segments WHERE (segment_id <= {fx.segment_share_sql(6)} OR (segment_id > {fx.segment_share_sql(5)} AND tier <> 'pending')) AND segment_id % 50 <> 7 AND segment_id NOT IN (SELECT unnest(inputs) FROM segments WHERE tier = 'gc')",
     ),
     "g22_confirmed_edges": (
         lambda s, d: gc.confirmed_edges(fx.segments(s, d), FLOOR).select("input", "output"),
@@ -126,9 +130,9 @@ SELECT input, output FROM l WHERE since + INTERVAL {RETAIN} DAY <= {NOW} AND inp
         prelude("wal") + "SELECT wal_id // 8 AS generation, min(seq) AS first_seq, max(seq) AS last_seq, CAST(sum(data_length) AS BIGINT) AS bytes, count(DISTINCT wal_id) AS logs FROM wal GROUP BY 1",
     ),
     "s09_fork_segments": (
-        lambda s, d: gc.discovered(fx.segments(s, d), 9000),
+        lambda s, d: gc.discovered(fx.segments(s, d), fx.segment_share(s, d, 6)),
         prelude("segments")
-        + """, u AS (SELECT * FROM segments WHERE segment_id <= 9000), x AS (SELECT DISTINCT unnest(inputs) AS i FROM u WHERE tier = 'gc'), k AS (SELECT * FROM u WHERE NOT (tier = 'index' AND segment_id IN (SELECT i FROM x)))
+        + f""", u AS (SELECT * FROM segments WHERE segment_id <= {fx.segment_share_sql(6)}), x AS (SELECT DISTINCT unnest(inputs) AS i FROM u WHERE tier = 'gc'), k AS (SELECT * FROM u WHERE NOT (tier = 'index' AND segment_id IN (SELECT i FROM x)))
 SELECT volume_id, segment_id, tier, CAST(row_number() OVER (PARTITION BY volume_id ORDER BY CASE WHEN tier = 'pending' THEN 1 ELSE 0 END, segment_id) AS INTEGER) AS place FROM k""",
     ),
     "s10_superseded_inputs": (lambda s, d: gc.superseded_inputs(fx.segments(s, d)), prelude("segments") + "SELECT DISTINCT unnest(inputs) AS segment_id FROM segments WHERE tier = 'gc'"),
@@ -160,4 +164,10 @@ SELECT * FROM b WHERE dead_blocks >= 1 AND dead_ratio >= 0.2 AND stored_length >
         lambda s, d: classes(s, d).groupBy("segment_id").agg(F.sum("stored_length").alias("stored"), F.sum(F.when(~F.col("class").isin(*gc.DEAD), F.col("stored_length")).otherwise(0)).alias("live")),
         prelude("classes") + "SELECT segment_id, CAST(sum(stored_length) AS BIGINT) AS stored, CAST(sum(CASE WHEN class NOT IN ('drop', 'drop_and_remove_hash') THEN stored_length ELSE 0 END) AS BIGINT) AS live FROM classes GROUP BY segment_id",
     ),
+    "g21_apply_reap_to_head": (
+        lambda s, d: gc.reaped_head(head(s, d), gc.unreachable(fx.entries(s, d), fx.segments(s, d), volmap(s, d), FLOOR)),
+        prelude("live", "owners")
+        + REAP
+        + " SELECT volume_id, CASE WHEN segment_id IN (SELECT segment_id FROM reap) OR segment_id % 50 = 7 THEN 'tombstoned' WHEN tier = 'gc' THEN 'superseded' ELSE 'added' END AS section, segment_id FROM segments",
+    ),
 }
