@@ -1,57 +1,75 @@
 """Fetch planning: which absent bodies to read together.
 
-Batches are capped runs of neighbours, which are sequential by nature: a fold
-over each segment's own entries.
+Only data entries, canonical ones too, have bodies in the body section; what
+lies between two of them there is a gap that one read does not cross.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varve.functions.scalars import is_data
+
 #: Bytes of a coalesced read.
 CAP = 256 << 10
 
 
+def adjacent_runs(entries: DataFrame, broken: Column) -> DataFrame:
+    """``entries`` with ``run``: the number of breaks up to each one, in entry order of its segment.
+
+    An entry breaks the run if ``broken`` says so or if its body does not begin
+    where the one before it ends.
+    """
+    order = Window.partitionBy("segment_id").orderBy("entry_idx")
+    before = F.lag(F.col("body_offset") + F.col("stored_length")).over(order)
+    flag = F.coalesce(broken | (before != F.col("body_offset")), F.lit(True))
+    return entries.withColumn("fresh", flag.cast("long")).withColumn("run", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def warm_batches(entries: DataFrame, cap: int = CAP) -> DataFrame:
     """``segment_id, batch, first_entry, entries, bytes``: neighbouring absent bodies, up to ``cap`` bytes.
 
-    The first entry of a batch is always in; a present entry closes it. A
-    segment has at most a few thousand entries, which one built-in fold reads in
-    order.
+    ``entries`` with ``body_offset``. Entries without a body in the body section
+    are passed over, a present one ends a batch, and so does a gap. The first
+    entry of a batch is always in. Filling up to the cap is sequential: a
+    built-in fold over each run of neighbours, which keeps the open batch apart
+    from the closed ones, so an entry costs the same wherever it stands.
     """
-    rows = entries.groupBy("segment_id").agg(F.array_sort(F.collect_list(F.struct("entry_idx", "stored_length", "present"))).alias("rows"))
-    start = F.struct(F.array().cast("array<struct<batch:bigint,first_entry:bigint,entries:bigint,bytes:bigint>>").alias("out"), F.lit(False).alias("open"))
+    bodies = entries.where(is_data(F.col("kind")) & (F.col("stored_length") > 0))
+    order = Window.partitionBy("segment_id").orderBy("entry_idx")
+    rows = adjacent_runs(bodies.withColumn("after_present", F.coalesce(F.lag("present").over(order), F.lit(True))), F.col("after_present"))
+    rows = rows.where(~F.col("present")).groupBy("segment_id", "run").agg(F.array_sort(F.collect_list(F.struct("entry_idx", F.col("stored_length").alias("n")))).alias("rows"))
+    batch = "struct<first_entry:bigint,entries:bigint,bytes:bigint>"
+    start = F.struct(F.array().cast(f"array<{batch}>").alias("closed"), F.lit(None).cast(batch).alias("open"))
 
     def step(s: Column, r: Column) -> Column:
-        out, absent = s["out"], ~r["present"] & (r["stored_length"] > 0)
-        last = F.element_at(out, -1)
-        extend = absent & s["open"] & (last["bytes"] + r["stored_length"] <= cap)
-        longer = F.struct(last["batch"].alias("batch"), last["first_entry"].alias("first_entry"), (last["entries"] + 1).alias("entries"), (last["bytes"] + r["stored_length"]).alias("bytes"))
-        fresh = F.struct(F.size(out).cast("long").alias("batch"), r["entry_idx"].alias("first_entry"), F.lit(1).cast("long").alias("entries"), r["stored_length"].alias("bytes"))
-        grown = F.when(extend, F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(longer))).when(absent, F.concat(out, F.array(fresh))).otherwise(out)
-        return F.struct(grown.alias("out"), (~r["present"] & (absent | s["open"])).alias("open"))
+        held = s["open"]
+        room = held.isNotNull() & (held["bytes"] + r["n"] <= cap)
+        longer = F.struct(held["first_entry"].alias("first_entry"), (held["entries"] + 1).alias("entries"), (held["bytes"] + r["n"]).alias("bytes"))
+        fresh = F.struct(r["entry_idx"].alias("first_entry"), F.lit(1).cast("long").alias("entries"), r["n"].alias("bytes"))
+        closed = F.when(room | held.isNull(), s["closed"]).otherwise(F.concat(s["closed"], F.array(held)))
+        return F.struct(closed.alias("closed"), F.when(room, longer).otherwise(fresh).alias("open"))
 
-    out = rows.select("segment_id", F.explode(F.aggregate("rows", start, step)["out"]).alias("b"))
-    return out.select("segment_id", "b.batch", "b.first_entry", "b.entries", "b.bytes")
+    whole = F.aggregate("rows", start, step, lambda s: F.concat(s["closed"], F.array(s["open"])))
+    out = rows.select("segment_id", F.explode(whole).alias("b")).select("segment_id", "b.*")
+    return out.withColumn("batch", F.row_number().over(Window.partitionBy("segment_id").orderBy("first_entry")).cast("long") - 1)
 
 
 def forward_reads(entries: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
-    """What one read from each target entry brings: following entries while absent, bodied, and under ``cap`` in all.
+    """What one read from each target entry brings: ``segment_id, target, entries, bytes``.
 
-    The target itself is always read.
+    The target is always read. Entries after it follow while they are absent
+    data whose bodies are adjacent, up to ``cap`` bytes in all. ``entries`` with
+    ``body_offset``.
     """
-    t = targets.select("segment_id", F.col("entry_idx").alias("target"))
-    later = entries.join(t, "segment_id").where(F.col("entry_idx") >= F.col("target"))
-    rows = later.groupBy("segment_id", "target").agg(F.array_sort(F.collect_list(F.struct("entry_idx", "stored_length", "present", "kind"))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bytes"), F.lit(True).alias("open"))
-
-    def step(s: Column, r: Column) -> Column:
-        takes = s["open"] & ((s["n"] == 0) | (~r["present"] & (r["kind"] == "data") & (s["bytes"] + r["stored_length"] <= cap)))
-        return F.struct((s["n"] + takes.cast("long")).alias("n"), (s["bytes"] + F.when(takes, r["stored_length"]).otherwise(0)).alias("bytes"), takes.alias("open"))
-
-    out = rows.select("segment_id", "target", F.aggregate("rows", start, step).alias("s"))
-    return out.select("segment_id", "target", F.col("s.n").alias("entries"), F.col("s.bytes").alias("bytes"))
+    rows = adjacent_runs(entries, ~is_data(F.col("kind")) | F.col("present"))
+    t = rows.join(targets.select("segment_id", "entry_idx"), ["segment_id", "entry_idx"], "left_semi")
+    t = t.select("segment_id", "run", F.col("entry_idx").alias("target"), F.col("body_offset").alias("from"))
+    met = t.join(rows.select("segment_id", "run", "entry_idx", "body_offset", "stored_length"), ["segment_id", "run"])
+    stop = F.col("body_offset") + F.col("stored_length")
+    met = met.where((F.col("entry_idx") == F.col("target")) | ((F.col("entry_idx") > F.col("target")) & (stop - F.col("from") <= cap)))
+    return met.groupBy("segment_id", "target").agg(F.count("*").alias("entries"), F.sum("stored_length").alias("bytes"))
 
 
 def hint_bits(words: DataFrame, entries_of: DataFrame) -> DataFrame:
