@@ -92,6 +92,18 @@ def compressed_length(body: Column, level: int = 3) -> Column:
     return F.pandas_udf(lengths, "bigint")(body)
 
 
+def chunked_length(body: Column, size: int, level: int = 3) -> Column:
+    """Bytes of a body compressed in chunks of ``size`` bytes, each a frame of its own, with 4 bytes for each chunk's length."""
+
+    def lengths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = compressor(level)
+        for bodies in batches:
+            yield pd.Series([None if b is None else sum(4 + len(c.compress(b[i : i + size])) for i in range(0, len(b), size)) for b in bodies], dtype="Int64")
+
+    lengths.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(lengths, "bigint")(body)
+
+
 def delta_length(source: Column, body: Column, level: int = 3) -> Column:
     """Bytes of ``body`` compressed with ``source`` as its dictionary."""
 
@@ -101,6 +113,20 @@ def delta_length(source: Column, body: Column, level: int = 3) -> Column:
     return F.pandas_udf(lengths, "bigint")(source, body)
 
 
+def dictionary_length(body: Column, trained: bytes, level: int = 3) -> Column:
+    """Bytes of one frame of a binary column under one dictionary (none where it is empty)."""
+
+    def lengths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import zstandard
+
+        c = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained)) if trained else compressor(level)
+        for bodies in batches:
+            yield pd.Series([None if b is None else len(c.compress(b)) for b in bodies], dtype="Int64")
+
+    lengths.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(lengths, "bigint")(body)
+
+
 def delta(source: bytes, body: bytes, level: int = 3) -> bytes:
     return compressor(level, source).compress(body)
 

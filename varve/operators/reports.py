@@ -46,7 +46,7 @@ def capped_load(entries: DataFrame, order: list[str], size: str, budget: int) ->
     ahead = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("total").over(ahead), F.lit(0))).where(F.col("before") < budget)
     inside = Window.partitionBy("stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = entries.withColumn("stretch", stretch).join(F.broadcast(sums.select("stretch", "before")), "stretch")
+    rows = entries.withColumn("stretch", stretch).join(sums.select("stretch", "before"), "stretch")
     rows = rows.withColumn("before", F.col("before") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
     return rows.where(F.col("before") < budget).drop("stretch")
 
@@ -129,10 +129,25 @@ def wait_histogram(waits: DataFrame) -> DataFrame:
     return waits.groupBy("site", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.max("millis").alias("peak"))
 
 
+def wait_windows(waits: DataFrame, width: int) -> DataFrame:
+    """By window and site: waits, their time and the worst, what changed since the window before, and whether the site is the worst there.
+
+    ``waits (site, millis, at)``; windows are ``width`` of ``at``.
+    """
+    rows = waits.groupBy(F.floor(F.col("at") / width).alias("window"), "site").agg(F.count("*").alias("n"), F.sum("millis").alias("millis"), F.max("millis").alias("peak"))
+    order = Window.partitionBy("site").orderBy("window")
+    since = lambda c: F.col(c) - F.coalesce(F.lag(c).over(order), F.lit(0))
+    top = F.max(F.struct("millis", "site")).over(Window.partitionBy("window"))["site"]
+    return rows.withColumns({"n_since": since("n"), "millis_since": since("millis"), "top": top == F.col("site")})
+
+
 def upper_median(values: DataFrame, by: str, value: str) -> DataFrame:
-    """The middle value of each group, the upper one of two."""
-    rows = values.groupBy(by).agg(F.sort_array(F.collect_list(value)).alias("v"))
-    return rows.select(by, F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("median"))
+    """The middle value of each group, the upper one of two, from counts by value."""
+    counts = values.groupBy(by, value).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(by).orderBy(value))
+    whole = F.sum("n").over(Window.partitionBy(by))
+    rows = counts.select(by, value, upto.alias("upto"), whole.alias("whole"))
+    return rows.where(F.col("upto") > F.floor(F.col("whole") / 2)).groupBy(by).agg(F.min(value).alias("median"))
 
 
 def commitment(ids: DataFrame, by: str, member: str) -> DataFrame:

@@ -6,6 +6,9 @@ An inverted index maps features to the sources that have them, the earliest
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +26,11 @@ def postings(sketches: DataFrame, cap: int = CAP) -> DataFrame:
 def candidates(targets: DataFrame, index: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``target_id, source_id, hash, shared, rank``: most shared features first, then the earliest source.
 
-    Of sources with the same content the best ranked stays, before the limit.
+    Of sources with the same content the best ranked stays, before the limit. A
+    target that is in the index itself is a source like others.
     """
     t = targets.where("sketch is not null").select("target_id", F.explode(F.array_distinct("sketch")).alias("feature"))
-    met = t.join(index.select("feature", "source_id", "hash"), "feature").where("target_id <> source_id")
+    met = t.join(index.select("feature", "source_id", "hash"), "feature")
     counts = met.groupBy("target_id", "hash", "source_id").agg(F.count("*").alias("shared"))
     best = counts.groupBy("target_id", "hash").agg(F.max(F.struct("shared", (-F.col("source_id")).alias("minus"))).alias("b"))
     best = best.select("target_id", "hash", F.col("b.shared").alias("shared"), (-F.col("b.minus")).alias("source_id"))
@@ -34,6 +38,19 @@ def candidates(targets: DataFrame, index: DataFrame, limit: int = LIMIT) -> Data
     return best.withColumn("rank", rank).where(F.col("rank") <= limit).select("target_id", "source_id", "hash", "shared", "rank")
 
 
+def chosen_sources(found: DataFrame, targets: DataFrame, referenced: DataFrame, reserved: DataFrame) -> DataFrame:
+    """``target_id, source_id, shared``: the first of each target's candidates that may be its source.
+
+    Skipped within the candidates: the target's own content, and content that
+    nothing refers to any more. ``targets (target_id, own)``; a target whose own
+    content is ``reserved (hash)`` as a source of others is left out.
+    """
+    t = targets.join(reserved.select(F.col("hash").alias("own")).distinct(), "own", "left_anti")
+    met = found.join(t.select("target_id", "own"), "target_id").where("own <> hash").join(referenced.select("hash").distinct(), "hash", "left_semi")
+    best = met.groupBy("target_id").agg(F.min(F.struct("rank", "source_id", "shared")).alias("b"))
+    return best.select("target_id", "b.source_id", "b.shared")
+
+
 def index_stats(sketches: DataFrame, cap: int = CAP) -> DataFrame:
     """Sources, postings, features, the longest list, and features at the cap."""
     p = postings(sketches, cap)
@@ -42,12 +59,23 @@ def index_stats(sketches: DataFrame, cap: int = CAP) -> DataFrame:
     return sketches.where("sketch is not null").agg(F.count("*").alias("sources")).crossJoin(a)  # two single rows
 
 
-def positional_overlap(sketches: DataFrame) -> DataFrame:
-    """Pairs with equal features at equal positions: ``a, b, shared``; a feature that all share is joined by its value, not by the group."""
-    rows = sketches.where("sketch is not null").select("source_id", F.posexplode("sketch").alias("pos", "feature"))
-    other = rows.select(F.col("source_id").alias("b"), "pos", "feature")
-    met = rows.withColumnRenamed("source_id", "a").join(other, ["pos", "feature"]).where("a < b")
-    return met.groupBy("a", "b").agg(F.count("*").alias("shared"))
+def positional_overlap(sketches: DataFrame, cap: int = CAP) -> DataFrame:
+    """Pairs of different contents with equal features at equal positions: ``a, b, shared``, the earliest source of each.
+
+    Contents with the same sketch are one class, compared once. A feature at a
+    position that more than ``cap`` classes share is no sign of likeness: it
+    pairs no classes itself, and counts in the pairs that others make.
+    """
+    rows = sketches.where("sketch is not null").groupBy("sketch").agg(F.min("source_id").alias("source_id"))
+    cells = rows.select("source_id", F.posexplode("sketch").alias("pos", "feature"))
+    rare = cells.groupBy("pos", "feature").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= cap))
+    mine = cells.join(rare.select("pos", "feature"), ["pos", "feature"])
+    other = mine.select(F.col("source_id").alias("b"), "pos", "feature")
+    pairs = mine.withColumnRenamed("source_id", "a").join(other, ["pos", "feature"]).where("a < b").select("a", "b").distinct()
+    side = lambda name, as_name: rows.select(F.col("source_id").alias(name), F.col("sketch").alias(as_name))
+    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    same = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda t: t))
+    return met.select("a", "b", same.cast("long").alias("shared"))
 
 
 def same_place_sources(pending: DataFrame, prior: DataFrame, local: DataFrame) -> DataFrame:
@@ -60,6 +88,32 @@ def same_place_sources(pending: DataFrame, prior: DataFrame, local: DataFrame) -
     return met.join(local.select(F.col("hash").alias("source_hash")).distinct(), "source_hash", "left_semi").select("entry_id", "hash", "source_hash")
 
 
+def cached_reads(reads: DataFrame, budget: int) -> DataFrame:
+    """``job, hash, bytes, hit``: reads of sources through a cache of ``budget`` bytes that drops the least recently used.
+
+    ``reads (job, nth, hash, bytes)``. Each job reads in order of ``nth`` with a
+    cache of its own, so jobs run side by side. A source above the budget is
+    kept alone.
+    """
+
+    def played(rows: pd.DataFrame) -> pd.DataFrame:
+        held, used, hits = OrderedDict(), 0, []
+        rows = rows.sort_values("nth")
+        for digest, size in zip(rows["hash"], rows["bytes"], strict=True):
+            hits.append(digest in held)
+            if hits[-1]:
+                held.move_to_end(digest)
+                continue
+            held[digest] = int(size)
+            used += int(size)
+            while used > budget and len(held) > 1:
+                used -= held.popitem(last=False)[1]
+        return rows.assign(hit=hits)[["job", "hash", "bytes", "hit"]]
+
+    nth = F.row_number().over(Window.partitionBy("job").orderBy("nth"))
+    return reads.select("job", nth.alias("nth"), "hash", "bytes").groupBy("job").applyInPandas(played, f"job {dict(reads.dtypes)['job']}, hash string, bytes long, hit boolean")
+
+
 def layout_matches(before: DataFrame, after: DataFrame) -> DataFrame:
     """Changed fragments of files whose fragments have the same places and sizes in both versions.
 
@@ -86,6 +140,6 @@ def training_windows(bodies: DataFrame, window: int, budget: int) -> DataFrame:
     ahead = Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     rounds = rounds.withColumn("before", F.coalesce(F.sum("total").over(ahead), F.lit(0))).where(F.col("before") < budget)
     inside = Window.partitionBy("nth").orderBy("body_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(F.broadcast(rounds.select("nth", "before")), "nth")
+    rows = rows.join(rounds.select("nth", "before"), "nth")
     rows = rows.withColumn("before", F.col("before") + F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
     return rows.where(F.col("before") < budget).select("body_id", "nth", "bytes")
