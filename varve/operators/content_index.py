@@ -64,6 +64,37 @@ def taken_over(owners: DataFrame, output: DataFrame) -> DataFrame:
     return met.select("hash", F.when(take, F.col("new_segment")).otherwise(F.col("segment_id")).alias("segment_id"), F.coalesce(take, F.lit(False)).alias("taken"))
 
 
+def replaced_if_matching(owners: DataFrame, moves: DataFrame) -> DataFrame:
+    """``hash, segment_id, replaced``: owners moved where they are still the segment and entry that the move expects."""
+    met = owners.join(moves, "hash", "left")
+    same = F.coalesce((F.col("segment_id") == F.col("expected_segment")) & (F.col("entry_idx") == F.col("expected_entry")), F.lit(False))
+    return met.select("hash", F.when(same, F.col("new_segment")).otherwise(F.col("segment_id")).alias("segment_id"), same.alias("replaced"))
+
+
+def rekeyed_journal(journal: DataFrame, consumed: DataFrame) -> DataFrame:
+    """Journal bodies under the output that consumed their segment, the last one: ``segment_id, hash, was_in, entry_idx``.
+
+    Of bodies that come together under one key the one of the newest segment stays.
+    """
+    last = consumed.groupBy("segment_id").agg(F.max("output").alias("output"))
+    rows = journal.join(last, "segment_id", "left").select(F.coalesce("output", "segment_id").alias("key"), "hash", F.struct("segment_id", "entry_idx").alias("at"))
+    return rows.groupBy("key", "hash").agg(F.max("at").alias("at")).select(F.col("key").alias("segment_id"), "hash", F.col("at.segment_id").alias("was_in"), "at.entry_idx")
+
+
+def lineage_owners(entries: DataFrame, segments: DataFrame, sources: DataFrame) -> DataFrame:
+    """Owners as each volume sees them: its own first, then committed segments of its sources up to their cutoffs.
+
+    ``volume_id, hash, segment_id, foreign_body, deduplicable``: whether the body is
+    only a source's, and whether both have it.
+    """
+    rows = entries.where(F.col("kind").isin(*BODIES) & ~F.col("journal")).select("segment_id", "entry_idx", "hash").join(segments.select("volume_id", "segment_id", "tier"), "segment_id")
+    own = first_writer(rows, ["volume_id", "hash"], [])
+    seen = rows.where("tier <> 'pending'").withColumnRenamed("volume_id", "source").join(sources, "source").where(F.col("segment_id") <= F.col("cutoff"))
+    seen = first_writer(seen, ["volume_id", "hash"], []).select("volume_id", "hash", F.col("segment_id").alias("theirs"))
+    met = own.select("volume_id", "hash", F.col("segment_id").alias("mine")).join(seen, ["volume_id", "hash"], "full")
+    return met.select("volume_id", "hash", F.coalesce("mine", "theirs").alias("segment_id"), F.col("mine").isNull().alias("foreign_body"), (F.col("mine").isNotNull() & F.col("theirs").isNotNull()).alias("deduplicable"))
+
+
 def removed_uncarried(owners: DataFrame, inputs: DataFrame, carried: DataFrame) -> DataFrame:
     """Hashes that input segments own and the output does not carry, by segment."""
     gone = owners.join(inputs.select("segment_id"), "segment_id", "left_semi").join(carried.select("hash").distinct(), "hash", "left_anti")
@@ -108,6 +139,13 @@ def presence_words(entries: DataFrame) -> DataFrame:
     return entries.groupBy("segment_id", F.floor(at / 32).alias("word")).agg(F.sum(bit).alias("bits"), F.sum(F.col("present").cast("long")).alias("set_bits"))
 
 
+def evicted(entries: DataFrame, segments: DataFrame) -> DataFrame:
+    """``entries`` after the cached bodies of committed ``segments`` are dropped: ``present`` as it is then, and ``dropped``."""
+    rows = entries.join(segments.select("segment_id", F.lit(True).alias("goes")), "segment_id", "left")
+    dropped = F.coalesce("goes", F.lit(False)) & F.col("present") & F.col("kind").isin("data", "canonical_data")
+    return rows.withColumn("dropped", dropped).withColumn("present", F.col("present") & ~F.col("dropped")).drop("goes")
+
+
 def dedup_stats(items: DataFrame, key: str = "hash", size: str = "bytes") -> DataFrame:
     """``count, unique, ratio, bytes``; the ratio is 1 where there is nothing."""
     a = items.agg(F.count("*").alias("n_items"), F.countDistinct(key).alias("n_unique"), F.coalesce(F.sum(size), F.lit(0)).alias("total_bytes"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Events that a head window keeps.
 WINDOW = 16
-# Verbs on states, as (state, verb, outcome, next state).
+# Fixed values, which every cell of the table must have: verbs on states, as (state, verb, outcome, next state).
 STATES = ("live", "stopped", "released", "readonly", "importing")
 TRANSITIONS = [
     ("live", "stop", "proceed", "stopped"),
@@ -94,6 +94,27 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("name").agg(F.max(F.struct("event_id", "kind", "stamp")).alias("e")).select("name", "e.event_id", "e.kind", "e.stamp")
 
 
+def conditional(ops: DataFrame) -> DataFrame:
+    """``name, event_id, verb, outcome, version``: puts under a name, each only if the name is as it expects.
+
+    ``ops (name, event_id, verb, expected)`` in id order. ``create`` needs the
+    name to be free, ``update`` its current version to be ``expected``, and
+    ``delete`` is unconditional; a successful put's version is its event id, and
+    -1 stands for a free name. Whether a put succeeds hangs on all before it, so
+    each name's puts are folded in order.
+    """
+    rows = ops.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("event_id", "verb", "expected"))).alias("ops"))
+    start = F.struct(F.lit(-1).cast("long").alias("version"), F.array().cast("array<struct<event_id:bigint,verb:string,outcome:string,version:bigint>>").alias("out"))
+
+    def step(s: Column, op: Column) -> Column:
+        good = F.when(op["verb"] == "create", s["version"] == -1).when(op["verb"] == "update", (s["version"] != -1) & (s["version"] == op["expected"])).otherwise(F.lit(True))
+        version = F.when(~good, s["version"]).when(op["verb"] == "delete", F.lit(-1).cast("long")).otherwise(op["event_id"])
+        told = F.struct(op["event_id"].alias("event_id"), op["verb"].alias("verb"), F.when(good, "ok").otherwise("precondition_failed").alias("outcome"), version.alias("version"))
+        return F.struct(version.alias("version"), F.concat(s["out"], F.array(told)).alias("out"))
+
+    return rows.select("name", F.explode(F.aggregate("ops", start, step, lambda s: s["out"])).alias("o")).select("name", "o.*")
+
+
 def lifecycle(events: DataFrame, machine: DataFrame, start: str = "live") -> DataFrame:
     """The machine run over each name's events: final state and the number of events by outcome.
 

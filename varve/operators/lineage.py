@@ -7,9 +7,11 @@ joins and each cut of lineage stays small.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varve.sources.shared import cut
+
 
 def closure(edges: DataFrame) -> DataFrame:
     """``id, ancestor, depth`` over ``edges (id, parent)``, one parent each; depth 1 is the parent.
@@ -17,14 +19,14 @@ def closure(edges: DataFrame) -> DataFrame:
     What is reached so far is kept, so each doubling reads it instead of
     computing it again.
     """
-    paths = edges.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).persist()
+    paths = cut(edges.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")))
     reach = 1
     while True:
         far = paths.where(F.col("depth") == reach).select("id", F.col("ancestor").alias("mid"))
         if far.isEmpty():
             return paths
         step = paths.select(F.col("id").alias("mid"), "ancestor", F.col("depth").alias("more"))
-        paths = paths.unionByName(far.join(step, "mid").select("id", "ancestor", (F.col("more") + reach).alias("depth"))).persist()
+        paths = cut(paths.unionByName(far.join(step, "mid").select("id", "ancestor", (F.col("more") + reach).alias("depth"))))
         reach *= 2
 
 
@@ -40,6 +42,40 @@ def ancestor_walk(lineage: DataFrame, volume: int) -> DataFrame:
         SELECT volume_id, coalesce(cutoff, -1) AS cutoff, CAST(max(depth) OVER () - depth AS BIGINT) AS layer FROM walk""")
 
 
+def walked(lineage: DataFrame) -> DataFrame:
+    """``id, ancestor, depth`` of all volumes, link by link: what a single walk finds, for all at once."""
+    lineage.select("volume_id", "parent_id").createOrReplaceTempView("varve_links")
+    return lineage.sparkSession.sql("""
+        WITH RECURSIVE up(id, ancestor, depth) MAX RECURSION LEVEL 100000 AS (
+            SELECT volume_id, parent_id, CAST(1 AS BIGINT) FROM varve_links WHERE parent_id IS NOT NULL
+            UNION ALL
+            SELECT u.id, l.parent_id, u.depth + 1 FROM up u JOIN varve_links l ON l.volume_id = u.ancestor WHERE l.parent_id IS NOT NULL)
+        SELECT id, ancestor, depth FROM up""")
+
+
+def walks_agree(lineage: DataFrame) -> DataFrame:
+    """``volume_id, ancestors, agree``: whether the closure and the walk link by link give the same chain."""
+    a = closure(lineage.select(F.col("volume_id").alias("id"), F.col("parent_id").alias("parent"))).withColumn("here", F.lit(True))
+    b = walked(lineage).withColumn("there", F.lit(True))
+    met = a.join(b, ["id", "ancestor", "depth"], "full")
+    found = met.groupBy(F.col("id").alias("volume_id")).agg(F.count("*").alias("ancestors"), F.bool_and(F.col("here").isNotNull() & F.col("there").isNotNull()).alias("agree"))
+    return lineage.select("volume_id").join(found, "volume_id", "left").fillna(0, ["ancestors"]).fillna(True, ["agree"])
+
+
+def listing(volumes: DataFrame) -> DataFrame:
+    """``filter, place, name, volume_id``: what each filter lists: named volumes by name, then unnamed read-only ancestors by id.
+
+    ``volumes (volume_id, name, readonly)``; an ancestor that was pulled has no name.
+    """
+    filters = F.explode(F.array(*map(F.lit, ("all", "readonly", "writable")))).alias("filter")
+    rows = volumes.select("volume_id", "name", "readonly", filters)
+    kept = F.when(F.col("filter") == "all", F.lit(True)).when(F.col("filter") == "readonly", F.col("readonly")).otherwise(~F.col("readonly"))
+    named = F.col("name").isNotNull()
+    rows = rows.where(F.when(named, kept).otherwise(F.col("readonly") & (F.col("filter") != "writable")))
+    order = Window.partitionBy("filter").orderBy(F.col("name").isNull(), "name", "volume_id")
+    return rows.select("filter", F.row_number().over(order).cast("long").alias("place"), F.coalesce("name", F.lit("-")).alias("name"), "volume_id")
+
+
 def source_cutoffs(lineage: DataFrame) -> DataFrame:
     """For each volume the extent sources of its parent chain, with the greatest snapshot of each."""
     chain = closure(lineage.select(F.col("volume_id").alias("id"), F.col("parent_id").alias("parent")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -70,7 +70,88 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return rows.select(F.unix_seconds(F.col("w.start")).alias("window_start"), "event_type", "n")
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, folder: str) -> None:
-    """Run a stream over what there is now into a memory table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_to_folder(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Run a stream over what there is now into files of the shared folder; each epoch overwrites its own output.
+
+    With ``complete`` an epoch holds the whole result, and the last one counts.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.parquet(f"{folder}/rows")
+    if mode == "complete":
+        kept = kept.join(kept.agg(F.max("epoch").alias("epoch")), "epoch", "left_semi")
+    return kept.drop("epoch")
+
+
+def epochs(wal: DataFrame, cap_bytes: int, cap_entries: int) -> DataFrame:
+    """``wal_id, epoch, first_seq, last_seq, entries, bytes``: a log cut where its open epoch has so many bytes or entries.
+
+    The entry that reaches a cap is the epoch's last. Where a cut falls depends
+    on the one before it, so each log is folded in order; a log is bounded, as
+    it is rotated at the same caps.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("epoch"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<bigint>").alias("cuts"))
+
+    def step(s: Column, r: Column) -> Column:
+        full = (s["n"] >= cap_entries) | (s["bytes"] >= cap_bytes)
+        return F.struct(
+            (s["epoch"] + full.cast("long")).alias("epoch"),
+            F.when(full, F.lit(1).cast("long")).otherwise(s["n"] + 1).alias("n"),
+            F.when(full, r["data_length"]).otherwise(s["bytes"] + r["data_length"]).alias("bytes"),
+            F.when(full, F.concat(s["cuts"], F.array(r["seq"]))).otherwise(s["cuts"]).alias("cuts"),
+        )
+
+    logs = wal.groupBy("wal_id").agg(F.array_sort(F.collect_list(F.struct("seq", "data_length"))).alias("rows"))
+    cuts = logs.select("wal_id", F.aggregate("rows", start, step, lambda s: s["cuts"]).alias("cuts"))
+    rows = wal.join(cuts, "wal_id").withColumn("epoch", F.size(F.filter("cuts", lambda c: c <= F.col("seq"))).cast("long"))
+    return rows.groupBy("wal_id", "epoch").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("entries"), F.sum("data_length").alias("bytes"))
+
+
+def coalesced(wal: DataFrame) -> DataFrame:
+    """Neighbouring writes of one kind in a log as one: ``wal_id, first_seq, kind, start_lba, lba_length, writes, data_length``."""
+    order = Window.partitionBy("wal_id").orderBy("seq")
+    joins = (F.lag("kind").over(order) == F.col("kind")) & (F.lag(iv.end()).over(order) == F.col("start_lba"))
+    rows = wal.withColumn("fresh", (~F.coalesce(joins, F.lit(False))).cast("long")).withColumn("run", F.sum("fresh").over(order))
+    return rows.groupBy("wal_id", "run", "kind").agg(F.min("seq").alias("first_seq"), F.min("start_lba").alias("start_lba"), F.sum("lba_length").alias("lba_length"), F.count("*").alias("writes"), F.sum("data_length").alias("data_length")).drop("run")
+
+
+def retained(edges: DataFrame, days: int) -> DataFrame:
+    """Superseded inputs as a stream, kept in state for their retention: ``input, output, since`` when it is over.
+
+    ``edges (input, output, since)``. The timeout is event time: an input goes
+    once the watermark has passed its ``since`` by ``days``; a later output that
+    names it again begins its time anew.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["input", "output", "since"]
+        if state.hasTimedOut:
+            output, since = state.get
+            state.remove()
+            yield pd.DataFrame([(key[0], output, pd.Timestamp(since, unit="ms"))], columns=columns)
+            return
+        output, since = state.get if state.exists else (-1, 0)
+        for rows in frames:
+            at = rows["output"].idxmax()
+            if rows["output"][at] > output:
+                output, since = int(rows["output"][at]), int(rows["since"][at].value // 1_000_000)
+        state.update((output, since))
+        state.setTimeoutTimestamp(max(since + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([], columns=columns)
+
+    named = edges.withWatermark("since", "0 seconds").groupBy("input")
+    return named.applyInPandasWithState(step, "input long, output long, since timestamp", "output long, since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ticking(records: DataFrame, folder: str, tick, every: str = "2 minutes"):
+    """Start the overlay with a tick after each epoch (compact, collect, drain): ``tick(spark, folder, epoch)`` at most once every ``every``."""
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        winners(batch).write.mode("overwrite").parquet(f"{folder}/winners/epoch={epoch}")
+        tick(batch.sparkSession, folder, epoch)
+
+    return records.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(processingTime=every).start()
