@@ -12,23 +12,70 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ZERO_HASH = "0" * 64
-#: Blocks of the address space that the write log and the volumes of the segments cover.
+#: Least blocks of the write log's address space and of a volume's, and least volumes; all grow with the tables.
 LOG_SPACE, VOLUME_SPACE, VOLUMES = 4096, 2048, 16
 BLOCK_BYTES = 4096
+#: The same sizes in SQL.
+LOG_SPACE_SQL = f"(SELECT greatest({LOG_SPACE}, count(*) // 4) FROM events)"
+VOLUME_SPACE_SQL = f"(SELECT greatest({VOLUME_SPACE}, count(*) // 64) FROM lineitem)"
+VOLUMES_SQL = f"(SELECT greatest({VOLUMES}, count(*) // 4096) FROM orders)"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_ROWS: dict[tuple[str, str, str], int] = {}
+
+
+def rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Rows of a table, counted from the files' footers, once for a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _ROWS:
+        _ROWS[key] = read(spark, sf_dir, name).count()
+    return _ROWS[key]
+
+
+def log_space(spark: SparkSession, sf_dir: str) -> int:
+    return max(LOG_SPACE, rows(spark, sf_dir, "events") // 4)
+
+
+def volume_space(spark: SparkSession, sf_dir: str) -> int:
+    return max(VOLUME_SPACE, rows(spark, sf_dir, "lineitem") // 64)
+
+
+def volumes(spark: SparkSession, sf_dir: str) -> int:
+    return max(VOLUMES, rows(spark, sf_dir, "orders") // 4096)
+
+
+def segment_share(spark: SparkSession, sf_dir: str, tenths: int) -> int:
+    """The segment id at a share of the way to the newest one: a snapshot cut that moves with the table."""
+    newest = read(spark, sf_dir, "orders").agg(F.max("o_orderkey")).first()[0] or 0
+    return newest * tenths // 10
+
+
+def segment_share_sql(tenths: int) -> str:
+    return f"(SELECT max(o_orderkey) * {tenths} // 10 FROM orders)"
+
+
+def log_share(spark: SparkSession, sf_dir: str, tenths: int) -> int:
+    """The log id at a share of the way to the newest one."""
+    newest = read(spark, sf_dir, "events").agg(F.max("event_id")).first()[0] or 0
+    return newest // 64 * tenths // 10
+
+
+def log_share_sql(tenths: int) -> str:
+    return f"(SELECT max(event_id) // 64 * {tenths} // 10 FROM events)"
+
+
 def wal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write log: ``seq, wal_id, start_lba, lba_length, kind, hash, data_length, ts``."""
-    e = read(spark, sf_dir, "events")
+    e, space = read(spark, sf_dir, "events"), log_space(spark, sf_dir)
     zero = F.col("event_type") == "error"
     return e.select(
         F.col("event_id").alias("seq"),
         F.floor(F.col("event_id") / 64).alias("wal_id"),
-        ((F.col("user_id") * 7 + F.col("event_id")) % LOG_SPACE).alias("start_lba"),
+        ((F.col("user_id") * 7 + F.col("event_id")) % space).alias("start_lba"),
         (1 + F.col("event_id") % 6).alias("lba_length"),
         F.when(zero, "zero").otherwise("data").alias("kind"),
         F.when(zero, ZERO_HASH).otherwise(F.sha2(F.concat_ws(":", "event_type", (F.col("event_id") % 37).cast("string")), 256)).alias("hash"),
@@ -39,19 +86,19 @@ def wal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segment index entries, one segment for each order."""
-    rows = read(spark, sf_dir, "lineitem")
+    rows, space, count = read(spark, sf_dir, "lineitem"), volume_space(spark, sf_dir), volumes(spark, sf_dir)
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     mark = (F.col("l_partkey") * 3 + F.col("l_linenumber")) % 12
     kind = F.when(mark == 0, "zero").when(mark == 1, "inline").when(mark.isin(2, 3), "delta").when(mark == 4, "canonical_data").when(mark == 5, "dedup_ref").otherwise("data")
     rows = rows.withColumn("kind", kind).withColumn("entry_idx", F.row_number().over(order).cast("long"))
     claims = F.col("kind") != "canonical_data"
     return rows.select(
-        (F.col("l_orderkey") % VOLUMES).alias("volume_id"),
+        (F.col("l_orderkey") % count).alias("volume_id"),
         F.col("l_orderkey").alias("segment_id"),
         "entry_idx",
         "kind",
         F.when(F.col("kind") == "zero", ZERO_HASH).otherwise(F.sha2(F.concat(F.when(F.col("kind") == "delta", "d").otherwise(""), F.col("l_partkey").cast("string")), 256)).alias("hash"),
-        F.when(claims, (F.col("l_partkey") * 17 + F.col("l_suppkey") * 5) % VOLUME_SPACE).otherwise(0).cast("long").alias("start_lba"),
+        F.when(claims, (F.col("l_partkey") * 17 + F.col("l_suppkey") * 5) % space).otherwise(0).cast("long").alias("start_lba"),
         F.when(claims, 1 + F.col("l_suppkey") % 4).otherwise(0).cast("long").alias("lba_length"),
         F.when(F.col("kind").isin("zero", "dedup_ref"), 0).when(F.col("kind") == "inline", 16 + F.col("l_quantity")).otherwise(F.col("l_quantity") * 100).cast("long").alias("stored_length"),
         (F.col("l_suppkey") % 11 == 0).alias("journal"),
@@ -61,13 +108,35 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bodied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that have bytes, with the text that their hash is of and whether it is still that: every 29th supplier's is damaged."""
+    e, count = entries(spark, sf_dir), read(spark, sf_dir, "lineitem")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    keys = count.select(F.col("l_orderkey").alias("segment_id"), F.row_number().over(order).cast("long").alias("entry_idx"), F.col("l_partkey").cast("string").alias("text"), (F.col("l_suppkey") % 29 != 3).alias("sound"))
+    return e.where("kind in ('data', 'inline', 'canonical_data')").select("segment_id", "entry_idx", "hash", "lba_length").join(keys, ["segment_id", "entry_idx"])
+
+
+def entry_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``segment_id, entry_idx, body``: plain bodies as they are stored."""
+    rows = bodied(spark, sf_dir)
+    return rows.select("segment_id", "entry_idx", F.when(F.col("sound"), F.col("text")).otherwise(F.concat("text", F.lit("!"))).alias("body"))
+
+
+def block_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``segment_id, entry_idx, body, sound``: bodies of 64 characters a block; every 97th entry's is gone."""
+    rows = bodied(spark, sf_dir).where("not (segment_id + entry_idx) % 97 = 11")
+    block = lambda i: F.sha2(F.concat_ws(":", "hash", i.cast("string")), 256)
+    count = F.greatest(F.col("lba_length"), F.lit(1))
+    return rows.select("segment_id", "entry_idx", F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), count - 1), block), "").alias("body"), "sound")
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``volume_id, segment_id, tier, inputs, created, bytes``; outputs of a compaction name their inputs."""
-    o = read(spark, sf_dir, "orders")
+    o, count = read(spark, sf_dir, "orders"), volumes(spark, sf_dir)
     tier = F.when(F.col("o_orderkey") % 5 == 0, "gc").when(F.col("o_orderkey") % 5 == 1, "pending").otherwise("index")
-    inputs = F.filter(F.array(*(F.col("o_orderkey") - n * VOLUMES for n in (3, 2, 1))), lambda x: x >= 0)
+    inputs = F.filter(F.array(*(F.col("o_orderkey") - n * count for n in (3, 2, 1))), lambda x: x >= 0)
     return o.select(
-        (F.col("o_orderkey") % VOLUMES).alias("volume_id"),
+        (F.col("o_orderkey") % count).alias("volume_id"),
         F.col("o_orderkey").alias("segment_id"),
         tier.alias("tier"),
         F.when(F.col("o_orderkey") % 5 == 0, inputs).otherwise(F.array().cast("array<bigint>")).alias("inputs"),
@@ -123,37 +192,40 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range probes ``request_id, start_lba, end_lba`` over the write log's space."""
-    e = read(spark, sf_dir, "events").where("event_id % 10 = 0")
-    start = (F.col("event_id") * 31) % LOG_SPACE
+    e = read(spark, sf_dir, "events")
+    start = (F.col("event_id") * 31) % log_space(spark, sf_dir)
     return e.select(F.col("event_id").alias("request_id"), start.alias("start_lba"), (start + 1 + F.col("event_id") % 16).alias("end_lba"))
 
 
 def window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw journal ranges ``start_lba, lba_length``: overlapping, adjacent and empty ones."""
     s = read(spark, sf_dir, "supplier")
-    return s.select(((F.col("s_suppkey") * 37) % LOG_SPACE).alias("start_lba"), (F.col("s_suppkey") % 9).alias("lba_length"))
+    return s.select(((F.col("s_suppkey") * 37) % log_space(spark, sf_dir)).alias("start_lba"), (F.col("s_suppkey") % 9).alias("lba_length"))
 
 
 Z = f"'{ZERO_HASH}'"
 SQL = {
-    "wal": f"""wal AS (SELECT event_id AS seq, event_id // 64 AS wal_id, (user_id * 7 + event_id) % {LOG_SPACE} AS start_lba, 1 + event_id % 6 AS lba_length,
+    "wal": f"""wal AS (SELECT event_id AS seq, event_id // 64 AS wal_id, (user_id * 7 + event_id) % {LOG_SPACE_SQL} AS start_lba, 1 + event_id % 6 AS lba_length,
       CASE WHEN event_type = 'error' THEN 'zero' ELSE 'data' END AS kind,
       CASE WHEN event_type = 'error' THEN {Z} ELSE sha256(event_type || ':' || (event_id % 37)) END AS hash,
       CAST(CASE WHEN event_type = 'error' THEN 0 ELSE 100 + event_id % 900 END AS BIGINT) AS data_length, ts FROM events)""",
     "entries": f"""entries_k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS entry_idx,
       CASE (l_partkey * 3 + l_linenumber) % 12 WHEN 0 THEN 'zero' WHEN 1 THEN 'inline' WHEN 2 THEN 'delta' WHEN 3 THEN 'delta' WHEN 4 THEN 'canonical_data' WHEN 5 THEN 'dedup_ref' ELSE 'data' END AS kind FROM lineitem),
-      entries AS (SELECT l_orderkey % {VOLUMES} AS volume_id, l_orderkey AS segment_id, entry_idx, kind,
+      entries AS (SELECT l_orderkey % {VOLUMES_SQL} AS volume_id, l_orderkey AS segment_id, entry_idx, kind,
       CASE WHEN kind = 'zero' THEN {Z} WHEN kind = 'delta' THEN sha256('d' || l_partkey) ELSE sha256(CAST(l_partkey AS VARCHAR)) END AS hash,
-      CAST(CASE WHEN kind = 'canonical_data' THEN 0 ELSE (l_partkey * 17 + l_suppkey * 5) % {VOLUME_SPACE} END AS BIGINT) AS start_lba,
+      CAST(CASE WHEN kind = 'canonical_data' THEN 0 ELSE (l_partkey * 17 + l_suppkey * 5) % {VOLUME_SPACE_SQL} END AS BIGINT) AS start_lba,
       CAST(CASE WHEN kind = 'canonical_data' THEN 0 ELSE 1 + l_suppkey % 4 END AS BIGINT) AS lba_length,
       CAST(CASE WHEN kind IN ('zero', 'dedup_ref') THEN 0 WHEN kind = 'inline' THEN 16 + l_quantity ELSE l_quantity * 100 END AS BIGINT) AS stored_length,
       l_suppkey % 11 = 0 AS journal,
       CASE WHEN kind = 'delta' THEN sha256(CAST(l_partkey - 1 AS VARCHAR)) END AS delta_source,
       CAST(CASE WHEN kind = 'delta' THEN l_quantity * 10 ELSE 0 END AS BIGINT) AS delta_length,
       l_linenumber % 3 <> 0 AS present FROM entries_k)""",
-    "segments": f"""segments AS (SELECT o_orderkey % {VOLUMES} AS volume_id, o_orderkey AS segment_id,
+    "entry_bodies": """entry_bodies AS (SELECT l_orderkey AS segment_id, entry_idx, l_partkey || CASE WHEN l_suppkey % 29 = 3 THEN '!' ELSE '' END AS body FROM entries_k WHERE kind IN ('data', 'inline', 'canonical_data'))""",
+    "block_bodies": """block_bodies AS (SELECT e.segment_id, e.entry_idx, array_to_string(list_transform(range(0, greatest(e.lba_length, 1)), lambda i: sha256(e.hash || ':' || i)), '') AS body, k.l_suppkey % 29 <> 3 AS sound
+      FROM entries e JOIN entries_k k ON k.l_orderkey = e.segment_id AND k.entry_idx = e.entry_idx WHERE e.kind IN ('data', 'inline', 'canonical_data') AND NOT (e.segment_id + e.entry_idx) % 97 = 11)""",
+    "segments": f"""segments AS (SELECT o_orderkey % {VOLUMES_SQL} AS volume_id, o_orderkey AS segment_id,
       CASE WHEN o_orderkey % 5 = 0 THEN 'gc' WHEN o_orderkey % 5 = 1 THEN 'pending' ELSE 'index' END AS tier,
-      CASE WHEN o_orderkey % 5 = 0 THEN list_filter([o_orderkey - {3 * VOLUMES}, o_orderkey - {2 * VOLUMES}, o_orderkey - {VOLUMES}], lambda x: x >= 0) ELSE [] END AS inputs,
+      CASE WHEN o_orderkey % 5 = 0 THEN list_filter([o_orderkey - 3 * {VOLUMES_SQL}, o_orderkey - 2 * {VOLUMES_SQL}, o_orderkey - {VOLUMES_SQL}], lambda x: x >= 0) ELSE [] END AS inputs,
       o_orderdate AS created, CAST(floor(o_totalprice) AS BIGINT) AS bytes FROM orders)""",
     "files": """files AS (SELECT doc_id AS file_id, '/' || source || '/' || lang || '/' || (doc_id // 100) || '/' || doc_id AS path, text AS body, sha256(text) AS hash, CAST(strlen(text) AS BIGINT) AS bytes FROM documents)""",
     "image_a": """image_a AS (SELECT * FROM files WHERE file_id % 7 <> 3)""",
@@ -165,8 +237,8 @@ SQL = {
     "journal": """journal AS (SELECT conv_id AS name, turn AS event_id,
       CASE WHEN turn = 0 THEN NULL WHEN turn >= 2 AND (conv_id + turn) % 13 = 0 THEN turn - 2 ELSE turn - 1 END AS prev_id,
       ['force_claim', 'claim', 'stop', 'start', 'release'][turn % 5 + 1] AS kind, conv_id * 1000 + turn AS stamp, CAST(length(text) AS BIGINT) AS payload FROM conversations)""",
-    "requests": f"""requests AS (SELECT event_id AS request_id, (event_id * 31) % {LOG_SPACE} AS start_lba, (event_id * 31) % {LOG_SPACE} + 1 + event_id % 16 AS end_lba FROM events WHERE event_id % 10 = 0)""",
-    "window": f"""win AS (SELECT (s_suppkey * 37) % {LOG_SPACE} AS start_lba, s_suppkey % 9 AS lba_length FROM supplier)""",
+    "requests": f"""requests AS (SELECT event_id AS request_id, (event_id * 31) % {LOG_SPACE_SQL} AS start_lba, (event_id * 31) % {LOG_SPACE_SQL} + 1 + event_id % 16 AS end_lba FROM events)""",
+    "window": f"""win AS (SELECT (s_suppkey * 37) % {LOG_SPACE_SQL} AS start_lba, s_suppkey % 9 AS lba_length FROM supplier)""",
     # the current map of the write log, by last write
     "lbamap": """blocks AS (SELECT w.*, unnest(range(start_lba, start_lba + lba_length)) AS lba FROM wal w),
       tops AS (SELECT * FROM blocks QUALIFY row_number() OVER (PARTITION BY lba ORDER BY wal_id DESC, seq DESC) = 1),
@@ -228,6 +300,8 @@ SQL = {
 NEEDS = {
     "lbamap": ["wal"],
     "ranges": ["window"],
+    "entry_bodies": ["entries"],
+    "block_bodies": ["entries"],
     "image_a": ["files"],
     "image_b": ["files"],
     "volmap": ["entries", "segments"],

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from varve.operators import intervals as iv
 from varve.plans import fixtures as fx
-from varve.plans.fixtures import LOG_SPACE, ZERO_HASH, prelude
+from varve.plans.fixtures import LOG_SPACE_SQL, ZERO_HASH, prelude
 
 MAP = "start_lba, lba_length, payload_block_offset, hash, claimant, seq"
 
@@ -21,10 +21,10 @@ def ranges(spark, d):
 
 def points(spark, d):
     e = fx.read(spark, d, "events")
-    return e.select(F.col("event_id").alias("request_id"), ((F.col("event_id") * 13) % (LOG_SPACE + 64)).alias("lba"))
+    return e.select(F.col("event_id").alias("request_id"), ((F.col("event_id") * 13) % (fx.log_space(spark, d) + 64)).alias("lba"))
 
 
-POINTS = f"points AS (SELECT event_id AS request_id, (event_id * 13) % {LOG_SPACE + 64} AS lba FROM events)"
+POINTS = f"points AS (SELECT event_id AS request_id, (event_id * 13) % ({LOG_SPACE_SQL} + 64) AS lba FROM events)"
 
 
 def outputs(spark, d):

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from varve.operators import read_path as rp
-from varve.operators import intervals as iv
 from varve.plans import compaction_queries as cq
 from varve.plans import fixtures as fx
 from varve.plans.fixtures import prelude
 from varve.sources import text_formats as tf
+from varve.sources.shared import fresh_folder as shared
 from varve.sources import wal_format as wf
 from varve.streaming import log
 
@@ -25,20 +22,6 @@ def torn(s, d):
     return logs.select("wal_id", F.when(F.col("wal_id") % 3 == 0, F.expr("substring(content, 1, length(content) - 5)")).otherwise(F.col("content")).alias("content"))
 
 
-def head(s, d):
-    g = fx.segments(s, d)
-    section = F.when(F.col("segment_id") % 50 == 7, "tombstoned").when(F.col("tier") == "gc", "superseded").otherwise("added")
-    return g.where("segment_id % 3 = 0").select("volume_id", section.alias("section"), "segment_id")
-
-
-def shared(spark, label):
-    """A fresh folder that driver and executors share."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="varve-stream-"))
-    return f"{context.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
-
-
 def event_stream(s, d):
     path = f"{d}/events.parquet"
     # a stream reads a folder; the table may be one file
@@ -51,11 +34,11 @@ def is_folder(s, path):
     return p.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def wal_stream(s, d):
+def wal_stream(s, d, *more):
     e = event_stream(s, d)
     zero = F.col("event_type") == "error"
     digest = F.when(zero, fx.ZERO_HASH).otherwise(F.sha2(F.concat_ws(":", "event_type", (F.col("event_id") % 37).cast("string")), 256))
-    return e.select(F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 64).alias("wal_id"), ((F.col("user_id") * 7 + F.col("event_id")) % fx.LOG_SPACE).alias("start_lba"), (1 + F.col("event_id") % 6).alias("lba_length"), digest.alias("hash"))
+    return e.select(F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 64).alias("wal_id"), ((F.col("user_id") * 7 + F.col("event_id")) % fx.log_space(s, d)).alias("start_lba"), (1 + F.col("event_id") % 6).alias("lba_length"), digest.alias("hash"), *more)
 
 
 def streamed_overlay(s, d):
@@ -65,16 +48,16 @@ def streamed_overlay(s, d):
 
 
 def streamed_counts(s, d):
-    name = f"counts_{uuid.uuid4().hex}"
-    log.run_to_table(log.windowed_counts(event_stream(s, d)), name, "complete", shared(s, "counts"))
-    return s.table(name)
+    folder = shared(s, "counts")
+    return log.run_to_folder(log.windowed_counts(event_stream(s, d)), folder, "complete")
 
 
 def streamed_skips(s, d):
-    name = f"skips_{uuid.uuid4().hex}"
-    rows = wal_stream(s, d).select((F.col("start_lba") % 32).alias("lba"), "seq", F.substring("hash", 1, 1).alias("hash"))
-    log.run_to_table(log.skip_noops(rows), name, "append", shared(s, "skips"))
-    return s.table(name)
+    """First blocks of all writes, purchases sent twice; a write that finds its own hash is skipped."""
+    w = wal_stream(s, d, "event_type")
+    sent = F.when(F.col("event_type") == "purchase", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = w.withColumn("again", F.explode(sent)).select(F.col("start_lba").alias("lba"), (F.col("seq") * 2 + F.col("again")).alias("seq"), "hash")
+    return log.run_to_folder(log.skip_noops(rows), shared(s, "skips"), "append")
 
 
 QUERIES = {
@@ -83,14 +66,6 @@ QUERIES = {
         lambda s, d: wf.parsed_logs(torn(s, d)),
         prelude("wal") + f", l AS (SELECT *, max(seq) OVER (PARTITION BY wal_id) AS last FROM wal) SELECT {RECORD}, wal_id % 3 = 0 AS is_truncated FROM l WHERE NOT (wal_id % 3 = 0 AND seq = last)",
     ),
-    "s03_index_scan": (
-        lambda s, d: fx.entries(s, d).select("segment_id", "entry_idx", "kind", "hash", "start_lba", "lba_length"),
-        prelude("entries") + "SELECT segment_id, entry_idx, kind, hash, start_lba, lba_length FROM entries",
-    ),
-    "s04_checked_index_scan": (
-        lambda s, d: fx.entries(s, d).groupBy("segment_id").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("entry_idx", "hash"))), lambda r: r["hash"])), 256).alias("mark"), F.count("*").alias("entries")),
-        prelude("entries") + "SELECT segment_id, sha256(string_agg(hash, ',' ORDER BY entry_idx)) AS mark, count(*) AS entries FROM entries GROUP BY segment_id",
-    ),
     "s05_layout_scan": (
         lambda s, d: fx.entries(s, d).groupBy("segment_id").agg(F.sum(F.when(F.col("kind") == "inline", F.col("stored_length")).otherwise(0)).alias("inline_bytes"), F.sum(F.when(F.col("kind").isin("data", "canonical_data"), F.col("stored_length")).otherwise(0)).alias("body_bytes"), F.sum("delta_length").alias("delta_bytes")),
         prelude("entries") + "SELECT segment_id, CAST(sum(CASE WHEN kind = 'inline' THEN stored_length ELSE 0 END) AS BIGINT) AS inline_bytes, CAST(sum(CASE WHEN kind IN ('data', 'canonical_data') THEN stored_length ELSE 0 END) AS BIGINT) AS body_bytes, CAST(sum(delta_length) AS BIGINT) AS delta_bytes FROM entries GROUP BY segment_id",
@@ -103,22 +78,6 @@ QUERIES = {
         lambda s, d: rp.offsets(fx.entries(s, d), "segment_id", ["entry_idx"], "stored_length").select("segment_id", "entry_idx", (F.col("body_offset") + F.col("stored_length") <= 12_000).alias("inside")),
         prelude("entries") + ", o AS (SELECT *, coalesce(sum(stored_length) OVER (PARTITION BY segment_id ORDER BY entry_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS body_offset FROM entries) SELECT segment_id, entry_idx, body_offset + stored_length <= 12000 AS inside FROM o",
     ),
-    "s13_snapshot_open": (
-        lambda s, d: iv.runs(
-            iv.settled(fx.entries(s, d).where("kind not like 'canonical%' and segment_id <= 9000").select("volume_id", "start_lba", "lba_length", "hash", F.col("segment_id").alias("claimant"), "entry_idx"), [F.col("claimant"), F.col("entry_idx")], ["hash", "claimant", "entry_idx"], by=["volume_id"]),
-            ["hash", "claimant", "entry_idx"],
-            by=["volume_id"],
-        ),
-        prelude("entries")
-        + """, b AS (SELECT *, unnest(range(start_lba, start_lba + lba_length)) AS lba FROM entries WHERE kind NOT LIKE 'canonical%' AND segment_id <= 9000),
-t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY volume_id, lba ORDER BY segment_id DESC, entry_idx DESC) = 1),
-i AS (SELECT *, lba - row_number() OVER (PARTITION BY volume_id, segment_id, entry_idx ORDER BY lba) AS g FROM t)
-SELECT volume_id, min(lba) AS start_lba, count(*) AS lba_length, min(lba) - any_value(start_lba) AS payload_block_offset, any_value(hash) AS hash, segment_id AS claimant, entry_idx FROM i GROUP BY volume_id, segment_id, entry_idx, g""",
-    ),
-    "s14_live_open": (
-        lambda s, d: fx.segments(s, d).groupBy("volume_id").agg(F.count("*").alias("segments"), F.sum((F.col("tier") == "pending").cast("long")).alias("pending")),
-        prelude("segments") + "SELECT volume_id, count(*) AS segments, count(*) FILTER (tier = 'pending') AS pending FROM segments GROUP BY volume_id",
-    ),
     "s16_layout": (
         lambda s, d: rp.offsets(fx.files(s, d).withColumn("vol", F.col("file_id") % 4).withColumn("blocks", F.ceil(F.col("bytes") / 4096)), "vol", ["file_id"], "blocks").select("vol", "path", F.col("body_offset").alias("start_lba"), "blocks"),
         prelude("files") + ", v AS (SELECT file_id % 4 AS vol, file_id, path, CAST(ceil(bytes / 4096.0) AS BIGINT) AS blocks FROM files) SELECT vol, path, CAST(coalesce(sum(blocks) OVER (PARTITION BY vol ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_lba, blocks FROM v",
@@ -133,15 +92,11 @@ SELECT volume_id, min(lba) AS start_lba, count(*) AS lba_length, min(lba) - any_
         lambda s, d: tf.parse_trace(fx.wal(s, d).select(F.format_string(" %s %d  %d", "hash", F.col("start_lba") * 4096, F.col("data_length")).alias("value"))),
         prelude("wal") + "SELECT hash, start_lba * 4096 AS start_byte, data_length AS byte_count FROM wal",
     ),
-    "s25_head": (lambda s, d: tf.parse_head(tf.head_lines(head(s, d))), prelude("segments") + "SELECT volume_id, CASE WHEN segment_id % 50 = 7 THEN 'tombstoned' WHEN tier = 'gc' THEN 'superseded' ELSE 'added' END AS section, segment_id FROM segments WHERE segment_id % 3 = 0"),
+    "s25_head": (lambda s, d: tf.parse_head(tf.head_lines(cq.head(s, d))), prelude("segments") + "SELECT volume_id, CASE WHEN segment_id % 50 = 7 THEN 'tombstoned' WHEN tier = 'gc' THEN 'superseded' ELSE 'added' END AS section, segment_id FROM segments"),
     "s26_plan": (lambda s, d: tf.parse_plan(tf.plan_lines(cq.QUERIES["g10_plan"][0](s, d))), cq.QUERIES["g10_plan"][1]),
-    "k02_body_offsets": (
-        lambda s, d: rp.offsets(fx.entries(s, d), "segment_id", ["entry_idx"], "stored_length").select("segment_id", "entry_idx", "body_offset"),
-        prelude("entries") + "SELECT segment_id, entry_idx, CAST(coalesce(sum(stored_length) OVER (PARTITION BY segment_id ORDER BY entry_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS body_offset FROM entries",
-    ),
     "k07_head_lines": (
-        lambda s, d: tf.head_lines(head(s, d)).groupBy("volume_id").agg(F.count("*").alias("lines"), F.sum(F.col("value").startswith("[").cast("long")).alias("titles")),
-        prelude("segments") + "SELECT volume_id, count(*) + 4 AS lines, CAST(4 AS BIGINT) AS titles FROM segments WHERE segment_id % 3 = 0 GROUP BY volume_id",
+        lambda s, d: tf.head_lines(cq.head(s, d)).groupBy("volume_id").agg(F.count("*").alias("lines"), F.sum(F.col("value").startswith("[").cast("long")).alias("titles")),
+        prelude("segments") + "SELECT volume_id, count(*) + 4 AS lines, CAST(4 AS BIGINT) AS titles FROM segments GROUP BY volume_id",
     ),
     "k11_block_hashes": (
         lambda s, d: rp.chunk_table(fx.files(s, d), 128).select("file_id", F.concat_ws(" ", F.col("chunk").cast("string"), "hash").alias("line")),
@@ -158,6 +113,21 @@ SELECT volume_id, min(lba) AS start_lba, count(*) AS lba_length, min(lba) - any_
     ),
     "st03_stream_noop_skip": (
         streamed_skips,
-        prelude("wal") + ", w AS (SELECT start_lba % 32 AS lba, seq, substr(hash, 1, 1) AS hash, lag(substr(hash, 1, 1)) OVER (PARTITION BY start_lba % 32 ORDER BY seq) AS held FROM wal) SELECT lba, seq, hash FROM w WHERE held IS NULL OR held <> hash",
+        prelude("wal")
+        + ", x AS (SELECT w.start_lba AS lba, w.seq, w.hash, e.event_type FROM wal w JOIN events e ON e.event_id = w.seq), w AS (SELECT lba, seq * 2 + again AS seq, hash FROM (SELECT *, unnest(CASE WHEN event_type = 'purchase' THEN [0, 1] ELSE [0] END) AS again FROM x)), l AS (SELECT *, lag(hash) OVER (PARTITION BY lba ORDER BY seq) AS held FROM w) SELECT lba, seq, hash FROM l WHERE held IS NULL OR held <> hash",
+    ),
+    "st04_log_epochs": (
+        lambda s, d: log.epochs(fx.wal(s, d), 12_000, 20),
+        prelude("wal", recursive=True)
+        + """, o AS (SELECT wal_id, seq, data_length, row_number() OVER (PARTITION BY wal_id ORDER BY seq) AS k FROM wal),
+e(wal_id, k, epoch, n, bytes) AS (SELECT wal_id, k, CAST(0 AS BIGINT), CAST(1 AS BIGINT), data_length FROM o WHERE k = 1 UNION ALL
+SELECT e.wal_id, o.k, CASE WHEN n >= 20 OR bytes >= 12000 THEN epoch + 1 ELSE epoch END, CASE WHEN n >= 20 OR bytes >= 12000 THEN 1 ELSE n + 1 END, CASE WHEN n >= 20 OR bytes >= 12000 THEN o.data_length ELSE bytes + o.data_length END FROM e JOIN o ON o.wal_id = e.wal_id AND o.k = e.k + 1)
+SELECT wal_id, epoch, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS entries, CAST(sum(data_length) AS BIGINT) AS bytes FROM e JOIN o USING (wal_id, k) GROUP BY ALL""",
+    ),
+    "st05_coalesced_writes": (
+        lambda s, d: log.coalesced(fx.wal(s, d)),
+        prelude("wal")
+        + """, g AS (SELECT *, CASE WHEN lag(kind) OVER p = kind AND lag(start_lba + lba_length) OVER p = start_lba THEN 0 ELSE 1 END AS fresh FROM wal WINDOW p AS (PARTITION BY wal_id ORDER BY seq)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY wal_id ORDER BY seq) AS run FROM g)
+SELECT wal_id, min(seq) AS first_seq, kind, min(start_lba) AS start_lba, CAST(sum(lba_length) AS BIGINT) AS lba_length, count(*) AS writes, CAST(sum(data_length) AS BIGINT) AS data_length FROM i GROUP BY wal_id, run, kind""",
     ),
 }

@@ -47,11 +47,6 @@ QUERIES = {
         + BODIES
         + " SELECT m.hash, min(start_lba) AS lowest_lba, CASE WHEN any_value(body) IS NULL THEN 'unresolvable' WHEN sha256(any_value(body)) = m.hash THEN 'ok' ELSE 'mismatch' END AS state FROM lbamap m LEFT JOIN bodies b ON b.hash = m.hash WHERE m.hash <> repeat('0', 64) GROUP BY m.hash",
     ),
-    "r08_verify_counts": (
-        lambda s, d: fx.entries(s, d).join(fx.segments(s, d).select("segment_id", "tier"), "segment_id").groupBy("tier").agg(F.countDistinct("segment_id").alias("segments"), F.sum((F.col("present") & (F.col("stored_length") > 0)).cast("long")).alias("checked"), F.sum((F.col("stored_length") == 0).cast("long")).alias("no_body"), F.sum((~F.col("present") & (F.col("stored_length") > 0)).cast("long")).alias("not_present")),
-        prelude("entries", "segments")
-        + "SELECT tier, count(DISTINCT segment_id) AS segments, count(*) FILTER (present AND stored_length > 0) AS checked, count(*) FILTER (stored_length = 0) AS no_body, count(*) FILTER (NOT present AND stored_length > 0) AS not_present FROM entries JOIN segments USING (segment_id) GROUP BY tier",
-    ),
     "r09_hash_checks": (
         lambda s, d: fx.image(s, d, "b").select("file_id", (F.sha2("body", 256) == F.col("hash")).alias("plain_ok"), F.substring("hash", 1, 32).alias("tag"), (F.substring(F.sha2(F.concat("body", F.lit("x")), 256), 1, 32) == F.substring("hash", 1, 32)).alias("damaged_ok")),
         prelude("image_b") + "SELECT file_id, sha256(body) = hash AS plain_ok, substr(hash, 1, 32) AS tag, substr(sha256(body || 'x'), 1, 32) = substr(hash, 1, 32) AS damaged_ok FROM image_b",

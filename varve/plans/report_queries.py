@@ -14,6 +14,7 @@ from varve.operators import reports as re
 from varve.operators import similarity as si
 from varve.plans import compaction_queries as cq
 from varve.plans import fixtures as fx
+from varve.plans import io_queries as io
 from varve.plans.fixtures import prelude
 
 AGE = "CASE WHEN secs < 60 THEN '1m' WHEN secs < 300 THEN '5m' WHEN secs < 900 THEN '15m' WHEN secs < 3600 THEN '1h' WHEN secs < 21600 THEN '6h' WHEN secs < 86400 THEN '24h' ELSE 'older' END"
@@ -27,16 +28,23 @@ AGED = f", aged AS (SELECT *, {AGE} AS age FROM (SELECT *, (segment_id * 13) % 1
 
 
 def marks(s, d):
-    """Eight features of a file that both engines compute: numbers from the hashes of eight stretches of its text."""
+    """Resemblance sketches of all files' whole bodies."""
     f = fx.files(s, d)
-    feature = [F.conv(F.substring(F.md5(F.substring("body", 80 * i + 1, 40).cast("binary")), 1, 8), 16, 10).cast("long") for i in range(8)]
-    return f.where(F.length("body") >= 640).select(F.col("file_id").alias("source_id"), F.col("file_id").alias("target_id"), "hash", F.array(*feature).alias("sketch"))
+    return f.select(F.col("file_id").alias("source_id"), F.col("file_id").alias("target_id"), "hash", sk.sketch_column(F.col("body").cast("binary"), least_bytes=LEAST).alias("sketch"))
 
 
-MARKS = "marks AS (SELECT file_id, hash, list_transform(range(8), lambda i: CAST('0x' || substr(md5(substr(body, 80 * i + 1, 40)), 1, 8) AS BIGINT)) AS sketch FROM files WHERE length(body) >= 640)"
-POSTINGS = (
-    ", feats AS (SELECT DISTINCT file_id AS source_id, hash, unnest(sketch) AS feature FROM marks), posts AS (SELECT *, CAST(row_number() OVER (PARTITION BY feature ORDER BY source_id) AS INTEGER) AS place FROM feats QUALIFY place <= 32)"
-)
+#: Bytes from which a body has a sketch here; the files of these tables are smaller than those of a disk.
+LEAST = 1024
+
+
+def index_and_sketches(s, d):
+    """Owners of all contents and the postings of their sketches from one pass over the bodies."""
+    f = fx.files(s, d).select("file_id", "hash", "bytes", sk.sketch_column(F.col("body").cast("binary"), least_bytes=LEAST).alias("sketch"))
+    folder = io.shared(s, "rebuild")
+    f.groupBy("hash").agg(F.min(F.struct("file_id", "bytes", "sketch")).alias("o")).select("hash", F.col("o.file_id").alias("source_id"), "o.bytes", "o.sketch").write.parquet(folder)
+    owned = s.read.parquet(folder)  # bodies are hashed and sketched once, for both outputs
+    listed = si.postings(owned).groupBy("source_id").agg(F.count("*").alias("postings"))
+    return owned.join(listed, "source_id", "left").select("hash", "source_id", "bytes", F.col("sketch").isNotNull().alias("sketched"), F.coalesce("postings", F.lit(0)).alias("postings"))
 
 
 def fragments(s, d, side):
@@ -50,12 +58,6 @@ def fragment_sql(side):
   FROM (SELECT path, body, unnest(range(0, CAST(ceil(length(body) / 1000.0) AS BIGINT))) AS chunk FROM image_{side} WHERE length(body) > 0))"""
 
 
-def studied(s, d):
-    """Bodies with compressed lengths at three levels."""
-    f = fx.files(s, d).withColumn("raw", F.col("body").cast("binary"))
-    return f.select("file_id", "bytes", sk.compressed_length(F.col("raw"), 1).alias("fast"), sk.compressed_length(F.col("raw"), 3).alias("mid"), sk.compressed_length(F.col("raw"), 9).alias("high"))
-
-
 def changed_pairs(s, d):
     a, b = fx.image(s, d, "a"), fx.image(s, d, "b")
     met = b.join(a.select("path", F.col("body").alias("old"), F.col("hash").alias("old_hash")), "path").where("hash <> old_hash")
@@ -64,16 +66,87 @@ def changed_pairs(s, d):
 
 
 def resemblance(s, d):
-    """The resemblance tier: best candidate of each body by sketch, and whether its delta is kept."""
-    f = fx.files(s, d).where("bytes >= 1024").select("file_id", "hash", F.col("body").cast("binary").alias("raw"))
-    sketches = f.select(F.col("file_id").alias("source_id"), F.col("file_id").alias("target_id"), "hash", sk.sketch_column(F.col("raw"), least_bytes=1024).alias("sketch"))
-    best = si.candidates(sketches, si.postings(sketches)).join(f.select(F.col("file_id").alias("target_id"), F.col("hash").alias("own")), "target_id").where("own <> hash")
-    best = best.groupBy("target_id").agg(F.min(F.struct("rank", "source_id", "shared")).alias("b")).select("target_id", "b.source_id", "b.shared")
-    met = best.join(f.select(F.col("file_id").alias("target_id"), F.col("raw").alias("new")), "target_id").join(f.select(F.col("file_id").alias("source_id"), F.col("raw").alias("old")), "source_id")
+    """The resemblance tier: the first usable candidate of each body of the newer image, and whether its delta is kept."""
+    new, old = fx.image(s, d, "b").where(F.col("bytes") >= LEAST), fx.image(s, d, "a").where(F.col("bytes") >= LEAST)
+    cut = lambda t, name: t.select(F.col("file_id").alias(name), "hash", sk.sketch_column(F.col("body").cast("binary"), least_bytes=LEAST).alias("sketch"))
+    found = si.candidates(cut(new, "target_id"), si.postings(cut(old, "source_id")))
+    # what the newer image still holds is referenced; same-path sources are taken by an earlier tier
+    reserved = old.join(new.select("path", F.col("hash").alias("h")), "path").where("hash <> h").select("hash")
+    best = si.chosen_sources(found, new.select(F.col("file_id").alias("target_id"), F.col("hash").alias("own")), fx.image(s, d, "b"), reserved)
+    raw = lambda t, name, body: t.select(F.col("file_id").alias(name), F.col("body").cast("binary").alias(body))
+    met = best.join(raw(new, "target_id", "new"), "target_id").join(raw(old, "source_id", "old"), "source_id")
     sized = met.select("target_id", "source_id", "shared", sk.compressed_length(F.col("new"), 3).alias("stored"), sk.compressed_length(F.col("new"), 9).alias("plain"), sk.delta_length(F.col("old"), F.col("new")).alias("delta"))
     return sized.withColumn("kept", sk.worth_storing(F.col("delta"), F.col("stored"), F.col("plain")))
 
 
+def cold_boot(s, d):
+    """Reads of a boot by what the older image has of them: exact, changed, new, or not mapped by the newer image.
+
+    The trace reads every file of either image, in the newer image's place.
+    """
+    a, b = fx.image(s, d, "a"), fx.image(s, d, "b")
+    trace = a.select("path").union(b.select("path")).distinct()
+    met = trace.join(b.select("path", "hash", "bytes"), "path", "left").join(a.select("path", F.col("hash").alias("old")), "path", "left").join(a.select("hash", F.lit(True).alias("held")).distinct(), "hash", "left")
+    kind = F.when(F.col("hash").isNull(), "unmapped").when(F.col("held"), "exact").when(F.col("old").isNotNull(), "changed").otherwise("new")
+    return met.select("path", "hash", "bytes", kind.alias("class"))
+
+
+def boot_strategies(s, d):
+    """Bytes that a warm and a cold boot fetch: compressed, with unchanged blocks left out, with deltas, with both.
+
+    No fetch is above the body itself. A cold boot adds exact files uncompressed.
+    """
+    reads = cold_boot(s, d).join(fx.image(s, d, "b").select("path", F.col("body").alias("new")), "path", "left").join(fx.image(s, d, "a").select("path", F.col("body").alias("old")), "path", "left")
+    raw = lambda c: F.col(c).cast("binary")
+    size = 512
+    cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("new") / size).cast("int") - 1, F.lit(0))), lambda i: F.when(F.substring("new", i * size + 1, F.lit(size)) != F.substring("old", i * size + 1, F.lit(size)), F.substring("new", i * size + 1, F.lit(size))).otherwise(""))
+    rows = reads.where("class in ('exact', 'changed', 'new')").select("class", "bytes", raw("new").alias("new"), F.when(F.col("class") == "changed", raw("old")).alias("old"), F.when(F.col("class") == "changed", F.array_join(cuts, "").cast("binary")).alias("sparse"))
+    capped = lambda c: F.least(c, F.col("bytes"))
+    rows = rows.select("class", "bytes", sk.compressed_length(F.col("new"), 3).alias("z"), sk.compressed_length(F.col("sparse"), 3).alias("sp"), sk.delta_length(F.col("old"), F.col("new")).alias("dl"), sk.delta_length(F.col("old"), F.col("sparse")).alias("both"))
+    rows = rows.select("class", "bytes", capped(F.col("z")).alias("zstd"), capped(F.coalesce("sp", "z")).alias("sparse"), capped(F.coalesce("dl", "z")).alias("delta"), capped(F.least(F.coalesce("both", "z"), F.coalesce("sp", "z"), F.coalesce("dl", "z"))).alias("both"))
+    kinds = ("zstd", "sparse", "delta", "both")
+    warm = rows.where("class <> 'exact'").agg(F.lit("warm").alias("boot"), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds))
+    cold = rows.agg(F.lit("cold").alias("boot"), *(F.coalesce(F.sum(F.when(F.col("class") == "exact", F.col("bytes")).otherwise(F.col(k))), F.lit(0)).alias(k) for k in kinds))
+    return warm.unionByName(cold)
+
+
+def delta_simulation(s, d):
+    """Changed and new files of the newer image by tier: same path, then resemblance, then alone; with what each tier stores."""
+    a, b = fx.image(s, d, "a"), fx.image(s, d, "b")
+    fresh = b.join(a.select("hash").distinct(), "hash", "left_anti")
+    same = a.select("path", F.col("body").alias("same"))
+    alike = resemblance(s, d).where("kept").select(F.col("target_id").alias("file_id"), F.col("delta").alias("by_likeness"))
+    raw = lambda c: F.col(c).cast("binary")
+    rows = fresh.join(same, "path", "left").join(alike, "file_id", "left")
+    rows = rows.select("bytes", "by_likeness", sk.compressed_length(raw("body"), 3).alias("stored"), sk.compressed_length(raw("body"), 9).alias("plain"), sk.delta_length(raw("same"), raw("body")).alias("by_path"))
+    path_wins = F.coalesce(sk.worth_storing(F.col("by_path"), F.col("stored"), F.col("plain")), F.lit(False))
+    tier = F.when(path_wins, "same_path").when(F.col("by_likeness").isNotNull(), "resemblance").otherwise("alone")
+    best = F.least("stored", "by_path", "by_likeness")
+    size = F.when(tier == "same_path", F.col("by_path")).when(tier == "resemblance", F.col("by_likeness")).otherwise(F.col("stored"))
+    rows = rows.select(tier.alias("tier"), re.power_bucket(F.col("bytes")).alias("bucket"), "bytes", "stored", size.alias("with_deltas"), best.alias("oracle"))
+    return rows.groupBy("tier", "bucket").agg(F.count("*").alias("files"), *(F.sum(c).alias(c) for c in ("bytes", "stored", "with_deltas", "oracle")))
+
+
+def codec_study(s, d):
+    """By size bucket: bytes under three codecs, where the fast one wins and by how much, and in chunks of four sizes."""
+    f = fx.files(s, d).withColumn("raw", F.col("body").cast("binary"))
+    chunked = [sk.chunked_length(F.col("raw"), n, 3).alias(f"chunks_{n}") for n in CHUNKS]
+    rows = f.select("bytes", sk.compressed_length(F.col("raw"), 1).alias("fast"), sk.compressed_length(F.col("raw"), 3).alias("mid"), sk.compressed_length(F.col("raw"), 9).alias("high"), *chunked)
+    sums = [F.sum(c).alias(c) for c in ("bytes", "fast", "mid", "high", *(f"chunks_{n}" for n in CHUNKS))]
+    return rows.groupBy(re.power_bucket(F.col("bytes")).alias("bucket")).agg(F.count("*").alias("bodies"), *sums, F.sum((F.col("fast") <= F.col("mid")).cast("long")).alias("fast_wins"), F.sum(F.greatest(F.col("mid") - F.col("fast"), F.lit(0))).alias("fast_margin"))
+
+
+#: Chunk sizes of the codec study.
+CHUNKS = (256, 1024, 4096, 16384)
+
+
+def same_place(s, d):
+    """Writes after a snapshot in the middle of the log, and what the snapshot has in their place."""
+    w, cut = fx.wal(s, d), fx.log_share(s, d, 5)
+    late = w.where(F.col("wal_id") > cut).select(F.col("seq").alias("entry_id"), "start_lba", "lba_length", "kind", "hash")
+    return si.same_place_sources(late, iv.blocks(iv.overlay(w.where(F.col("wal_id") <= cut))).select("lba", "hash"), w.where("kind = 'data'"))
+
+
 WAITS_SQL = "waits AS (SELECT event_type AS site, CAST(floor(abs(value) * 100) AS BIGINT) AS millis FROM events)"
 
 
@@ -108,7 +181,6 @@ SELECT t.hash, dead_blocks FROM t JOIN owners o ON o.hash = t.hash AND o.kind <>
         prelude("entries")
         + ", b AS (SELECT segment_id, entry_idx, CAST(coalesce(sum(stored_length) OVER (ORDER BY segment_id, entry_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM entries WHERE kind = 'data' AND NOT journal AND stored_length > 0) SELECT * FROM b WHERE before < 3000000",
     ),
-    "a10_codec_study": (lambda s, d: studied(s, d).agg(F.sum("bytes").alias("plain"), F.sum("fast").alias("fast"), F.sum("mid").alias("mid"), F.sum("high").alias("high"), F.sum((F.col("fast") <= F.col("mid")).cast("long")).alias("fast_wins")), None),
     "a11_chunk_cost": (
         lambda s, d: rp.chunk_table(fx.files(s, d), 1000).groupBy("file_id").agg(F.count("*").alias("chunks"), (F.lit(4) + 36 * F.count("*") + F.sum("length")).alias("stored"), F.sum(F.col("length") * F.col("length")).alias("decode_cost")),
         prelude("files")
@@ -155,12 +227,6 @@ k AS (SELECT path, old, new, unnest(range(0, greatest(CAST(ceil(length(new) / 20
 h AS (SELECT path, count(*) AS blocks, count(*) FILTER (nth >= greatest(CAST(ceil(length(old) / 200.0) AS BIGINT), 1) OR substr(old, nth * 200 + 1, 200) <> substr(new, nth * 200 + 1, 200)) AS changed FROM k GROUP BY path)
 SELECT least(changed * 5 // blocks, 4) AS bucket, count(*) AS files, CAST(sum(changed) AS BIGINT) AS changed_blocks, CAST(sum(blocks) AS BIGINT) AS blocks FROM h GROUP BY 1""",
     ),
-    "a19_cold_boot": (
-        lambda s, d: fx.image(s, d, "a").where("file_id % 3 = 0").select("hash").join(fx.image(s, d, "b").groupBy("hash").agg(F.max("bytes").alias("bytes")).withColumn("mapped", F.lit(True)), "hash", "left").groupBy(F.coalesce("mapped", F.lit(False)).alias("mapped")).agg(F.count("*").alias("reads"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")),
-        prelude("image_a", "image_b")
-        + ", y AS (SELECT hash, max(bytes) AS bytes FROM image_b GROUP BY hash) SELECT y.hash IS NOT NULL AS mapped, count(*) AS reads, CAST(coalesce(sum(y.bytes), 0) AS BIGINT) AS bytes FROM (SELECT hash FROM image_a WHERE file_id % 3 = 0) x LEFT JOIN y USING (hash) GROUP BY 1",
-    ),
-    "a20_delta_simulation": (lambda s, d: resemblance(s, d).agg(F.count("*").alias("targets"), F.sum("stored").alias("stored"), F.sum(F.when(F.col("kept"), F.col("delta")).otherwise(F.col("stored"))).alias("with_deltas"), F.sum(F.col("kept").cast("long")).alias("kept")), None),
     "a21_top_directories": (
         lambda s, d: re.top_directories(fx.files(s, d)),
         prelude("files")
@@ -195,41 +261,9 @@ SELECT least(changed * 5 // blocks, 4) AS bucket, count(*) AS files, CAST(sum(ch
         lambda s, d: re.commitment(fx.segments(s, d), "volume_id", "segment_id"),
         prelude("segments") + "SELECT volume_id, sha256(string_agg(CAST(segment_id AS VARCHAR), ',' ORDER BY segment_id)) AS commitment, count(DISTINCT segment_id) AS members FROM segments GROUP BY volume_id",
     ),
-    "sk01_sketches": (lambda s, d: fx.files(s, d).where("bytes >= 1024").select("file_id", F.concat_ws(",", sk.sketch_column(F.col("body").cast("binary"), least_bytes=1024).cast("array<string>")).alias("sketch")), None),
-    "sk02_postings": (lambda s, d: si.postings(marks(s, d)), prelude("files") + ", " + MARKS + POSTINGS + " SELECT feature, source_id, hash, place FROM posts"),
-    "sk03_candidates": (
-        lambda s, d: si.candidates(marks(s, d), si.postings(marks(s, d))),
-        prelude("files")
-        + ", "
-        + MARKS
-        + POSTINGS
-        + """, m AS (SELECT t.source_id AS target_id, p.source_id, p.hash, count(*) AS shared FROM feats t JOIN posts p ON p.feature = t.feature AND p.source_id <> t.source_id GROUP BY ALL),
-b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY target_id, hash ORDER BY shared DESC, source_id) = 1)
-SELECT target_id, source_id, hash, shared, CAST(row_number() OVER (PARTITION BY target_id ORDER BY shared DESC, source_id) AS INTEGER) AS rank FROM b QUALIFY rank <= 4""",
-    ),
-    "sk04_index_stats": (
-        lambda s, d: si.index_stats(marks(s, d)),
-        prelude("files")
-        + ", "
-        + MARKS
-        + POSTINGS
-        + ", l AS (SELECT feature, count(*) AS n FROM posts GROUP BY feature) SELECT (SELECT count(*) FROM marks) AS sources, count(*) AS features, CAST(sum(n) AS BIGINT) AS postings, max(n) AS longest, count(*) FILTER (n = 32) AS at_cap FROM l",
-    ),
-    "sk06_positional_overlap": (
-        lambda s, d: si.positional_overlap(marks(s, d)),
-        prelude("files")
-        + ", "
-        + MARKS
-        + ", u AS (SELECT file_id, unnest(sketch) AS f, unnest(range(8)) AS pos FROM marks) SELECT x.file_id AS a, y.file_id AS b, count(*) AS shared FROM u x JOIN u y ON x.pos = y.pos AND x.f = y.f AND x.file_id < y.file_id GROUP BY ALL",
-    ),
-    "sk07_super_features": (lambda s, d: fx.files(s, d).where("bytes >= 1024").select("file_id", F.concat_ws(",", sk.sketch_column(F.col("body").cast("binary"), n=16, group=2, width=6, least_bytes=1024).cast("array<string>")).alias("sketch")), None),
+    "sk01_sketches": (lambda s, d: fx.files(s, d).select("file_id", F.concat_ws(",", sk.sketch_column(F.col("body").cast("binary"), least_bytes=LEAST).cast("array<string>")).alias("sketch")), None),
+    "sk07_super_features": (lambda s, d: fx.files(s, d).select("file_id", F.concat_ws(",", sk.sketch_column(F.col("body").cast("binary"), n=16, group=2, width=6, least_bytes=LEAST).cast("array<string>")).alias("sketch")), None),
     "sk08_keep_rule": (lambda s, d: changed_pairs(s, d).withColumn("kept", sk.worth_storing(F.col("delta"), F.col("stored"), F.col("plain"))), None),
-    "sk09_same_place": (
-        lambda s, d: si.same_place_sources(fx.wal(s, d).where("wal_id >= 100").select(F.col("seq").alias("entry_id"), "start_lba", "lba_length", "kind", "hash"), iv.blocks(iv.overlay(fx.wal(s, d).where("wal_id < 100"))).select("lba", "hash"), fx.wal(s, d).where("seq % 3 = 0")),
-        prelude("wal")
-        + """, b AS (SELECT *, unnest(range(start_lba, start_lba + lba_length)) AS lba FROM wal WHERE wal_id < 100), p AS (SELECT lba, hash FROM b QUALIFY row_number() OVER (PARTITION BY lba ORDER BY wal_id DESC, seq DESC) = 1)
-SELECT w.seq AS entry_id, w.hash, p.hash AS source_hash FROM wal w JOIN p ON p.lba = w.start_lba WHERE w.wal_id >= 100 AND w.kind = 'data' AND w.lba_length = 1 AND p.hash <> w.hash AND p.hash IN (SELECT hash FROM wal WHERE seq % 3 = 0)""",
-    ),
     "sk11_resemblance": (resemblance, None),
     "sk12_layout_matches": (
         lambda s, d: si.layout_matches(fragments(s, d, "a"), fragments(s, d, "b")),
@@ -292,4 +326,28 @@ r AS (SELECT *, coalesce(sum(bytes) OVER (ORDER BY nth, body_id ROWS BETWEEN UNB
         lambda s, d: fx.lineage(s, d).select("volume_id", sc.ownership(F.col("parent_id") % 5, F.lit(2)).alias("ownership"), sc.rehomed(F.col("role"), F.col("volume_id").cast("string")).alias("name")),
         prelude("lineage") + "SELECT volume_id, CASE WHEN parent_id IS NULL THEN 'unclaimed' WHEN parent_id % 5 = 2 THEN 'ours' ELSE 'foreign' END AS ownership, role || '-rehomed-' || volume_id AS name FROM lineage",
     ),
+    "a10_codec_study": (codec_study, None),
+    "a19_cold_boot": (
+        lambda s, d: cold_boot(s, d).groupBy("class").agg(F.count("*").alias("reads"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")),
+        prelude("image_a", "image_b")
+        + """, t AS (SELECT path FROM image_a UNION SELECT path FROM image_b), m AS (SELECT CASE WHEN b.hash IS NULL THEN 'unmapped' WHEN b.hash IN (SELECT hash FROM image_a) THEN 'exact' WHEN a.hash IS NOT NULL THEN 'changed' ELSE 'new' END AS class, b.bytes FROM t LEFT JOIN image_b b ON b.path = t.path LEFT JOIN image_a a ON a.path = t.path)
+SELECT class, count(*) AS reads, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes FROM m GROUP BY class""",
+    ),
+    "a19_boot_strategies": (boot_strategies, None),
+    "a20_delta_simulation": (delta_simulation, None),
+    "d02_index_and_sketches": (index_and_sketches, None),
+    "sk02_postings": (lambda s, d: si.postings(marks(s, d)), None),
+    "sk03_candidates": (lambda s, d: si.candidates(marks(s, d), si.postings(marks(s, d))), None),
+    "sk04_index_stats": (lambda s, d: si.index_stats(marks(s, d)), None),
+    "sk06_positional_overlap": (lambda s, d: si.positional_overlap(marks(s, d)), None),
+    "sk09_same_place": (
+        same_place,
+        prelude("wal")
+        + f""", b AS (SELECT *, unnest(range(start_lba, start_lba + lba_length)) AS lba FROM wal WHERE wal_id <= {fx.log_share_sql(5)}), p AS (SELECT lba, hash FROM b QUALIFY row_number() OVER (PARTITION BY lba ORDER BY wal_id DESC, seq DESC) = 1)
+SELECT w.seq AS entry_id, w.hash, p.hash AS source_hash FROM wal w JOIN p ON p.lba = w.start_lba WHERE w.wal_id > {fx.log_share_sql(5)} AND w.kind = 'data' AND w.lba_length = 1 AND p.hash <> w.hash AND p.hash IN (SELECT hash FROM wal WHERE kind = 'data')""",
+    ),
+    "a26_wait_windows": (
+        lambda s, d: re.wait_windows(fx.read(s, d, "events").select(F.col("event_type").alias("site"), F.floor(F.abs("value") * 100).cast("long").alias("millis"), F.col("event_id").alias("at")), 500),
+        "WITH waits AS (SELECT event_type AS site, CAST(floor(abs(value) * 100) AS BIGINT) AS millis, event_id AS pos FROM events), r AS (SELECT pos // 500 AS \"window\", site, count(*) AS n, CAST(sum(millis) AS BIGINT) AS millis, max(millis) AS peak FROM waits GROUP BY ALL) SELECT *, n - coalesce(lag(n) OVER o, 0) AS n_since, millis - coalesce(lag(millis) OVER o, 0) AS millis_since, row_number() OVER (PARTITION BY \"window\" ORDER BY millis DESC, site DESC) = 1 AS top FROM r WINDOW o AS (PARTITION BY site ORDER BY \"window\")",
+    ),
 }

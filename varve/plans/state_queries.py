@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re as regexp
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -10,27 +12,21 @@ from varve.operators import compaction as gc
 from varve.operators import content_index as ci
 from varve.operators import intervals as iv
 from varve.operators import read_path as rp
+from varve.operators import reports as re
+from varve.operators import similarity as si
+from varve.operators import snapshots as sn
 from varve.plans import compaction_queries as cq
 from varve.plans import fixtures as fx
 from varve.plans import index_queries as ix
 from varve.plans import interval_queries as iq
 from varve.plans import io_queries as io
 from varve.plans import report_queries as rq
+from varve.plans import storage_queries as sq
 from varve.plans.fixtures import prelude
 from varve.sources import text_formats as tf
+from varve.sources.shared import cut
 from varve.sources import wal_format as wf
 
-HEAD_BYTES = len(wf.MAGIC)
-RECORD_BYTES = wf.HEAD.size + 4
-
-
-def damaged(s, d):
-    """Logs of which every fourth has one wrong byte."""
-    logs = wf.encoded_logs(fx.wal(s, d))
-    wrong = F.expr("concat(substring(content, 1, 400), cast('?' as binary), substring(content, 402))")
-    return logs.select("wal_id", F.when(F.col("wal_id") % 4 == 1, wrong).otherwise(F.col("content")).alias("content"))
-
-
 def volume_ranges(s, d):
     """Each volume's journal ranges as text; ``none`` has no opinion, ``empty`` says that there are none."""
     t = fx.read(s, d, "supplier").select(F.col("s_nationkey").cast("long").alias("volume_id"), ((F.col("s_suppkey") * 3) % 40).alias("start_lba"), F.when(F.col("s_nationkey") % 5 == 1, 0).otherwise(F.col("s_suppkey") % 4).cast("long").alias("lba_length"))
@@ -78,52 +74,124 @@ def chain_economics(s, d):
 
 
 def dictionary_study(s, d):
-    """A dictionary of the early half of the files' bodies against the late half, compressed with and without it."""
-    f = fx.files(s, d).where("bytes between 200 and 4000")
-    middle = f.agg(F.percentile_approx("file_id", 0.5)).first()[0] or 0
-    samples = [r["body"].encode() for r in f.where(F.col("file_id") <= middle).orderBy("file_id").select("body").limit(400).collect()]  # 1.6 MB at most
-    trained = b""
-    if len(samples) >= 20:
-        import zstandard
+    """Dictionaries of several sizes, trained on the early half of the segments of files, against the late half.
+
+    Training samples are windows round-robin over all bodies of the half, a
+    hundred times a dictionary's size in all; the oracle is trained on the half
+    that it is tested on. By size bucket of the late bodies, and by dictionary:
+    bytes alone, with the dictionary, and with the oracle's.
+    """
+    f = fx.files(s, d).withColumn("segment", F.floor(F.col("file_id") / 100))
+    middle = f.agg(F.percentile_approx("segment", 0.5)).first()[0] or 0
+    early, late = f.where(F.col("segment") <= middle), f.where(F.col("segment") > middle)
+    raw = late.select("bytes", re.power_bucket(F.col("bytes")).alias("bucket"), F.col("body").cast("binary").alias("raw"))
+    sizes = raw
+    for size in DICTIONARIES:
+        sizes = sizes.withColumn(f"held_out_{size}", sk.dictionary_length(F.col("raw"), trained(early, size))).withColumn(f"oracle_{size}", sk.dictionary_length(F.col("raw"), trained(late, size)))
+    sums = [F.sum(c).alias(c) for size in DICTIONARIES for c in (f"held_out_{size}", f"oracle_{size}")]
+    return sizes.withColumn("alone", sk.compressed_length(F.col("raw"))).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("plain"), F.sum("alone").alias("alone"), *sums)
 
-        trained = zstandard.train_dictionary(8192, samples).as_bytes()
-    late = f.where(F.col("file_id") > middle).select(F.col("body").cast("binary").alias("raw"), "bytes")
-    return late.select("bytes", sk.compressed_length(F.col("raw")).alias("alone"), sk.delta_length(F.lit(trained), F.col("raw")).alias("with_dictionary")).agg(F.count("*").alias("n"), F.sum("bytes").alias("plain"), F.sum("alone").alias("alone"), F.sum("with_dictionary").alias("with_dictionary"))
 
+#: Bytes of the dictionaries that are tried, and of a training window.
+DICTIONARIES, WINDOW = (4096, 16384), 1024
 
-def materialised(s, d):
-    """Runs of a plan cut from their bodies and hashed again; a body here is its hash as text, sixteen characters a block."""
-    p = cq.plan(s, d).where("op = 'run'").join(fx.entries(s, d).select("segment_id", "entry_idx", "hash"), ["segment_id", "entry_idx"])
-    piece = F.substring("hash", (F.col("payload_block_offset") * 16 + 1).cast("int"), (F.col("lba_length") * 16).cast("int"))
-    return p.select("segment_id", "entry_idx", "start_lba", F.length(piece).cast("long").alias("bytes"), F.sha2(piece, 256).alias("new_hash"))
 
+def trained(files, size):
+    """A dictionary of ``size`` bytes at most, from windows of a hundred times its size in all; empty where they are too few."""
+    import zstandard
 
-def applied(s, d):
-    """Ownership after the plan: hashes that outputs carry, and those that their inputs owned and nothing carries."""
-    c = cq.classes(s, d).persist()
-    chosen = gc.candidates(gc.segment_stats(c)).select("segment_id")
-    mine = c.join(chosen, "segment_id", "left_semi")
-    owned = mine.join(ix.owners(s, d).select("hash", "segment_id"), ["hash", "segment_id"], "left_semi").select("volume_id", "hash").distinct()
-    carried = mine.where(F.col("class").isin("fully_live", "demote_to_canonical", "defer_unresolvable_delta") | F.col("emit_canonical")).where("kind <> 'dedup_ref'").select("hash").distinct().withColumn("carried", F.lit(True))
-    met = owned.join(carried, "hash", "left")
-    return met.groupBy("volume_id").agg(F.count("carried").alias("rekeyed"), F.sum(F.col("carried").isNull().cast("long")).alias("removed"))
+    chosen = si.training_windows(files.select(F.col("file_id").alias("body_id"), "bytes"), WINDOW, 100 * size)
+    cut = F.substring(F.col("body").cast("binary"), (F.col("nth") * WINDOW + 1).cast("int"), WINDOW)
+    rows = chosen.join(files.select(F.col("file_id").alias("body_id"), "body"), "body_id").select("nth", "body_id", cut.alias("part"))
+    samples = [bytes(r["part"]) for r in rows.orderBy("nth", "body_id").collect()]  # 100 dictionary sizes and a window at most
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 20 else b""
+    except zstandard.ZstdError:
+        return b""
 
 
 def repacked(s, d):
-    """Pending segments packed by live bytes: first fit decreasing without a limit of outputs."""
-    st = cq.stats(s, d).join(fx.segments(s, d).where("tier = 'pending'").select("segment_id"), "segment_id", "left_semi")
-    live = st.where("live_entries > 0").withColumn("materialised_bytes", F.col("retained_bytes")).withColumn("pool", F.lit("stable")).withColumn("density", F.lit(0.0)).withColumn("reclaimable_bytes", F.lit(1)).withColumn("has_body", F.lit(True))
-    return gc.packed(live, cap_bytes=100_000, cap_entries=1_000_000, max_buckets=1_000_000).groupBy("volume_id", "bucket").agg(F.count("*").alias("segments"))
+    """What a repack of the pending segments does with each: packed by live bytes, left alone, or merged with the journal."""
+    mine = cq.classes(s, d).join(fx.segments(s, d).where("tier = 'pending'").select("segment_id"), "segment_id", "left_semi")
+    referenced = gc.live_hashes(cq.volmap(s, d), fx.entries(s, d))
+    return gc.repacked(gc.repack_scan(mine, referenced), cap_bytes=100_000, cap_entries=2_000)
+
+
+def object_keys(s, d):
+    """Keys of a store: a head for each volume, its snapshots' manifests, its segments."""
+    g = fx.segments(s, d)
+    heads = g.select(F.format_string("by_id/%d/HEAD", "volume_id").alias("key")).distinct()
+    snapshots = sn.cuts(g, 6).select(F.format_string("by_id/%d/snapshots/%d.manifest", "volume_id", "cut").alias("key"))
+    return heads.unionByName(snapshots).unionByName(g.select(F.format_string("by_id/%d/segments/%d", "volume_id", "segment_id").alias("key")))
+
+
+def object_views(s, d):
+    """Typed rows of the keys: ``view, volume_id, object_id``; a head has no id."""
+    p = F.split("key", "/")
+    rows = object_keys(s, d).select(p[1].cast("long").alias("volume_id"), p[2].alias("part"), F.regexp_replace(F.get(p, F.lit(3)), "[.]manifest$", "").cast("long").alias("object_id"))
+    return rows.select(F.when(F.col("part") == "HEAD", "head").otherwise(F.col("part")).alias("view"), "volume_id", F.coalesce("object_id", F.lit(-1)).alias("object_id"))
+
+
+def pass_state(s, d):
+    """What a pass begins with, by volume: its runs and blocks, the claimed hashes that are live, the bodies it owns, and its floor."""
+    e, g, m = fx.entries(s, d), fx.segments(s, d), cut(cq.volmap(s, d))
+    runs = m.groupBy("volume_id").agg(F.count("*").alias("runs"), F.sum("lba_length").alias("blocks"), F.countDistinct("hash").alias("live"))
+    owned = ci.data_owners(e, g).join(g.select("segment_id", "volume_id"), "segment_id").join(gc.live_hashes(m, e), "hash", "left_semi").groupBy("volume_id").agg(F.count("*").alias("owned_live"))
+    return runs.join(owned, "volume_id", "left").join(sn.cuts(g, 6).withColumnRenamed("cut", "floor"), "volume_id", "left").fillna(0, ["owned_live"])
+
+
+def directory():
+    """The path up to and with its last slash: an order by path goes through one directory after the other."""
+    return F.regexp_extract("path", "^(.*/)", 1)
+
+
+def residual_blocks(s, d):
+    """An image of all files, each on a boundary of eight blocks of 512 bytes: extents of files, and the blocks between them."""
+    blocks = F.ceil(F.col("bytes") / 512)
+    rows = fx.files(s, d).select("path", blocks.alias("blocks"), (F.ceil(blocks / 8) * 8).alias("room"))
+    rows = rp.placed(rows, directory(), ["path"], "room").select(F.col("body_offset").alias("start_lba"), "blocks", "room")
+    part = lambda a, b, kind: rows.select(a.alias("start_lba"), b.alias("end_lba"), F.lit(kind).alias("kind")).where("end_lba > start_lba")
+    start, stop = F.col("start_lba"), F.col("start_lba") + F.col("blocks")
+    return part(start, stop, "file").unionByName(part(stop, start + F.col("room"), "residual"))
+
+
+def source_reads(s, d):
+    """Sources that the resemblance search of each language tries, in order of target and rank."""
+    m = rq.marks(s, d)
+    found = si.candidates(m, si.postings(m))
+    f = fx.read(s, d, "documents").select(F.col("doc_id").alias("target_id"), F.col("lang").alias("job"))
+    size = fx.files(s, d).select(F.col("file_id").alias("source_id"), "bytes")
+    return found.join(f, "target_id").join(size, "source_id").select("job", F.struct("target_id", "rank").alias("nth"), "hash", "bytes")
 
 
 def reap_again(s, d):
-    """Segments that an older view would reap, checked against the current one."""
-    e, g = fx.entries(s, d), fx.segments(s, d)
-    old_e, old_g = e.where("segment_id <= 12000"), g.where("segment_id <= 12000")
+    """Segments that an older view would reap, checked against the current one: what is still unreachable goes, the rest is refused."""
+    e, g, cut = fx.entries(s, d), fx.segments(s, d), fx.segment_share(s, d, VIEW)
+    old_e, old_g = e.where(F.col("segment_id") <= cut), g.where(F.col("segment_id") <= cut)
     old = gc.unreachable(old_e, old_g, iv.rebuild(old_e, old_g), cq.FLOOR).select("segment_id")
-    now = gc.unreachable(e, g, cq.volmap(s, d), cq.FLOOR).select("segment_id", F.lit(True).alias("still"))
-    met = old.join(now, "segment_id", "left")
-    return met.agg(F.count("*").alias("planned"), F.count("still").alias("applied"), F.sum(F.col("still").isNull().cast("long")).alias("refused"))
+    now = gc.unreachable(e, g, cq.volmap(s, d), cq.FLOOR).select("segment_id", F.lit("reaped").alias("outcome"))
+    return old.join(now, "segment_id", "left").fillna("refused", ["outcome"])
+
+
+#: Share of the segments, in tenths, that the older view knows.
+VIEW = 8
+OLD_NAMES = ("entries", "segments", "claims", "base", "outs", "folded", "volisl", "volmap", "ranked", "owners", "delta_ranked", "delta_owners", "live", "owned", "reap")
+
+
+def older(sql: str) -> str:
+    """The table expressions of a chain under names of their own, over the older view's tables."""
+    return regexp.sub(r"\b(" + "|".join(OLD_NAMES) + r")\b(?!\.)", r"old_\1", sql)
+
+
+REAP_CHAIN = ", ".join(fx.SQL[n] for n in ("volmap", "owners", "live")) + cq.REAP
+REAP_AGAIN = (
+    prelude("entries", "segments")
+    + f", old_entries AS (SELECT * FROM entries WHERE segment_id <= {fx.segment_share_sql(VIEW)}), old_segments AS (SELECT * FROM segments WHERE segment_id <= {fx.segment_share_sql(VIEW)}), "
+    + older(REAP_CHAIN)
+    + ", "
+    + REAP_CHAIN
+    + " SELECT segment_id, CASE WHEN segment_id IN (SELECT segment_id FROM reap) THEN 'reaped' ELSE 'refused' END AS outcome FROM old_reap"
+)
 
 
 QUERIES = {
@@ -151,10 +219,6 @@ SELECT min(lba) AS start_lba, count(*) AS lba_length, min(lba) - any_value(start
         lambda s, d: ix.owners(s, d).join(ci.named_sources(fx.entries(s, d)).select("hash", "encodings"), "hash", "left").select("hash", F.coalesce("encodings", F.lit(0)).alias("encodings")),
         prelude("owners") + ", n AS (SELECT delta_source AS hash, count(*) AS encodings FROM entries WHERE delta_source IS NOT NULL GROUP BY 1) SELECT o.hash, coalesce(encodings, 0) AS encodings FROM owners o LEFT JOIN n ON n.hash = o.hash",
     ),
-    "r04_slices": (
-        lambda s, d: fx.files(s, d).where("bytes > 300").select("file_id", F.substring("body", 101, 100).alias("slice")),
-        prelude("files") + "SELECT file_id, substr(body, 101, 100) AS slice FROM files WHERE bytes > 300",
-    ),
     "r05_delta_round_trip": (
         round_trips,
         prelude("image_a", "image_b") + "SELECT b.path, TRUE AS same FROM image_b b JOIN image_a a ON a.path = b.path AND a.hash <> b.hash",
@@ -173,46 +237,11 @@ SELECT min(lba) AS start_lba, count(*) AS lba_length, min(lba) - any_value(start
         """WITH t AS (SELECT CAST(s_nationkey AS BIGINT) AS volume_id, (s_suppkey * 3) % 40 AS a, CASE WHEN s_nationkey % 5 = 1 THEN 0 ELSE s_suppkey % 4 END AS n FROM supplier), b AS (SELECT DISTINCT volume_id, unnest(range(a, a + n)) AS x FROM t WHERE n > 0),
 i AS (SELECT *, x - row_number() OVER (PARTITION BY volume_id ORDER BY x) AS g FROM b), r AS (SELECT volume_id, min(x) AS a, max(x) + 1 AS z FROM i GROUP BY volume_id, g), j AS (SELECT volume_id, string_agg(a || '-' || z, ',' ORDER BY a) AS ranges FROM r GROUP BY volume_id)
 SELECT v.volume_id, CASE WHEN v.volume_id % 5 = 0 THEN 'none' ELSE coalesce(ranges, 'empty') END AS ranges FROM (SELECT DISTINCT volume_id FROM t) v LEFT JOIN j ON j.volume_id = v.volume_id""",
-    ),
-    "s19_image_extents": (
-        lambda s, d: rp.offsets(fx.image(s, d, "a").withColumn("vol", F.lit(0)).where("file_id % 10 = 1"), "vol", ["path"], "bytes").select("path", F.col("body_offset").alias("start_byte"), "bytes"),
-        prelude("image_a") + "SELECT path, CAST(coalesce(sum(bytes) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte, bytes FROM image_a WHERE file_id % 10 = 1",
-    ),
-    "s24_damaged_scan": (
-        lambda s, d: wf.parsed_logs(damaged(s, d)).select("wal_id", "seq", "kind", "is_truncated"),
-        prelude("wal")
-        + f", p AS (SELECT *, {HEAD_BYTES} + sum({RECORD_BYTES} + data_length) OVER (PARTITION BY wal_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS stop FROM wal) SELECT wal_id, seq, kind, wal_id % 4 = 1 AS is_truncated FROM p WHERE NOT (wal_id % 4 = 1 AND stop > 400)",
-    ),
-    "s28_key_layout": (
-        lambda s, d: fx.segments(s, d).select(F.format_string("by_id/%d/%s/%d", "volume_id", "tier", "segment_id").alias("key")).select(F.split("key", "/").alias("p")).groupBy(F.col("p")[1].cast("long").alias("volume_id"), F.col("p")[2].alias("tier")).agg(F.count("*").alias("objects"), F.max(F.col("p")[3].cast("long")).alias("newest")),
-        prelude("segments") + "SELECT volume_id, tier, count(*) AS objects, max(segment_id) AS newest FROM segments GROUP BY ALL",
-    ),
-    "s30_residual_blocks": (
-        lambda s, d: iv.partition_span(s.createDataFrame([(0, 0, fx.LOG_SPACE)], "seq long, start_lba long, lba_length long"), iv.normalise_ranges(fx.wal(s, d).where("kind = 'data' and wal_id < 20"))).select("start_lba", "end_lba", F.when(F.col("inside"), "file").otherwise("residual").alias("kind")),
-        prelude("wal")
-        + f""", c AS (SELECT DISTINCT unnest(range(start_lba, start_lba + lba_length)) AS x FROM wal WHERE kind = 'data' AND wal_id < 20), a AS (SELECT x, x IN (SELECT x FROM c) AS inside FROM (SELECT unnest(range(0, {fx.LOG_SPACE})) AS x)),
-i AS (SELECT *, x - row_number() OVER (PARTITION BY inside ORDER BY x) AS g FROM a) SELECT min(x) AS start_lba, max(x) + 1 AS end_lba, CASE WHEN inside THEN 'file' ELSE 'residual' END AS kind FROM i GROUP BY inside, g""",
     ),
     "k01_append": (appended, prelude("wal") + "SELECT seq, wal_id, start_lba, lba_length, kind, hash, data_length FROM wal"),
-    "k04_promote_split": (
-        lambda s, d: fx.entries(s, d).groupBy("segment_id").agg(F.count("*").alias("index_rows"), F.sum((F.col("stored_length") > 0).cast("long")).alias("body_rows"), F.sum(F.col("present").cast("long")).alias("present_rows")),
-        prelude("entries") + "SELECT segment_id, count(*) AS index_rows, count(*) FILTER (stored_length > 0) AS body_rows, count(*) FILTER (present) AS present_rows FROM entries GROUP BY segment_id",
-    ),
     "k05_filemap_file": (stored_filemap, prelude("files") + "SELECT path, CAST(0 AS BIGINT) AS file_offset, hash, bytes AS byte_count FROM files"),
-    "k09_conditional_puts": (
-        lambda s, d: fx.journal(s, d).groupBy("name").agg(F.min("event_id").alias("first_put"), F.sum((F.coalesce("prev_id", F.lit(-1)) == F.col("event_id") - 1).cast("long")).alias("matched"), F.count("*").alias("puts")),
-        prelude("journal") + "SELECT name, min(event_id) AS first_put, count(*) FILTER (coalesce(prev_id, -1) = event_id - 1) AS matched, count(*) AS puts FROM journal GROUP BY name",
-    ),
-    "k10_snapshot_manifest": (
-        lambda s, d: fx.segments(s, d).where("segment_id <= 10000 and tier <> 'pending'").groupBy("volume_id").agg(F.concat_ws("\n", F.array_sort(F.collect_list("segment_id")).cast("array<string>")).alias("body")).select("volume_id", F.sha2("body", 256).alias("manifest"), F.length("body").cast("long").alias("bytes")),
-        prelude("segments") + ", m AS (SELECT volume_id, string_agg(CAST(segment_id AS VARCHAR), chr(10) ORDER BY segment_id) AS body FROM segments WHERE segment_id <= 10000 AND tier <> 'pending' GROUP BY volume_id) SELECT volume_id, sha256(body) AS manifest, CAST(length(body) AS BIGINT) AS bytes FROM m",
-    ),
     "a12_dictionary_study": (dictionary_study, None),
     "a14_chain_economics": (chain_economics, None),
-    "sk05_index_report": (
-        lambda s, d: rq.si.index_stats(rq.marks(s, d)).select("sources", (F.col("postings") / F.col("features")).alias("mean_list"), (F.col("at_cap") / F.col("features")).alias("capped_share")),
-        prelude("files") + ", " + rq.MARKS + rq.POSTINGS + ", l AS (SELECT feature, count(*) AS n FROM posts GROUP BY feature) SELECT (SELECT count(*) FROM marks) AS sources, CAST(sum(n) AS DOUBLE) / count(*) AS mean_list, count(*) FILTER (n = 32) / CAST(count(*) AS DOUBLE) AS capped_share FROM l",
-    ),
     "sk10_reserved_sources": (
         lambda s, d: rq.QUERIES["sk09_same_place"][0](s, d).select("source_hash").distinct(),
         "SELECT DISTINCT source_hash FROM (" + rq.QUERIES["sk09_same_place"][1] + ")",
@@ -221,21 +250,41 @@ i AS (SELECT *, x - row_number() OVER (PARTITION BY inside ORDER BY x) AS g FROM
         lambda s, d: fx.entries(s, d).join(ix.owners(s, d).select("hash", "segment_id", F.lit(True).alias("home")), ["hash", "segment_id"], "left").groupBy("kind").agg(F.count("*").alias("entries"), F.count("home").alias("at_home")),
         prelude("owners") + "SELECT e.kind, count(*) AS entries, count(o.hash) AS at_home FROM entries e LEFT JOIN owners o ON o.hash = e.hash AND o.segment_id = e.segment_id GROUP BY e.kind",
     ),
+    "g14_repack": (repacked, None),
+    "g17_reap_apply": (reap_again, REAP_AGAIN),
+    "s19_image_extents": (
+        lambda s, d: rp.placed(fx.image(s, d, "a"), directory(), ["path"], "bytes").select("path", F.col("body_offset").alias("start_byte"), "bytes"),
+        prelude("image_a") + "SELECT path, CAST(coalesce(sum(bytes) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte, bytes FROM image_a",
+    ),
+    "s30_residual_blocks": (
+        residual_blocks,
+        prelude("files")
+        + """, b AS (SELECT path, CAST(ceil(bytes / 512.0) AS BIGINT) AS blocks FROM files), x AS (SELECT *, (blocks + 7) // 8 * 8 AS room FROM b), y AS (SELECT *, CAST(sum(room) OVER (ORDER BY path ROWS UNBOUNDED PRECEDING) - room AS BIGINT) AS start_lba FROM x)
+SELECT start_lba, start_lba + blocks AS end_lba, 'file' AS kind FROM y WHERE blocks > 0 UNION ALL SELECT start_lba + blocks, start_lba + room, 'residual' FROM y WHERE room > blocks""",
+    ),
+    "r04_slices": (
+        lambda s, d: fx.files(s, d).select("file_id", F.substring("body", ((F.col("file_id") % 7) * 64 + 1).cast("int"), F.lit(128)).alias("slice")),
+        prelude("files") + "SELECT file_id, substr(body, file_id % 7 * 64 + 1, 128) AS slice FROM files",
+    ),
+    "sk05_index_report": (
+        lambda s, d: rq.si.index_stats(rq.marks(s, d)).select("sources", (F.col("postings") / F.col("features")).alias("mean_list"), (F.col("at_cap") / F.col("features")).alias("capped_share")),
+        None,
+    ),
     "g04_pass_state": (
-        lambda s, d: cq.volmap(s, d).agg(F.count("*").alias("runs"), F.sum("lba_length").alias("blocks")).crossJoin(ix.owners(s, d).agg(F.count("*").alias("owners"))).crossJoin(gc.live_hashes(cq.volmap(s, d), fx.entries(s, d)).agg(F.count("*").alias("live"))),
-        prelude("live", "owners") + "SELECT (SELECT count(*) FROM volmap) AS runs, (SELECT CAST(sum(lba_length) AS BIGINT) FROM volmap) AS blocks, (SELECT count(*) FROM owners) AS owners, (SELECT count(*) FROM live) AS live",
+        pass_state,
+        prelude("live", "owners")
+        + sq.MANIFEST
+        + """, a AS (SELECT volume_id, count(*) AS runs, CAST(sum(lba_length) AS BIGINT) AS blocks, count(DISTINCT hash) AS live FROM volmap GROUP BY 1), b AS (SELECT s.volume_id, count(*) AS owned_live FROM owners o JOIN segments s USING (segment_id) WHERE o.hash IN (SELECT hash FROM live) GROUP BY 1)
+SELECT a.volume_id, runs, blocks, live, coalesce(owned_live, 0) AS owned_live, cut AS floor FROM a LEFT JOIN b USING (volume_id) LEFT JOIN cuts USING (volume_id)""",
     ),
-    "g12_materialise": (
-        materialised,
-        "WITH plan AS (" + cq.QUERIES["g10_plan"][1] + "), " + fx.SQL["entries"] + " SELECT p.segment_id, p.entry_idx, p.start_lba, CAST(length(substr(e.hash, p.payload_block_offset * 16 + 1, p.lba_length * 16)) AS BIGINT) AS bytes, sha256(substr(e.hash, p.payload_block_offset * 16 + 1, p.lba_length * 16)) AS new_hash FROM plan p JOIN entries e USING (segment_id, entry_idx) WHERE p.op = 'run'",
+    "s28_object_views": (
+        object_views,
+        prelude("segments") + sq.MANIFEST + " SELECT DISTINCT 'head' AS view, volume_id, CAST(-1 AS BIGINT) AS object_id FROM segments UNION ALL SELECT 'snapshots', volume_id, cut FROM cuts UNION ALL SELECT 'segments', volume_id, segment_id FROM segments",
     ),
-    "g13_apply": (
-        applied,
-        prelude("stats")
-        + f""", mine AS (SELECT * FROM classes WHERE segment_id IN (SELECT segment_id FROM stats WHERE {cq.PAYS})), own AS (SELECT DISTINCT m.volume_id, m.hash FROM mine m JOIN owners o ON o.hash = m.hash AND o.segment_id = m.segment_id),
-car AS (SELECT DISTINCT hash FROM mine WHERE (class IN ('fully_live', 'demote_to_canonical', 'defer_unresolvable_delta') OR emit_canonical) AND kind <> 'dedup_ref')
-SELECT volume_id, count(c.hash) AS rekeyed, count(*) - count(c.hash) AS removed FROM own LEFT JOIN car c ON c.hash = own.hash GROUP BY volume_id""",
+    "g23_evict": (
+        lambda s, d: ci.evicted(fx.entries(s, d), fx.segments(s, d).where("tier <> 'pending' and volume_id % 4 = 1").select("segment_id")).groupBy("volume_id").agg(F.sum(F.col("dropped").cast("long")).alias("dropped"), F.sum(F.when(F.col("dropped"), F.col("stored_length")).otherwise(0)).alias("bytes"), F.sum(F.col("present").cast("long")).alias("present")),
+        prelude("entries", "segments")
+        + ", x AS (SELECT e.*, e.present AND e.kind IN ('data', 'canonical_data') AND s.tier <> 'pending' AND s.volume_id % 4 = 1 AS dropped FROM entries e JOIN segments s USING (segment_id)) SELECT volume_id, count(*) FILTER (dropped) AS dropped, CAST(sum(CASE WHEN dropped THEN stored_length ELSE 0 END) AS BIGINT) AS bytes, count(*) FILTER (present AND NOT dropped) AS present FROM x GROUP BY volume_id",
     ),
-    "g14_repack": (repacked, None),
-    "g17_reap_apply": (reap_again, None),
+    "sk13_source_cache": (lambda s, d: si.cached_reads(source_reads(s, d), 200_000).groupBy("job").agg(F.count("*").alias("reads"), F.sum(F.col("hit").cast("long")).alias("hits"), F.sum(F.when(F.col("hit"), 0).otherwise(F.col("bytes"))).alias("bytes_read")), None),
 }
