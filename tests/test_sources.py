@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from varve.functions import sketches as sk
 from varve.operators import compaction as gc
 from varve.operators import fetching as fe
+from varve.operators import read_path as rp
 from varve.operators import similarity as si
 from varve.sources import text_formats as tf
 from varve.sources import wal_format as wf
@@ -87,8 +89,6 @@ def test_sketches_of_like_bodies():
 
 
 def test_super_feature_parameters(spark):
-    from pyspark.sql import functions as F
-
     with pytest.raises(ValueError):
         sk.sketch_column(F.col("x"), n=6, group=4)
 
@@ -99,10 +99,76 @@ def test_similarity_cap_and_dedup(spark):
     index = si.postings(sketches)
     assert index.where("feature = 7").count() == 32 and index.where("feature = 39").count() == 1
     found = si.candidates(sketches.where("target_id = 39"), index).orderBy("rank").collect()
-    assert [(r.source_id, r.shared) for r in found] == [(0, 1), (2, 1), (4, 1), (6, 1)]
+    assert [(r.source_id, r.shared) for r in found] == [(0, 1), (2, 1), (4, 1), (6, 1)]  # 39 itself: feature 39 alone, after them
+    assert [r.source_id for r in si.candidates(sketches.where("target_id = 8"), index).orderBy("rank").collect()] == [8, 0, 2, 4]
     assert si.candidates(sketches, index, 0).count() == 0
 
 
+def bodies(n=40):
+    """Bodies of which many share long stretches."""
+    rnd = random.Random(6)
+    base = [" ".join(f"w{rnd.randrange(900)}" for _ in range(700)) for _ in range(5)]
+    out = []
+    for i in range(n):
+        words = rnd.choice(base).split()
+        for _ in range(rnd.choice([0, 1, 10, 60])):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(900)}"
+        out.append((i, " ".join(words) if i % 9 else "short"))
+    return out
+
+
+def test_similarity_index_against_brute_force(spark):
+    """Postings, candidates, counts and pairs over sketches of whole bodies, one by one in Python."""
+    sketch = {i: sk.sketch(t.encode(), least_bytes=1024) for i, t in bodies()}
+    hashes = {i: t[:3] + str(hash(t)) for i, t in bodies()}
+    table = spark.createDataFrame([(i, i, hashes[i], t) for i, t in bodies()], "source_id long, target_id long, hash string, body string")
+    sketches = table.select("source_id", "target_id", "hash", sk.sketch_column(F.col("body").cast("binary"), least_bytes=1024).alias("sketch"))
+    lists = {}
+    for i, s in sorted(sketch.items()):
+        for f in dict.fromkeys(s or ()):
+            if len(lists.setdefault(f, [])) < 3:
+                lists[f].append(i)
+    index = si.postings(sketches, 3)
+    assert sorted((r.feature, r.place, r.source_id) for r in index.collect()) == sorted((f, k + 1, i) for f, ids in lists.items() for k, i in enumerate(ids))
+    got = {}
+    for r in si.candidates(sketches, index).orderBy("target_id", "rank").collect():
+        got.setdefault(r.target_id, []).append((r.source_id, r.shared))
+    for i, s in sketch.items():
+        shared = {}
+        for f in set(s or ()):
+            for j in lists[f]:
+                shared[j] = shared.get(j, 0) + 1
+        best = {}
+        for j, n in sorted(shared.items(), key=lambda x: (-x[1], x[0])):
+            best.setdefault(hashes[j], (j, n))
+        assert got.get(i, []) == sorted(best.values(), key=lambda x: (-x[1], x[0]))[:4]
+    stats = si.index_stats(sketches, 3).first()
+    assert (stats.sources, stats.features, stats.postings, stats.longest, stats.at_cap) == (sum(s is not None for s in sketch.values()), len(lists), sum(map(len, lists.values())), max(map(len, lists.values())), sum(len(x) == 3 for x in lists.values()))
+    first = {}
+    for i, s in sorted(sketch.items()):
+        if s is not None:
+            first.setdefault(tuple(s), i)
+    cells = {}
+    for s, i in first.items():
+        for cell in enumerate(s):
+            cells.setdefault(cell, []).append(i)
+    for cap in (2, 100):
+        want = {}
+        by_id = {i: s for s, i in first.items()}
+        for ids in cells.values():
+            if 1 < len(ids) <= cap:
+                want |= {(min(a, b), max(a, b)): sum(x == y for x, y in zip(by_id[a], by_id[b], strict=True)) for a in ids for b in ids if a != b}
+        assert {(r.a, r.b): r.shared for r in si.positional_overlap(sketches, cap).collect()} == want
+
+
+def test_sources_are_skipped_within_the_candidates(spark):
+    found = spark.createDataFrame([(1, 10, "own", 8, 1), (1, 11, "dead", 7, 2), (1, 12, "good", 6, 3), (1, 13, "good2", 5, 4), (2, 10, "own", 3, 1), (3, 12, "good", 2, 1)], "target_id long, source_id long, hash string, shared long, rank int")
+    targets = spark.createDataFrame([(1, "own"), (2, "taken"), (3, "x")], "target_id long, own string")
+    one = lambda *hashes: spark.createDataFrame([(h,) for h in hashes], "hash string")
+    got = si.chosen_sources(found, targets, one("own", "good", "good2"), one("taken")).collect()
+    assert sorted(map(tuple, got)) == [(1, 12, 6), (3, 12, 2)]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_first_fit_decreasing(spark, seed):
     rnd = random.Random(seed)
@@ -126,10 +192,34 @@ def test_first_fit_decreasing(spark, seed):
 
 
 def test_warm_batches(spark):
-    rows = [(1, i, size, present) for i, (size, present) in enumerate([(5, False), (5, False), (9, True), (4, False), (20, False), (1, False), (0, False), (1, False)], 1)]
-    entries = spark.createDataFrame(rows, "segment_id long, entry_idx long, stored_length long, present boolean")
+    rows = [(1, i, kind, size, present) for i, (kind, size, present) in enumerate([("data", 5, False), ("data", 5, False), ("canonical_data", 9, True), ("data", 4, False), ("data", 20, False), ("dedup_ref", 0, False), ("data", 1, False), ("inline", 3, False), ("data", 1, False), ("data", 1, False)], 1)]
+    entries = rp.offsets(spark.createDataFrame(rows, "segment_id long, entry_idx long, kind string, stored_length long, present boolean"), "segment_id", ["entry_idx"], "stored_length")
     got = sorted((r.batch, r.first_entry, r.entries, r.bytes) for r in fe.warm_batches(entries, 10).collect())
-    assert got == [(0, 1, 2, 10), (1, 4, 1, 4), (2, 5, 1, 20), (3, 6, 2, 2)]
+    # the present entry ends a batch, the cap does, and the inline entry leaves a gap; the reference leaves none
+    assert got == [(0, 1, 2, 10), (1, 4, 1, 4), (2, 5, 1, 20), (3, 7, 1, 1), (4, 9, 2, 2)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reads_ahead_against_a_plain_loop(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(s, i, rnd.choice(["data", "data", "data", "canonical_data", "inline", "zero"]), rnd.choice([0, 3, 5, 9]), rnd.random() < 0.2) for s in range(6) for i in range(1, 25)]
+    rows = [(s, i, k, 0 if k == "zero" else n, p) for s, i, k, n, p in rows]
+    entries = rp.offsets(spark.createDataFrame(rows, "segment_id long, entry_idx long, kind string, stored_length long, present boolean"), "segment_id", ["entry_idx"], "stored_length")
+    at, offset = {}, {}
+    for s, i, _, n, _ in rows:
+        offset[s, i] = at.get(s, 0)
+        at[s] = offset[s, i] + n
+    by = {(s, i): (k, n, p) for s, i, k, n, p in rows}
+    targets = [(s, i) for s, i, k, _, _ in rows if k in ("data", "canonical_data") and i % 3 == 1]
+    got = {(r.segment_id, r.target): (r.entries, r.bytes) for r in fe.forward_reads(entries, spark.createDataFrame(targets, "segment_id long, entry_idx long"), 20).collect()}
+    for s, i in targets:
+        count, stop, j = 1, offset[s, i] + by[s, i][1], i + 1
+        while (s, j) in by:
+            k, n, p = by[s, j]
+            if k not in ("data", "canonical_data") or offset[s, j] != stop or p or stop + n - offset[s, i] > 20:
+                break
+            count, stop, j = count + 1, stop + n, j + 1
+        assert got[s, i] == (count, stop - offset[s, i])
 
 
 def test_an_epoch_run_again_replaces_itself(spark, tmp_path):
@@ -140,3 +230,96 @@ def test_an_epoch_run_again_replaces_itself(spark, tmp_path):
     from varve.operators import intervals as iv
 
     assert sorted(map(tuple, log.current_map(spark, str(tmp_path)).collect())) == sorted(map(tuple, iv.overlay(wal).collect()))
+
+
+def stream_of(spark, folder, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(folder)
+
+
+def test_a_stream_that_failed_goes_on_where_it_stopped(spark, tmp_path):
+    """The sink fails once inside an epoch; the restarted query gives the same map as one that never failed."""
+    import json
+    import time
+
+    from pyspark.sql.streaming import StreamingQueryException
+
+    from varve.operators import intervals as iv
+
+    rnd = random.Random(3)
+    schema = "seq long, wal_id long, start_lba long, lba_length long, hash string"
+    rows = [{"seq": k, "wal_id": k // 8, "start_lba": rnd.randrange(30), "lba_length": 1 + k % 4, "hash": f"h{k % 5}"} for k in range(64)]
+    (tmp_path / "in").mkdir()
+    for part in range(4):
+        (tmp_path / "in" / f"{part}.json").write_text("\n".join(json.dumps(r) for r in rows[16 * part : 16 * part + 16]))
+        time.sleep(0.01)
+    folder, real, seen = str(tmp_path / "out"), log.winners, []
+
+    def failing(batch):
+        seen.append(1)
+        if len(seen) == 3:
+            raise RuntimeError("lost")
+        return real(batch)
+
+    log.winners = failing
+    try:
+        with pytest.raises(StreamingQueryException):
+            log.overlay_stream(stream_of(spark, str(tmp_path / "in"), schema), folder).awaitTermination()
+    finally:
+        log.winners = real
+    log.overlay_stream(stream_of(spark, str(tmp_path / "in"), schema), folder).awaitTermination()
+    want = iv.overlay(spark.createDataFrame([tuple(r.values()) for r in rows], schema))
+    assert sorted(map(tuple, log.current_map(spark, folder).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_retention_in_state(spark, tmp_path):
+    """An input leaves once the watermark is past its retention; one that is named again waits from then on."""
+    import json
+    import time
+
+    schema = "input long, output long, since timestamp"
+    (tmp_path / "in").mkdir()
+    batches = [
+        [(1, 10, "2024-01-01"), (2, 11, "2024-01-01")],
+        [(2, 12, "2024-01-09"), (3, 13, "2024-01-09")],
+        [(4, 14, "2024-01-12")],
+        [(5, 15, "2024-03-01")],
+        [(6, 16, "2024-03-01")],
+    ]
+    for i, rows in enumerate(batches):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"input": a, "output": b, "since": c}) for a, b, c in rows))
+        time.sleep(0.01)
+    found = log.run_to_folder(log.retained(stream_of(spark, str(tmp_path / "in"), schema), 10), str(tmp_path / "out"), "append")
+    assert sorted((r.input, r.output, str(r.since)[:10]) for r in found.collect()) == [(1, 10, "2024-01-01"), (2, 12, "2024-01-09"), (3, 13, "2024-01-09"), (4, 14, "2024-01-12")]
+
+
+def test_a_tick_follows_each_epoch(spark, tmp_path):
+    import json
+    import time
+
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"seq": i, "wal_id": 0, "start_lba": i, "lba_length": 1, "hash": "h"}))
+        time.sleep(0.01)
+    ticks = []
+    query = log.ticking(stream_of(spark, str(tmp_path / "in"), "seq long, wal_id long, start_lba long, lba_length long, hash string"), str(tmp_path / "out"), lambda s, folder, epoch: ticks.append((epoch, log.current_map(s, folder).count())), "200 milliseconds")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert ticks == [(0, 1), (1, 2), (2, 3)]
+
+
+@pytest.mark.parametrize("caps", [(10, 100), (10**6, 7), (25, 3)])
+def test_epochs_against_a_plain_loop(spark, caps):
+    rnd = random.Random(1)
+    rows = [(w, 100 * w + k, rnd.randrange(12)) for w in range(4) for k in range(30)]
+    got = {(r.wal_id, r.epoch): (r.first_seq, r.last_seq, r.entries, r.bytes) for r in log.epochs(spark.createDataFrame(rows, "wal_id long, seq long, data_length long"), *caps).collect()}
+    want = {}
+    for w in range(4):
+        epoch, held = 0, []
+        for _, seq, n in (r for r in rows if r[0] == w):
+            if held and (sum(x for _, x in held) >= caps[0] or len(held) >= caps[1]):
+                epoch, held = epoch + 1, []
+            held.append((seq, n))
+            want[w, epoch] = (held[0][0], seq, len(held), sum(x for _, x in held))
+    assert got == want
