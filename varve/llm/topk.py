@@ -5,12 +5,14 @@ more component sqrt(M^2 - |x|^2) and a query q the component 0; then
 |q - x|^2 = |q|^2 + M^2 - 2 q.x, so the nearest vectors have the greatest inner
 products, and the metric's triangle inequality bounds scores.
 
-The upper nodes have routing objects (a bounded sample, ``NODES`` at most) with
-covering radii. Every vector lies in its nearest node, and a node is stored in
-pages of about ``PAGE`` entries, however many vectors it has. A query first
-searches its own page, which bounds its k-th distance, then every page whose
-node's lower bound (distance to the routing object less the covering radius) is
-within it. Queries travel in blocks, so a page meets a block at a time. Inside
+The upper nodes have routing objects (a bounded sample, ``NODES`` at most).
+Every vector lies in its nearest node, and a node is stored in pages of about
+``PAGE`` entries by their distance to the routing object, so a page has a
+covering radius, and an inner radius that all its entries are beyond: the more
+vectors a node has, the thinner its pages. A query first searches its own page,
+which bounds its k-th distance, then every page that the triangle inequality
+does not rule out by these two radii and the query's own distance to the
+routing object. Queries travel in blocks, so a page meets a block at a time. Inside
 a page is a small M-tree of its own: nodes by lower bound from a heap, and for
 their entries the stored distance to the parent rules most out before any
 distance is computed.
@@ -40,7 +42,10 @@ NODES, PER_NODE = 1024, 2048
 #: Entries of a page, routing objects inside it, and queries of a block and of one visit.
 PAGE, INNER, BLOCK, VISIT = 4096, 32, 128, 8192
 
-ASSIGNED = "vec_id long, node int, vec binary"
+#: Steps in which distances to routing objects are counted, to cut nodes into pages.
+STEPS = 256
+
+PAGED = "vec_id long, vec binary, page long"
 HITS = "query_id long, vec_id long, score long"
 
 
@@ -93,6 +98,36 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, square))
 
 
+class Pages:
+    """Nodes cut into pages along the distance to the routing object.
+
+    Neighbouring steps of a node share a page up to ``PAGE`` entries; a step
+    with more is dealt to several pages by a hash.
+    """
+
+    def __init__(self, cells: list) -> None:
+        self.rows: list[tuple[int, int, float, float]] = []  # page, node, inner radius, covering radius
+        self.cells, self.first, self.count = np.array([c["cell"] for c in cells], np.int64), [], []
+        held = 0
+        for c in cells:
+            node = c["cell"] // STEPS
+            several = -(-c["n"] // PAGE)
+            if several == 1 and self.rows and self.rows[-1][1] == node and held + c["n"] <= PAGE:
+                page, _, low, high = self.rows[-1]
+                self.rows[-1] = (page, node, min(low, c["low"]), max(high, c["high"]))
+                held += c["n"]
+            else:
+                self.rows += [(len(self.rows) + i, node, c["low"], c["high"]) for i in range(several)]
+                held = c["n"] if several == 1 else PAGE
+            self.first.append(self.rows[-1][0] - several + 1)
+            self.count.append(several)
+        self.first, self.count = np.array(self.first, np.int64), np.array(self.count, np.int64)
+
+    def of(self, cell: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.cells, cell)
+        return self.first[at] + spread % self.count[at] if len(at) else np.empty(0, np.int64)
+
+
 class Page:
     """An M-tree over one page: routing objects, covering radii, and entries by parent with their distance to it."""
 
@@ -170,31 +205,38 @@ def top_k(table: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int
     routes = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(NODES, n // PER_NODE))).select("vec").toArrow()  # NODES rows at most
     routes = space.raised(matrix(routes.column("vec"), space.width))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = matrix(batch.column(1), space.width)
-            node = distances(space.raised(found), routes).argmin(axis=1) if len(found) else np.empty(0, int)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int32()), pa.array([v.tobytes() for v in found], pa.binary())], ["vec_id", "node", "vec"])
+    widest = 2 * np.sqrt(space.top) + 1  # no distance is greater
 
-    entries = checkpoint(vectors.mapInArrow(assign, ASSIGNED))
+    def assigned(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vectors, the step of the distance to each one's node, and that distance."""
+        found = matrix(column, space.width)
+        far = distances(space.raised(found), routes) if len(found) else np.zeros((0, 1))
+        node = far.argmin(axis=1)
+        near = far[np.arange(len(node)), node]
+        return found, node * STEPS + np.minimum(near / widest * STEPS, STEPS - 1).astype(np.int64), near
 
-    def reach_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most, count = np.zeros(len(routes)), np.zeros(len(routes), np.int64)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = len(routes) * STEPS
+        n, low, high = np.zeros(cells, np.int64), np.full(cells, np.inf), np.full(cells, -np.inf)
         for batch in batches:
-            if batch.num_rows:
-                node = batch.column(0).to_numpy()
-                far = np.linalg.norm(space.raised(unpacked(batch.column(1), space.width)) - routes[node], axis=1)
-                np.maximum.at(most, node, far)
-                np.add.at(count, node, 1)
-        held = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(most[held]), pa.array(count[held])], ["node", "far", "n"])
-
-    nodes = entries.select("node", "vec").mapInArrow(reach_of, "node int, far double, n long").groupBy("node").agg(F.max("far").alias("far"), F.sum("n").alias("n")).collect()
-    radius, pages = np.full(len(routes), -np.inf), np.zeros(len(routes), np.int64)
-    for row in nodes:  # NODES rows at most
-        radius[row["node"]], pages[row["node"]] = row["far"], -(-row["n"] // PAGE)
-    page_of = F.pmod(F.xxhash64("vec_id"), F.element_at(F.lit(np.maximum(pages, 1).tolist()), F.col("node") + 1))
-    entries = entries.select("vec_id", "vec", "node", (F.col("node").cast("long") * (1 << 32) + page_of).alias("page"))
+            _, cell, near = assigned(batch.column(0))
+            np.add.at(n, cell, 1)
+            np.minimum.at(low, cell, near)
+            np.maximum.at(high, cell, near)
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(n[held]), pa.array(low[held]), pa.array(high[held])], ["cell", "n", "low", "high"])
+
+    cells = vectors.select("vec").mapInArrow(count, "cell long, n long, low double, high double")
+    cells = cells.groupBy("cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).orderBy("cell").collect()
+    pages = Pages(cells)  # NODES * STEPS rows at most
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, cell, _ = assigned(batch.column(1))
+            page = pages.of(cell, batch.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in found], pa.binary()), pa.array(page)], ["vec_id", "vec", "page"])
+
+    entries = checkpoint(vectors.select("vec_id", "vec", F.xxhash64("vec_id").alias("spread")).mapInArrow(place, PAGED))
     queries = entries.where(is_query).select("vec_id", "vec", "page")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -214,19 +256,17 @@ def top_k(table: DataFrame, id_col: str, vec_col: str, is_query: Column, k: int
         rows = group.sort_by("vec_id")
         ids, found, bounds, own = rows.column("vec_id").to_numpy(), unpacked(rows.column("vec"), space.width), rows.column("bound").to_numpy(), rows.column("page").to_numpy()
         visit = rows.column("visit").to_numpy()
-        lower = distances(space.query(found), routes) - radius[None, :]
+        to_route = distances(space.query(found), routes)
         out = {"page": [], "visit": [], "ids": [], "vecs": [], "bounds": []}
-        for node in np.flatnonzero(pages):
-            may = lower[:, node] <= bounds + space.slack
-            for part in range(pages[node]):
-                key = int(node) * (1 << 32) + part
-                go = np.flatnonzero(may & (own != key))
-                if len(go):
-                    out["page"].append(key)
-                    out["visit"].append(visit[0])
-                    out["ids"].append(ids[go].tolist())
-                    out["vecs"].append(found[go].tobytes())
-                    out["bounds"].append(bounds[go].tolist())
+        for page, node, low, high in pages.rows:
+            lower = np.maximum(to_route[:, node] - high, low - to_route[:, node])
+            go = np.flatnonzero((lower <= bounds + space.slack) & (own != page))
+            if len(go):
+                out["page"].append(page)
+                out["visit"].append(visit[0])
+                out["ids"].append(ids[go].tolist())
+                out["vecs"].append(found[go].tobytes())
+                out["bounds"].append(bounds[go].tolist())
         return pa.table({"page": pa.array(out["page"], pa.int64()), "visit": pa.array(out["visit"], pa.int64()), "ids": pa.array(out["ids"], pa.list_(pa.int64())), "vecs": pa.array(out["vecs"], pa.binary()), "bounds": pa.array(out["bounds"], pa.list_(pa.float64()))})
 
     visits = "page long, visit long, ids array<long>, vecs binary, bounds array<double>"
