@@ -5,8 +5,8 @@ what its words look like (shares of symbols, capitals, digits, repeats, and a
 hashed bag of the words). Gated attention, learned from the labels of whole
 documents, weighs the passages, and the weighted representation is scored. The
 model is fitted on the driver to a bounded sample of labelled rows, at most
-``SAMPLE`` of each label, chosen by a hash of the id; every document is scored
-on all its passages.
+``SAMPLE`` of each label, chosen by a hash of the id, of whose passages it sees
+``FIT_PASSAGES`` at most; every document is scored on all its passages.
 
 Defined results. Null texts count as empty; an empty text is one passage
 without words. Rows that repeat an id are scored each. Without labelled rows,
@@ -31,6 +31,8 @@ from varve.llm.common import crc_part, kept
 PASSAGE = 64
 #: Labelled rows of each label that the model is fitted to, at most.
 SAMPLE = 3000
+#: Passages that a sampled text gives the fit at most, spread evenly over it.
+FIT_PASSAGES = 512
 #: Buckets of the hashed bag of words.
 BUCKETS = 128
 #: Width of a passage's representation and of the attention.
@@ -99,7 +101,7 @@ class Passages:
         out[:, LOOKS + 4] = 1
         bag = np.bincount(passage * BUCKETS + self.bucket[rows], minlength=len(starts) * BUCKETS)
         out[:, LOOKS + 5 :] = np.sqrt(bag.reshape(len(starts), BUCKETS) / counts)
-        return out
+        return out.astype(np.float16).astype(np.float32)  # as the sample travels, so that fit and score see the same
 
 
 class Attention:
@@ -182,13 +184,20 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, eac
     return texts.join(F.broadcast(picked), "id").select("id", "text", "label")  # 2 * each rows at most
 
 
+def spread(passages: np.ndarray) -> np.ndarray:
+    """At most ``FIT_PASSAGES`` of a bag, evenly."""
+    if len(passages) <= FIT_PASSAGES:
+        return passages
+    return passages[np.linspace(0, len(passages) - 1, FIT_PASSAGES).astype(int)]
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", each: int = SAMPLE) -> Attention:
     """Fit the attention to ``labels (doc_id, quality)``."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = kept("quality", Passages)
         for batch in batches:
-            found = [encode(t.as_py()).astype(np.float16).tobytes() for t in batch.column(1)]
+            found = [spread(encode(t.as_py())).astype(np.float16).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["id", "label", "bag"])
 
     rows = labelled(docs, labels, id_col, text_col, each).mapInArrow(features, "id long, label int, bag binary").toArrow().sort_by("id")
