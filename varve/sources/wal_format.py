@@ -12,7 +12,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,27 +50,31 @@ def parse(content: bytes) -> tuple[list[tuple[str, str, int, int, int, bytes]],
 def encoded_logs(wal: DataFrame) -> DataFrame:
     """``wal_id, content``: each log's records as bytes; the data is as long as ``data_length`` says."""
 
-    def log(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        made = [(r.kind, r.hash, int(r.start_lba), int(r.lba_length), int(r.seq), b"\x5a" * int(r.data_length)) for r in rows.itertuples()]
-        return pd.DataFrame({"wal_id": [rows["wal_id"].iloc[0]], "content": [encode(made)]})
+    def log(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("seq")
+        fields = (rows.column(c).to_pylist() for c in ("kind", "hash", "start_lba", "lba_length", "seq", "data_length"))
+        made = [(kind, digest, start, length, seq, b"\x5a" * size) for kind, digest, start, length, seq, size in zip(*fields, strict=True)]
+        return pa.table({"wal_id": rows.column("wal_id")[:1], "content": pa.array([encode(made)], pa.binary())})
 
     slim = wal.select("wal_id", "seq", "kind", "hash", "start_lba", "lba_length", "data_length")
-    return slim.groupBy("wal_id").applyInPandas(log, "wal_id long, content binary")
+    return slim.groupBy("wal_id").applyInArrow(log, "wal_id long, content binary")
 
 
 def parsed_logs(logs: DataFrame) -> DataFrame:
     """Records of ``logs (wal_id, content)``; a torn tail is left out and flagged on the log's rows."""
 
-    def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for logs in frames:
-            rows = []
-            for log in logs.itertuples():
-                found, _, torn = parse(bytes(log.content))
-                rows += [(log.wal_id, seq, kind, digest, start, length, len(data), torn) for kind, digest, start, length, seq, data in found]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
+    names = [c.split()[0] for c in RECORDS.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
 
-    return logs.select("wal_id", "content").mapInPandas(records, RECORDS)
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for wal_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found, _, torn = parse(content.as_py())
+                rows = [(wal_id, seq, kind, digest, start, length, len(data), torn) for kind, digest, start, length, seq, data in found]
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return logs.select("wal_id", "content").mapInArrow(records, RECORDS)
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:

@@ -50,15 +50,10 @@ def skip_noops(records: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, skipped = state.get if state.exists else ("", 0)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            if row.hash == held:
-                skipped += 1
-            else:
-                held = row.hash
-                out.append((key[0], row.seq, row.hash))
-        state.update((held, skipped))
-        yield pd.DataFrame(out, columns=["lba", "seq", "hash"])
+        rows = pd.concat(list(frames)).sort_values("seq")
+        fresh = rows["hash"] != rows["hash"].shift(fill_value=held)
+        state.update((rows["hash"].iloc[-1], skipped + int((~fresh).sum())))
+        yield pd.DataFrame({"lba": key[0], "seq": rows["seq"][fresh], "hash": rows["hash"][fresh]})
 
     return records.groupBy("lba").applyInPandasWithState(step, "lba long, seq long, hash string", "held string, skipped long", "append", GroupStateTimeout.NoTimeout)
 
