@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from varve.operators import compaction as gc
 from varve.operators import read_path as rp
 from varve.plans import compaction_queries as cq
 from varve.plans import fixtures as fx
@@ -60,6 +61,21 @@ def streamed_skips(s, d):
     return log.run_to_folder(log.skip_noops(rows), shared(s, "skips"), "append")
 
 
+def stored_plan(s, d):
+    """The plan of a pass, written as text and read back."""
+    folder = shared(s, "plan")
+    tf.plan_lines(cq.plan(s, d)).write.text(folder)
+    return tf.parse_plan(s.read.text(folder))
+
+
+def streamed_retention(s, d):
+    """Superseded inputs as a stream of edges; what the newest edge's time has passed by thirty days has left the state."""
+    folder = shared(s, "edges")
+    gc.confirmed_edges(fx.segments(s, d), cq.FLOOR).select("input", "output", F.col("since").cast("timestamp").alias("since")).write.parquet(f"{folder}/edges")
+    edges = s.readStream.schema("input long, output long, since timestamp").parquet(f"{folder}/edges")
+    return log.run_to_folder(log.retained(edges, cq.RETAIN), folder, "append").select("input", "output")
+
+
 QUERIES = {
     "s01_wal_scan": (lambda s, d: wf.parsed_logs(wf.encoded_logs(fx.wal(s, d))), prelude("wal") + f"SELECT {RECORD}, FALSE AS is_truncated FROM wal"),
     "s02_torn_wal_scan": (
@@ -93,7 +109,7 @@ QUERIES = {
         prelude("wal") + "SELECT hash, start_lba * 4096 AS start_byte, data_length AS byte_count FROM wal",
     ),
     "s25_head": (lambda s, d: tf.parse_head(tf.head_lines(cq.head(s, d))), prelude("segments") + "SELECT volume_id, CASE WHEN segment_id % 50 = 7 THEN 'tombstoned' WHEN tier = 'gc' THEN 'superseded' ELSE 'added' END AS section, segment_id FROM segments"),
-    "s26_plan": (lambda s, d: tf.parse_plan(tf.plan_lines(cq.QUERIES["g10_plan"][0](s, d))), cq.QUERIES["g10_plan"][1]),
+    "s26_plan": (stored_plan, cq.QUERIES["g10_plan"][1]),
     "k07_head_lines": (
         lambda s, d: tf.head_lines(cq.head(s, d)).groupBy("volume_id").agg(F.count("*").alias("lines"), F.sum(F.col("value").startswith("[").cast("long")).alias("titles")),
         prelude("segments") + "SELECT volume_id, count(*) + 4 AS lines, CAST(4 AS BIGINT) AS titles FROM segments GROUP BY volume_id",
@@ -130,4 +146,9 @@ SELECT wal_id, epoch, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS e
         + """, g AS (SELECT *, CASE WHEN lag(kind) OVER p = kind AND lag(start_lba + lba_length) OVER p = start_lba THEN 0 ELSE 1 END AS fresh FROM wal WINDOW p AS (PARTITION BY wal_id ORDER BY seq)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY wal_id ORDER BY seq) AS run FROM g)
 SELECT wal_id, min(seq) AS first_seq, kind, min(start_lba) AS start_lba, CAST(sum(lba_length) AS BIGINT) AS lba_length, count(*) AS writes, CAST(sum(data_length) AS BIGINT) AS data_length FROM i GROUP BY wal_id, run, kind""",
     ),
+    "st06_retention": (
+        streamed_retention,
+        prelude("segments")
+        + f", e AS (SELECT unnest(inputs) AS input, segment_id AS output, created AS since FROM segments WHERE segment_id > {cq.FLOOR} AND tier = 'gc'), l AS (SELECT input, max(output) AS output, arg_max(since, output) AS since FROM e GROUP BY input) SELECT input, output FROM l WHERE since + INTERVAL {cq.RETAIN} DAY < (SELECT max(since) FROM l)",
+    ),
 }

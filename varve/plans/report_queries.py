@@ -350,4 +350,9 @@ SELECT w.seq AS entry_id, w.hash, p.hash AS source_hash FROM wal w JOIN p ON p.l
         lambda s, d: re.wait_windows(fx.read(s, d, "events").select(F.col("event_type").alias("site"), F.floor(F.abs("value") * 100).cast("long").alias("millis"), F.col("event_id").alias("at")), 500),
         "WITH waits AS (SELECT event_type AS site, CAST(floor(abs(value) * 100) AS BIGINT) AS millis, event_id AS pos FROM events), r AS (SELECT pos // 500 AS \"window\", site, count(*) AS n, CAST(sum(millis) AS BIGINT) AS millis, max(millis) AS peak FROM waits GROUP BY ALL) SELECT *, n - coalesce(lag(n) OVER o, 0) AS n_since, millis - coalesce(lag(millis) OVER o, 0) AS millis_since, row_number() OVER (PARTITION BY \"window\" ORDER BY millis DESC, site DESC) = 1 AS top FROM r WINDOW o AS (PARTITION BY site ORDER BY \"window\")",
     ),
+    "a17_top_renames": (
+        lambda s, d: re.renames(fx.image(s, d, "a"), fx.image(s, d, "b")).where("class = 'renamed'").orderBy(F.desc("bytes"), "path").limit(20).select("path", "source", "bytes"),
+        prelude("image_a", "image_b")
+        + """ SELECT b.path, min(a.path) AS source, any_value(b.bytes) AS bytes FROM image_b b JOIN image_a a ON a.hash = b.hash WHERE b.path NOT IN (SELECT path FROM image_a) GROUP BY b.path ORDER BY bytes DESC, b.path LIMIT 20""",
+    ),
 }
