@@ -112,6 +112,24 @@ def test_mixing(spark, rows):
         assert got[d][:2] == (size, total) and math.isclose(got[d][2], target) and got[d][3] == taken
 
 
+def test_mixing_of_repeated_ids_and_long_texts(spark, rows):
+    """Rows that repeat an id, as a whole or with other texts, are documents of their own; reruns agree."""
+    extra = rows + rows[:10] + [(rows[3][0], "another text of this id", None, "a"), (None, "no id", None, "b"), (None, "no id", None, "b"), (7_000, "long " * 200_000, None, "a")]
+    table = docs(spark, extra)
+    got = sorted(map(repr, mixing.digest(table).collect()))
+    assert got == sorted(map(repr, mixing.digest(table.repartition(3)).collect())) and len(got) == len(extra)
+    found = mixing.digest(table).collect()
+    assert all(0 <= r.taken <= 3 * r["size"] for r in found)
+    want = brute.mix([(i, t, s) for i, (_, t, _, s) in enumerate(extra)])
+    totals = {}
+    for (_, total, target, taken) in want.values():
+        totals[total, round(target, 6)] = totals.get((total, round(target, 6)), 0) + taken
+    sums = {}
+    for r in found:
+        sums[r.source_size, round(r.target, 6)] = sums.get((r.source_size, round(r.target, 6)), 0) + r.taken
+    assert sums == totals
+
+
 def test_mix_places_are_gapless(spark, rows):
     slim = mixing.keyed(docs(spark, rows).selectExpr("doc_id", "source", "size(filter(split(coalesce(text, ''), '[ \\t-\\r]+'), x -> x <> '')) as size").selectExpr("doc_id", "source", "cast(size as long) size"))
     places = sorted((r.mix_start, r.piece) for r in mixing.mixed(mixing.schedule(slim, slim)).collect())
@@ -552,10 +570,12 @@ def test_licenses_inherit_from_the_nearest_directory(spark):
         (7, None, ""),
         (8, "a/b/c/LICENSE", "no licence words that match"),
         (8, "a/b/c/LICENSE", "no licence words that match"),
+        (None, "a/d/z.txt", None),
+        (10, "q/long.txt", "plain words of a text " * 100_000 + "Licensed under the Apache License, Version 2.0." + " and on it goes" * 100_000),
     ]
     table = spark.createDataFrame([(*r, "x", 0.0) for r in rows], "id long, path string, text string, license string, score double")
     got = {(r.id): (r.license, r.origin, r.from_dir) for r in licenses.scan(table).collect()}
-    assert got == {1: ("MIT", "own", "a"), 2: ("CC-BY-NC-4.0", "own", "a/b"), 3: ("CC-BY-NC-4.0", "inherited", "a/b"), 4: ("MIT", "inherited", "a"), 5: ("Apache-2.0", "own", "a/d"), 6: ("", "none", ""), 7: ("", "none", ""), 8: ("CC-BY-NC-4.0", "inherited", "a/b")}
+    assert got == {1: ("MIT", "own", "a"), 2: ("CC-BY-NC-4.0", "own", "a/b"), 3: ("CC-BY-NC-4.0", "inherited", "a/b"), 4: ("MIT", "inherited", "a"), None: ("MIT", "inherited", "a"), 10: ("Apache-2.0", "own", "q"), 5: ("Apache-2.0", "own", "a/d"), 6: ("", "none", ""), 7: ("", "none", ""), 8: ("CC-BY-NC-4.0", "inherited", "a/b")}
 
 
 NOTICE = "Licensed under the Apache License, Version 2.0"

@@ -23,7 +23,8 @@ directory is hot.
 Defined results. Null texts count as empty; null paths are files of the root.
 Of several licence files of a directory the best cosine speaks, then the first
 path. Ties of templates go to the first listed. Rows that repeat a path are
-files each. An empty table gives an empty result.
+files each, and null ids are kept as they are. A text of any length is scanned
+whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

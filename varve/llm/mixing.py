@@ -14,7 +14,7 @@ sums, then a window inside each bucket; the same over bins of virtual time.
 
 Defined results. Null and empty texts have size 0 and take no words. A null
 source is a source of its own, the last one. Rows that repeat an id are
-documents of their own. An empty table gives an empty result; other columns,
+documents of their own; which of two equal rows comes first is no difference. An empty table gives an empty result; other columns,
 whatever their names, travel inside one struct.
 """
 
