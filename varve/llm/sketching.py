@@ -15,7 +15,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hashes a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 GOLDEN = 0x9E3779B97F4A7C15
 MASK = 0xFFFFFFFFFFFFFFFF
