@@ -323,3 +323,15 @@ def test_commands_over_images_and_volumes(spark, tmp_path):
     assert cm.volume_status(events).first().state == "stopped"
     lineage = spark.createDataFrame([(1, None), (2, 1), (3, 1)], "volume_id long, parent_id long")
     assert [r.line for r in cm.volume_tree(lineage).collect()] == ["1", "  2", "  3"]
+
+
+def test_walks_of_more_rows_than_recursive_sql_gives(spark):
+    from varve.operators import lineage as li
+
+    chain = spark.createDataFrame([(i, i - 1 if i > 1 else None) for i in range(1, 13)], "volume_id long, parent_id long")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "20")
+    try:
+        got = {(r.volume_id, r.ancestors, r.agree) for r in li.walks_agree(chain).collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert got == {(i, i - 1, True) for i in range(1, 13)}

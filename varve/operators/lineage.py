@@ -7,11 +7,16 @@ joins and each cut of lineage stays small.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.sources.shared import cut
 
+#: Links after which a walk is taken to go round.
+MOST_LINKS = 100_000
+
 
 def closure(edges: DataFrame) -> DataFrame:
     """``id, ancestor, depth`` over ``edges (id, parent)``, one parent each; depth 1 is the parent.
@@ -43,14 +48,17 @@ def ancestor_walk(lineage: DataFrame, volume: int) -> DataFrame:
 
 
 def walked(lineage: DataFrame) -> DataFrame:
-    """``id, ancestor, depth`` of all volumes, link by link: what a single walk finds, for all at once."""
-    lineage.select("volume_id", "parent_id").createOrReplaceTempView("varve_links")
-    return lineage.sparkSession.sql("""
-        WITH RECURSIVE up(id, ancestor, depth) MAX RECURSION LEVEL 100000 AS (
-            SELECT volume_id, parent_id, CAST(1 AS BIGINT) FROM varve_links WHERE parent_id IS NOT NULL
-            UNION ALL
-            SELECT u.id, l.parent_id, u.depth + 1 FROM up u JOIN varve_links l ON l.volume_id = u.ancestor WHERE l.parent_id IS NOT NULL)
-        SELECT id, ancestor, depth FROM up""")
+    """``id, ancestor, depth`` of all volumes, link by link: what a single walk finds, for all at once.
+
+    Each step is cut, as recursive SQL stops at a million rows in all.
+    """
+    links = lineage.where("parent_id is not null").select(F.col("volume_id").alias("ancestor"), F.col("parent_id").alias("next"))
+    steps = [cut(links.select(F.col("ancestor").alias("id"), F.col("next").alias("ancestor"), F.lit(1).cast("long").alias("depth")))]
+    while not steps[-1].isEmpty():
+        if len(steps) > MOST_LINKS:
+            raise ValueError(f"a chain of more than {MOST_LINKS} links")
+        steps.append(cut(steps[-1].join(links, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth"))))
+    return reduce(DataFrame.union, steps)
 
 
 def walks_agree(lineage: DataFrame) -> DataFrame:
