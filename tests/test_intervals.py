@@ -127,3 +127,16 @@ def test_empty_log(spark):
     empty = frame(spark, [])
     assert iv.overlay(empty).count() == 0
     assert iv.fingerprint(iv.overlay(empty)).count() == 1
+
+
+def test_claims_over_many_buckets(spark):
+    """Claims go to the buckets of their addresses whole, and runs join again across the edges of buckets."""
+    e = spark.createDataFrame([(1, 1, 1, "data", "a", 10, 300), (1, 2, 1, "data", "b", 100, 28), (1, 5, 1, "data", "a", 64, 64)], "volume_id long, segment_id long, entry_idx long, kind string, hash string, start_lba long, lba_length long")
+    s = spark.createDataFrame([(1, []), (2, []), (5, [1])], "segment_id long, inputs array<long>")
+    claims = e.where("start_lba >= 0")
+    pieces = iv.held_pieces(claims, s)
+    assert pieces.where("n > 64").count() == 0
+    got = {(r.start_lba, r.lba_length, r.payload_block_offset, r.hash, r.claimant) for r in iv.rebuild(e, s).collect()}
+    assert got == {(10, 54, 0, "a", 1), (64, 36, 0, "a", 5), (100, 28, 0, "b", 2), (128, 182, 118, "a", 1)}
+    plan = pieces._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(volume_id" in plan and not [x for x in plan.splitlines() if "Exchange" in x and "lba#" in x]  # no block is moved

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from varve.operators import content_index as ci
 from varve.operators import intervals as iv
 from varve.operators import read_path as rp
+from varve.sources.shared import keep_together, stored
 
 #: Bytes and entries of a packed output, share of live bytes below which packing pays, outputs of a pass.
 CAP_BYTES, CAP_ENTRIES, SPARSE, MAX_BUCKETS = 32 << 20, 8192, 0.70, 4
@@ -48,29 +49,59 @@ def keep_cost() -> Column:
     return F.when(F.col("kind") == "delta", F.col("delta_length")).when(F.col("kind").isin("zero", "dedup_ref"), 0).otherwise(F.col("stored_length"))
 
 
+def with_runs(entries: DataFrame, volmap: DataFrame) -> DataFrame:
+    """Entries with the marks of their hash, the runs of :func:`live_runs` as ``held (run_start, run_length)``, ``live_blocks`` and ``runs``.
+
+    A run comes with the entry that it was cut from; entries of one segment with
+    that entry's hash and start share it. Everything meets by segment, once.
+    """
+    keep_together(entries.sparkSession)
+    own = volmap.select(F.col("claimant").alias("segment_id"), "volume_id", "entry_idx", (F.col("start_lba") - F.col("payload_block_offset")).alias("start_lba"), F.struct(F.col("start_lba").alias("a"), iv.end().alias("b")).alias("run"))
+    own = own.groupBy("segment_id", "volume_id", "entry_idx", "start_lba").agg(F.collect_list("run").alias("cut"))
+    rows = entries.withColumns(dict(zip(("m1", "m2"), iv.marked("hash", "m1", "m2"), strict=True)))
+    # canonical entries are none that a run is cut from, but may share one
+    rows = rows.withColumn("claims", ~F.col("kind").like("canonical%")).join(own.withColumn("claims", F.lit(True)), ["segment_id", "volume_id", "entry_idx", "start_lba", "claims"], "left")
+    alike = Window.partitionBy("segment_id", "volume_id", "m1", "m2", "start_lba")
+    rows = rows.withColumn("cut", F.flatten(F.collect_list("cut").over(alike)))
+    low, high = lambda r: F.greatest(r["a"], F.col("start_lba")), lambda r: F.least(r["b"], iv.end())
+    met = F.transform(F.filter("cut", lambda r: low(r) < high(r)), lambda r: F.struct(low(r).alias("run_start"), (high(r) - low(r)).alias("run_length")))
+    rows = rows.withColumn("held", met).drop("cut", "claims")
+    blocks = F.aggregate("held", F.lit(0).cast("long"), lambda n, r: n + r["run_length"])
+    return rows.withColumns({"live_blocks": blocks, "runs": F.size("held").cast("long")})
+
+
 def classified(entries: DataFrame, segments: DataFrame, volmap: DataFrame) -> DataFrame:
-    """Entries with ``class, emit_canonical, live_blocks, runs, keep_cost``."""
-    runs = live_runs(entries, volmap).groupBy("segment_id", "entry_idx").agg(F.sum("run_length").alias("live_blocks"), F.count("*").alias("runs"))
-    owners = ci.data_owners(entries, segments)
-    deltas = ci.delta_owners(entries, segments, owners)
-    rows = entries.join(runs, ["segment_id", "entry_idx"], "left").fillna(0, ["live_blocks", "runs"])
-    rows = rows.join(live_hashes(volmap, entries).withColumn("is_live", F.lit(True)), "hash", "left")
-    rows = rows.join(owners.select("hash", F.col("segment_id").alias("o")), "hash", "left").join(deltas.select("hash", F.col("segment_id").alias("dl")), "hash", "left")
-    rows = rows.join(owners.select(F.col("hash").alias("delta_source"), F.lit(True).alias("resolvable")), "delta_source", "left").fillna(False, ["is_live", "resolvable"])
-    owns = F.coalesce(F.when(F.col("kind") == "delta", F.col("dl")).otherwise(F.col("o")) == F.col("segment_id"), F.lit(False))
-    kind, live = F.col("kind"), F.col("live_blocks")
-    dead = F.when(owns & F.col("is_live") & kind.isin("data", "inline", "delta"), "demote_to_canonical").when(owns, "drop_and_remove_hash").otherwise("drop")
+    """Entries with ``class, emit_canonical, live_blocks, runs, held, keep_cost``; ``volmap`` is the map of these entries, with or without hashes.
+
+    What has to be known of a hash is one stored aggregate over the marks of
+    hashes. Owners go from it to their segments; only canonical entries, which
+    ask whether their hash is live, and deltas, which ask whether their source
+    has an owner, are looked up in it.
+    """
+    rows = with_runs(entries, volmap)
+    known = stored(ci.known_hashes(rows, segments), "hashes")
+    own = known.where("owner is not null or recipe is not null").select(F.coalesce("owner", "recipe").alias("segment_id"), "m1", "m2", F.col("owner").isNull().alias("as_delta"), F.col("is_live").alias("live_own"))
+    asks = entries.where("kind in ('canonical_data', 'delta')").withColumn("about", F.when(F.col("kind") == "delta", F.col("delta_source")).otherwise(F.col("hash")))
+    asks = asks.select("segment_id", "entry_idx", *iv.marked("about", "m1", "m2"))
+    told = asks.join(known.select("m1", "m2", F.col("is_live").alias("live_asked"), F.col("owner").isNotNull().alias("resolvable")), ["m1", "m2"]).select("segment_id", "entry_idx", "live_asked", "resolvable")
+    rows = rows.withColumn("as_delta", F.col("kind") == "delta").join(own, ["segment_id", "m1", "m2", "as_delta"], "left")
+    rows = rows.join(stored(told, "asked"), ["segment_id", "entry_idx"], "left")
+    owns, kind, live = F.col("live_own").isNotNull(), F.col("kind"), F.col("live_blocks")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    dead = F.when(yes("live_own") & kind.isin("data", "inline", "delta"), "demote_to_canonical").when(owns, "drop_and_remove_hash").otherwise("drop")
     fate = (
         F.when(kind == "zero", "zero_sub_runs")
-        .when(kind == "canonical_data", F.when(F.col("is_live"), "fully_live").when(owns, "drop_and_remove_hash").otherwise("drop"))
+        .when(kind == "canonical_data", F.when(yes("live_asked"), "fully_live").when(owns, "drop_and_remove_hash").otherwise("drop"))
         .when(live == F.col("lba_length"), "fully_live")
         .when(live == 0, dead)
-        .when((kind == "delta") & ~F.col("resolvable"), "defer_unresolvable_delta")
+        .when((kind == "delta") & ~yes("resolvable"), "defer_unresolvable_delta")
         .otherwise("partial_death")
     )
     rows = rows.withColumn("class", fate)
-    canonical = (F.col("class") == "partial_death") & kind.isin("data", "inline", "delta") & F.col("is_live")
-    return rows.withColumn("emit_canonical", canonical).withColumn("keep_cost", keep_cost()).drop("o", "dl", "is_live", "resolvable")
+    # a hash that keeps a block alive is live
+    canonical = (F.col("class") == "partial_death") & kind.isin("data", "inline", "delta")
+    rows = rows.withColumn("emit_canonical", canonical).withColumn("keep_cost", keep_cost())
+    return rows.select(*entries.columns, "live_blocks", "runs", "held", "class", "emit_canonical", "keep_cost")
 
 
 def segment_stats(classes: DataFrame) -> DataFrame:
@@ -189,17 +220,18 @@ def repacked(scan: DataFrame, cap_bytes: int = CAP_BYTES, cap_entries: int = CAP
     return scan.groupBy("volume_id").applyInPandas(pack, "volume_id long, segment_id long, bucket long, action string")
 
 
-def plan_rows(classes: DataFrame, entries_of: DataFrame, volmap: DataFrame) -> DataFrame:
+def plan_rows(classes: DataFrame, entries_of: DataFrame, volmap: DataFrame | None = None) -> DataFrame:
     """Plan records of the chosen segments: keep, canonical, run, zero_split, and drop for a segment without any.
 
     ``op, segment_id, entry_idx, start_lba, lba_length, payload_block_offset``.
+    The runs are those that the classification found; ``volmap`` is not read.
     """
     chosen = classes.join(entries_of.select("segment_id"), "segment_id", "left_semi")
     none = [F.lit(-1).cast("long").alias(c) for c in ("start_lba", "lba_length", "payload_block_offset")]
     keep = chosen.where(F.col("class").isin("fully_live", "defer_unresolvable_delta")).select(F.lit("keep").alias("op"), "segment_id", "entry_idx", *none)
     canonical = chosen.where((F.col("class") == "demote_to_canonical") | F.col("emit_canonical")).select(F.lit("canonical").alias("op"), "segment_id", "entry_idx", *none)
-    split = chosen.where(F.col("class").isin("partial_death", "zero_sub_runs")).withColumnRenamed("start_lba", "own_start").select("segment_id", "entry_idx", "class", "own_start")
-    runs = live_runs(chosen, volmap).join(split, ["segment_id", "entry_idx"])
+    split = chosen.where(F.col("class").isin("partial_death", "zero_sub_runs"))
+    runs = split.select("segment_id", "entry_idx", "class", F.col("start_lba").alias("own_start"), F.inline("held"))
     op = F.when(F.col("class") == "zero_sub_runs", "zero_split").otherwise("run")
     runs = runs.select(op.alias("op"), "segment_id", "entry_idx", F.col("run_start").alias("start_lba"), F.col("run_length").alias("lba_length"), (F.col("run_start") - F.col("own_start")).alias("payload_block_offset"))
     some = iv.union_all(keep, canonical, runs)

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varve.sources.shared import keep_together, stored
+
 #: Width of the address buckets that range joins meet in.
 BUCKET = 64
 
@@ -92,6 +94,54 @@ def insert_consuming(base: DataFrame, outputs: DataFrame, horizon: bool = False)
     return met.select("lba", pick("new_start", "start_lba").alias("start_lba"), pick("new_hash", "hash").alias("hash"), pick("new_claimant", "claimant").alias("claimant"), "taken")
 
 
+def marked(column: str, a: str, b: str) -> list[Column]:
+    """128 bits of a hash as two columns, by which hashes are told apart where whole ones would be too long to move."""
+    return [F.xxhash64(column).alias(a), F.xxhash64(F.lit("varve"), column).alias(b)]
+
+
+def held_pieces(entries: DataFrame, segments: DataFrame) -> DataFrame:
+    """``volume_id, segment_id, entry_idx, anchor, at, n``: the runs of :func:`rebuild`, cut at the edges of address buckets.
+
+    Claims, not blocks, go to the bucket of their addresses and are spread to
+    blocks there. A block's state is the place of its entry and the marks of
+    its hash; the hash itself stays with the entries.
+    """
+    claims = entries.where("kind not like 'canonical%' and lba_length > 0").select("volume_id", "segment_id", "entry_idx", "start_lba", "lba_length", *marked("hash", "m1", "m2"))
+    claims = claims.join(segments.select("segment_id", F.when(F.size("inputs") > 0, F.array_max("inputs")).alias("horizon")), "segment_id")
+    claims = claims.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_lba") / BUCKET), F.floor((end() - 1) / BUCKET)))).repartition("volume_id", "bucket")
+    low, high = F.greatest("start_lba", F.col("bucket") * BUCKET), F.least(end(), (F.col("bucket") + 1) * BUCKET)
+    claims = claims.withColumn("lba", F.explode(F.sequence(low, high - 1)))
+    names = {"c": "segment_id", "i": "entry_idx", "m1": "m1", "m2": "m2", "s": "start_lba"}
+    state = F.struct(*(F.col(c).alias(k) for k, c in names.items()))
+    output = F.struct(*(F.col(c).alias(k) for k, c in names.items()), F.col("horizon").alias("z"))
+    found = claims.groupBy("volume_id", "bucket", "lba").agg(
+        F.max(F.when(F.col("horizon").isNull(), state)).alias("base"),
+        F.array_sort(F.collect_list(F.when(F.col("horizon").isNotNull(), output))).alias("outs"),
+    )
+
+    def admit(held: Column, new: Column) -> Column:
+        same = (held["m1"] == new["m1"]) & (held["m2"] == new["m2"])
+        free = held.isNull() | (held["c"] <= new["z"]) | (held["c"] == new["c"]) | (same & (held["c"] < new["c"]))
+        return F.when(free, F.struct(*(new[k].alias(k) for k in names))).otherwise(held)
+
+    won = found.select("volume_id", "bucket", "lba", F.aggregate("outs", F.col("base"), admit).alias("w"))
+    won = won.select("volume_id", "bucket", "lba", F.col("w.c").alias("segment_id"), F.col("w.i").alias("entry_idx"), F.col("w.s").alias("anchor"))
+    inside = Window.partitionBy("volume_id", "bucket", "segment_id", "entry_idx").orderBy("lba")
+    islands = won.withColumn("island", F.col("lba") - F.row_number().over(inside))
+    pieces = islands.groupBy("volume_id", "bucket", "segment_id", "entry_idx", "island").agg(F.min("anchor").alias("anchor"), F.min("lba").alias("at"), F.count("*").alias("n"))
+    return pieces.select("volume_id", "segment_id", "entry_idx", "anchor", "at", "n")
+
+
+def rebuilt(entries: DataFrame, segments: DataFrame) -> DataFrame:
+    """:func:`rebuild` without hashes, by segment: the pieces are stored once, and join across the edges of buckets."""
+    pieces = stored(held_pieces(entries, segments), "map").repartition("segment_id")
+    record = Window.partitionBy("volume_id", "segment_id", "entry_idx", "anchor").orderBy("at")
+    fresh = F.coalesce((F.lag(F.col("at") + F.col("n")).over(record) != F.col("at")).cast("int"), F.lit(1))
+    islands = pieces.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(record))
+    whole = islands.groupBy("volume_id", "segment_id", "entry_idx", "anchor", "island").agg(F.min("at").alias("at"), F.sum("n").alias("n"))
+    return whole.select("volume_id", F.col("at").alias("start_lba"), F.col("n").alias("lba_length"), (F.col("at") - F.col("anchor")).alias("payload_block_offset"), F.col("segment_id").alias("claimant"), "entry_idx")
+
+
 def rebuild(entries: DataFrame, segments: DataFrame) -> DataFrame:
     """The current map of each volume from its segments, in two phases.
 
@@ -102,24 +152,11 @@ def rebuild(entries: DataFrame, segments: DataFrame) -> DataFrame:
     id. The fold is exact for each block; only outputs that claim the block are
     gathered for it. Canonical entries claim nothing.
     """
-    claims = entries.where("kind not like 'canonical%'").select("volume_id", "segment_id", "entry_idx", "hash", "start_lba", "lba_length")
-    claims = claims.join(segments.select("segment_id", "inputs"), "segment_id")
-    horizon = F.when(F.size("inputs") > 0, F.array_max("inputs"))
-    claims = blocks(claims.withColumn("horizon", horizon))
-    state = F.struct(F.col("segment_id").alias("c"), F.col("entry_idx").alias("i"), F.col("hash").alias("h"), F.col("start_lba").alias("s"))
-    output = F.struct(F.col("segment_id").alias("c"), F.col("entry_idx").alias("i"), F.col("hash").alias("h"), F.col("start_lba").alias("s"), F.col("horizon").alias("z"))
-    found = claims.groupBy("volume_id", "lba").agg(
-        F.max(F.when(F.col("horizon").isNull(), state)).alias("base"),
-        F.array_sort(F.collect_list(F.when(F.col("horizon").isNotNull(), output))).alias("outs"),
-    )
-
-    def admit(held: Column, new: Column) -> Column:
-        free = held.isNull() | (held["c"] <= new["z"]) | (held["c"] == new["c"]) | ((held["h"] == new["h"]) & (held["c"] < new["c"]))
-        return F.when(free, F.struct(new["c"].alias("c"), new["i"].alias("i"), new["h"].alias("h"), new["s"].alias("s"))).otherwise(held)
-
-    won = found.select("volume_id", "lba", F.aggregate("outs", F.col("base"), admit).alias("w"))
-    won = won.select("volume_id", "lba", F.col("w.c").alias("claimant"), F.col("w.i").alias("entry_idx"), F.col("w.h").alias("hash"), F.col("w.s").alias("start_lba"))
-    return runs(won, ["hash", "claimant", "entry_idx"], by=["volume_id"])
+    keep_together(entries.sparkSession)
+    whole = rebuilt(entries, segments).withColumn("anchor", F.col("start_lba") - F.col("payload_block_offset"))
+    named = entries.where("kind not like 'canonical%'").select(F.col("segment_id").alias("claimant"), "volume_id", "entry_idx", F.col("start_lba").alias("anchor"), "hash")
+    found = whole.join(named, ["claimant", "volume_id", "entry_idx", "anchor"])
+    return found.select("volume_id", "start_lba", "lba_length", "payload_block_offset", "hash", "claimant", "entry_idx")
 
 
 def overlapping(left: DataFrame, right: DataFrame, left_end: Column, right_end: Column, on: list[str] | None = None, how: str = "inner") -> DataFrame:

@@ -9,7 +9,7 @@ from varve.operators import content_index as ci
 from varve.operators import intervals as iv
 from varve.plans import fixtures as fx
 from varve.plans.fixtures import prelude
-from varve.sources.shared import cut
+from varve.sources.shared import stored
 
 FLOOR = 2000
 NOW = "TIMESTAMP '1996-01-01 00:00:00'"
@@ -20,7 +20,8 @@ def volmap(s, d):
 
 
 def classes(s, d):
-    return gc.classified(fx.entries(s, d), fx.segments(s, d), cut(volmap(s, d)))
+    e, g = fx.entries(s, d), fx.segments(s, d)
+    return gc.classified(e, g, iv.rebuilt(e, g))
 
 
 def stats(s, d):
@@ -34,10 +35,9 @@ def head(s, d):
 
 
 def plan(s, d):
-    """The plan records of a pass; the map and the classification are used several times and computed once."""
-    held = cut(volmap(s, d))
-    found = cut(gc.classified(fx.entries(s, d), fx.segments(s, d), held))
-    return gc.plan_rows(found, gc.candidates(gc.segment_stats(found)), held)
+    """The plan records of a pass; the classification is used several times and stored once, without its hashes."""
+    found = stored(classes(s, d).drop("hash", "delta_source", "delta_length", "present"), "classes")
+    return gc.plan_rows(found, gc.candidates(gc.segment_stats(found)))
 
 
 STATS = "volume_id, segment_id, total_bytes, retained_bytes, materialised_bytes, live_entries, output_entries, removed_hashes, has_body, pool, density, reclaimable_bytes"
