@@ -1,8 +1,8 @@
 """Liveness, classification and planning of compactions.
 
 An entry's fate follows from the blocks that the current map still resolves to
-it. The classification is one join by volume, segment and hash and three
-lookups by hash; per-segment liveness is one aggregate. Only first-fit packing
+it. The classification meets by segment, with one aggregate by hash and few
+lookups in it; per-segment liveness is one aggregate. Only first-fit packing
 is sequential, and it runs for each volume on its own few candidates.
 """
 
