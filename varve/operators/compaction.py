@@ -8,6 +8,8 @@ is sequential, and it runs for each volume on its own few candidates.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from varve.operators import content_index as ci
 from varve.operators import intervals as iv
 from varve.operators import read_path as rp
-from varve.sources.shared import keep_together, stored
+from varve.sources.shared import keep_together, part_of, stored_parts
 
 #: Bytes and entries of a packed output, share of live bytes below which packing pays, outputs of a pass.
 CAP_BYTES, CAP_ENTRIES, SPARSE, MAX_BUCKETS = 32 << 20, 8192, 0.70, 4
@@ -70,22 +72,38 @@ def with_runs(entries: DataFrame, volmap: DataFrame) -> DataFrame:
     return rows.withColumns({"live_blocks": blocks, "runs": F.size("held").cast("long")})
 
 
-def classified(entries: DataFrame, segments: DataFrame, volmap: DataFrame) -> DataFrame:
+def classified(entries: DataFrame, segments: DataFrame, volmap: DataFrame, parts: int = 1, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Entries with ``class, emit_canonical, live_blocks, runs, held, keep_cost``; ``volmap`` is the map of these entries, with or without hashes.
 
     What has to be known of a hash is one stored aggregate over the marks of
     hashes. Owners go from it to their segments; only canonical entries, which
     ask whether their hash is live, and deltas, which ask whether their source
     has an owner, are looked up in it.
+
+    Each step is stored in ``parts`` parts of the volumes; a segment and its
+    entries are of one volume. With ``then``, which works inside volumes, the
+    result is stored in parts too: ``then`` of the classification.
     """
+    told = lambda k: ci.told_hashes(with_runs(part_of(entries, k, parts), part_of(volmap, k, parts)), part_of(segments, k, parts))
+    known = ci.known_hashes(stored_parts(told, parts, "hashes", ci.least_of))
+
+    def asked(k: int) -> DataFrame:
+        asks = part_of(entries, k, parts).where("kind in ('canonical_data', 'delta')").withColumn("about", F.when(F.col("kind") == "delta", F.col("delta_source")).otherwise(F.col("hash")))
+        asks = asks.select("volume_id", "segment_id", "entry_idx", *iv.marked("about", "m1", "m2"))
+        return asks.join(known.select("m1", "m2", F.col("is_live").alias("live_asked"), F.col("owner").isNotNull().alias("resolvable")), ["m1", "m2"]).select("volume_id", "segment_id", "entry_idx", "live_asked", "resolvable")
+
+    answers = stored_parts(asked, parts, "asked")
+    if then is None:
+        return fates(entries, volmap, known, answers)
+    return stored_parts(lambda k: then(fates(part_of(entries, k, parts), part_of(volmap, k, parts), known, part_of(answers, k, parts))), parts, "classes")
+
+
+def fates(entries: DataFrame, volmap: DataFrame, known: DataFrame, told: DataFrame) -> DataFrame:
+    """The classification from what is ``known`` of hashes and ``told`` to the entries that ask."""
     rows = with_runs(entries, volmap)
-    known = stored(ci.known_hashes(rows, segments), "hashes")
     own = known.where("owner is not null or recipe is not null").select(F.coalesce("owner", "recipe").alias("segment_id"), "m1", "m2", F.col("owner").isNull().alias("as_delta"), F.col("is_live").alias("live_own"))
-    asks = entries.where("kind in ('canonical_data', 'delta')").withColumn("about", F.when(F.col("kind") == "delta", F.col("delta_source")).otherwise(F.col("hash")))
-    asks = asks.select("segment_id", "entry_idx", *iv.marked("about", "m1", "m2"))
-    told = asks.join(known.select("m1", "m2", F.col("is_live").alias("live_asked"), F.col("owner").isNotNull().alias("resolvable")), ["m1", "m2"]).select("segment_id", "entry_idx", "live_asked", "resolvable")
     rows = rows.withColumn("as_delta", F.col("kind") == "delta").join(own, ["segment_id", "m1", "m2", "as_delta"], "left")
-    rows = rows.join(stored(told, "asked"), ["segment_id", "entry_idx"], "left")
+    rows = rows.join(told.drop("volume_id"), ["segment_id", "entry_idx"], "left")
     owns, kind, live = F.col("live_own").isNotNull(), F.col("kind"), F.col("live_blocks")
     yes = lambda c: F.coalesce(c, F.lit(False))
     dead = F.when(yes("live_own") & kind.isin("data", "inline", "delta"), "demote_to_canonical").when(owns, "drop_and_remove_hash").otherwise("drop")

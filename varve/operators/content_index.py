@@ -39,12 +39,14 @@ def delta_owners(entries: DataFrame, segments: DataFrame, owners: DataFrame) ->
     return first_writer(rows.join(owners.select("hash"), "hash", "left_anti"), ["hash"], ["delta_source", "delta_length"])
 
 
-def known_hashes(rows: DataFrame, segments: DataFrame) -> DataFrame:
-    """``m1, m2, owner, recipe, is_live`` of each hash that ``rows`` hold or name as a delta's source, by its marks.
+#: The least segments of a hash: with a body, committed and pending, and with a recipe.
+LEAST = ("b0", "b1", "r0", "r1")
 
-    ``rows``: entries with their marks and ``live_blocks``. ``owner`` is the
-    segment of :func:`data_owners`, ``recipe`` that of :func:`delta_owners`. The
-    least committed and the least pending segment are minima of plain numbers.
+
+def told_hashes(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """``m1, m2``, :data:`LEAST` and ``live`` (1 or 0) of each hash that ``rows`` hold or name as a delta's source, by its marks.
+
+    ``rows``: entries with their marks and ``live_blocks``, of which some may be elsewhere.
     """
     from varve.operators.intervals import marked
 
@@ -53,10 +55,23 @@ def known_hashes(rows: DataFrame, segments: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
     pick = lambda what, tier: F.when(what & tier, F.col("segment_id"))
     mine = F.struct("m1", "m2", pick(body, ~pending).alias("b0"), pick(body, pending).alias("b1"), pick(recipe, ~pending).alias("r0"), pick(recipe, pending).alias("r1"), (F.col("live_blocks") > 0).alias("live"))
-    source = F.struct(*marked("delta_source", "m1", "m2"), *(none.alias(c) for c in ("b0", "b1", "r0", "r1")), F.lit(True).alias("live"))
+    source = F.struct(*marked("delta_source", "m1", "m2"), *(none.alias(c) for c in LEAST), F.lit(True).alias("live"))
     parts = F.when(F.col("delta_source").isNull(), F.array(mine)).otherwise(F.array(mine, source))
     told = with_tier(rows, segments).select(F.explode(parts).alias("p")).select("p.*")
-    t = told.groupBy("m1", "m2").agg(*(F.min(c).alias(c) for c in ("b0", "b1", "r0", "r1")), F.max(F.col("live").cast("int")).alias("live"))
+    return least_of(told.withColumn("live", F.col("live").cast("int")))
+
+
+def least_of(told: DataFrame) -> DataFrame:
+    return told.groupBy("m1", "m2").agg(*(F.min(c).alias(c) for c in LEAST), F.max("live").alias("live"))
+
+
+def known_hashes(t: DataFrame) -> DataFrame:
+    """``m1, m2, owner, recipe, is_live`` of each hash of :func:`told_hashes` over all entries.
+
+    ``owner`` is the segment of :func:`data_owners`, ``recipe`` that of
+    :func:`delta_owners`. The least committed and the least pending segment are
+    minima of plain numbers.
+    """
     owner = F.coalesce("b0", "b1")
     return t.select("m1", "m2", owner.alias("owner"), F.when(owner.isNull(), F.coalesce("r0", "r1")).alias("recipe"), (F.col("live") == 1).alias("is_live"))
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varve.sources.shared import keep_together, stored
+from varve.sources.shared import keep_together, part_of, stored_parts
 
 #: Width of the address buckets that range joins meet in.
 BUCKET = 64
@@ -132,9 +132,19 @@ def held_pieces(entries: DataFrame, segments: DataFrame) -> DataFrame:
     return pieces.select("volume_id", "segment_id", "entry_idx", "anchor", "at", "n")
 
 
-def rebuilt(entries: DataFrame, segments: DataFrame) -> DataFrame:
+def stored_pieces(entries: DataFrame, segments: DataFrame, parts: int = 1) -> DataFrame:
+    """:func:`held_pieces`, stored in ``parts`` parts of the volumes; a segment and its entries are of one volume."""
+    return stored_parts(lambda k: held_pieces(part_of(entries, k, parts), part_of(segments, k, parts)), parts, "map")
+
+
+def rebuilt(entries: DataFrame, segments: DataFrame, parts: int = 1) -> DataFrame:
     """:func:`rebuild` without hashes, by segment: the pieces are stored once, and join across the edges of buckets."""
-    pieces = stored(held_pieces(entries, segments), "map").repartition("segment_id")
+    return joined(stored_pieces(entries, segments, parts))
+
+
+def joined(pieces: DataFrame) -> DataFrame:
+    """The runs of :func:`held_pieces` without the cuts at the edges of buckets, by segment."""
+    pieces = pieces.repartition("segment_id")
     record = Window.partitionBy("volume_id", "segment_id", "entry_idx", "anchor").orderBy("at")
     fresh = F.coalesce((F.lag(F.col("at") + F.col("n")).over(record) != F.col("at")).cast("int"), F.lit(1))
     islands = pieces.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(record))
@@ -142,7 +152,7 @@ def rebuilt(entries: DataFrame, segments: DataFrame) -> DataFrame:
     return whole.select("volume_id", F.col("at").alias("start_lba"), F.col("n").alias("lba_length"), (F.col("at") - F.col("anchor")).alias("payload_block_offset"), F.col("segment_id").alias("claimant"), "entry_idx")
 
 
-def rebuild(entries: DataFrame, segments: DataFrame) -> DataFrame:
+def rebuild(entries: DataFrame, segments: DataFrame, parts: int = 1) -> DataFrame:
     """The current map of each volume from its segments, in two phases.
 
     First entries of segments without inputs: the highest segment id holds a
@@ -153,7 +163,7 @@ def rebuild(entries: DataFrame, segments: DataFrame) -> DataFrame:
     gathered for it. Canonical entries claim nothing.
     """
     keep_together(entries.sparkSession)
-    whole = rebuilt(entries, segments).withColumn("anchor", F.col("start_lba") - F.col("payload_block_offset"))
+    whole = rebuilt(entries, segments, parts).withColumn("anchor", F.col("start_lba") - F.col("payload_block_offset"))
     named = entries.where("kind not like 'canonical%'").select(F.col("segment_id").alias("claimant"), "volume_id", "entry_idx", F.col("start_lba").alias("anchor"), "hash")
     found = whole.join(named, ["claimant", "volume_id", "entry_idx", "anchor"])
     return found.select("volume_id", "start_lba", "lba_length", "payload_block_offset", "hash", "claimant", "entry_idx")

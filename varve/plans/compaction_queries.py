@@ -9,23 +9,27 @@ from varve.operators import content_index as ci
 from varve.operators import intervals as iv
 from varve.plans import fixtures as fx
 from varve.plans.fixtures import prelude
-from varve.sources.shared import stored
 
 FLOOR = 2000
 NOW = "TIMESTAMP '1996-01-01 00:00:00'"
 
 
 def volmap(s, d):
-    return iv.rebuild(fx.entries(s, d), fx.segments(s, d))
+    return iv.rebuild(fx.entries(s, d), fx.segments(s, d), fx.parts(s, d))
 
 
-def classes(s, d):
-    e, g = fx.entries(s, d), fx.segments(s, d)
-    return gc.classified(e, g, iv.rebuilt(e, g))
+def classes(s, d, then=None):
+    e, g, parts = fx.entries(s, d), fx.segments(s, d), fx.parts(s, d)
+    return gc.classified(e, g, iv.rebuilt(e, g, parts), parts, then)
 
 
 def stats(s, d):
-    return gc.segment_stats(classes(s, d))
+    return classes(s, d, gc.segment_stats)
+
+
+def body_bytes(classes):
+    """Bytes of each segment's bodies, and of those that are not dead."""
+    return classes.groupBy("segment_id").agg(F.sum("stored_length").alias("stored"), F.sum(F.when(~F.col("class").isin(*gc.DEAD), F.col("stored_length")).otherwise(0)).alias("live"))
 
 
 def head(s, d):
@@ -36,7 +40,7 @@ def head(s, d):
 
 def plan(s, d):
     """The plan records of a pass; the classification is used several times and stored once, without its hashes."""
-    found = stored(classes(s, d).drop("hash", "delta_source", "delta_length", "present"), "classes")
+    found = classes(s, d, lambda c: c.drop("hash", "delta_source", "delta_length", "present"))
     return gc.plan_rows(found, gc.candidates(gc.segment_stats(found)))
 
 
@@ -161,7 +165,7 @@ b AS (SELECT t.*, stored_length, greatest(logical_blocks - live_blocks, 0) AS de
 SELECT * FROM b WHERE dead_blocks >= 1 AND dead_ratio >= 0.2 AND stored_length >= 1000""",
     ),
     "a08_body_bytes": (
-        lambda s, d: classes(s, d).groupBy("segment_id").agg(F.sum("stored_length").alias("stored"), F.sum(F.when(~F.col("class").isin(*gc.DEAD), F.col("stored_length")).otherwise(0)).alias("live")),
+        lambda s, d: classes(s, d, body_bytes),
         prelude("classes") + "SELECT segment_id, CAST(sum(stored_length) AS BIGINT) AS stored, CAST(sum(CASE WHEN class NOT IN ('drop', 'drop_and_remove_hash') THEN stored_length ELSE 0 END) AS BIGINT) AS live FROM classes GROUP BY segment_id",
     ),
     "g21_apply_reap_to_head": (
