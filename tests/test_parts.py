@@ -37,3 +37,22 @@ def test_the_classification_is_stored_in_parts(spark, monkeypatch, name):
     monkeypatch.setattr(gc, "stored_parts", counted)
     matches_sql(spark, name)
     assert parts > 1 and made == {(k, parts) for k in range(parts)}
+
+
+def test_a_reap_is_stored_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(fx, "PART_LINES", 2000)
+    made, real = set(), gc.stored_parts
+    monkeypatch.setattr(gc, "stored_parts", lambda make, parts, *more: real(lambda k: made.add(k) or make(k), parts, *more))
+    matches_sql(spark, "g17_reap_apply")
+    assert made == set(range(fx.parts(spark, FOLDER)))
+
+
+def test_a_repack_comes_out_the_same_in_parts(spark, monkeypatch):
+    whole = QUERIES["g14_repack"](spark, FOLDER).toPandas()
+    monkeypatch.setattr(fx, "PART_LINES", 2000)
+    made, real = set(), gc.stored_parts
+    monkeypatch.setattr(gc, "stored_parts", lambda make, parts, *more: real(lambda k: made.add(k) or make(k), parts, *more))
+    parted = QUERIES["g14_repack"](spark, FOLDER).toPandas()
+    assert made == set(range(fx.parts(spark, FOLDER)))
+    rows = lambda frame: sorted(map(tuple, frame.itertuples(index=False)))
+    assert len(whole) and rows(parted) == rows(whole)

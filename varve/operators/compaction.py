@@ -72,7 +72,13 @@ def with_runs(entries: DataFrame, volmap: DataFrame) -> DataFrame:
     return rows.withColumns({"live_blocks": blocks, "runs": F.size("held").cast("long")})
 
 
-def classified(entries: DataFrame, segments: DataFrame, volmap: DataFrame, parts: int = 1, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def known(entries: DataFrame, segments: DataFrame, volmap: DataFrame, parts: int = 1) -> DataFrame:
+    """:func:`content_index.known_hashes` of all entries, stored in parts; ``volmap`` is their map, with or without hashes."""
+    told = lambda k: ci.told_hashes(with_runs(part_of(entries, k, parts), part_of(volmap, k, parts)), part_of(segments, k, parts))
+    return ci.known_hashes(stored_parts(told, parts, "hashes", ci.least_of))
+
+
+def classified(entries: DataFrame, segments: DataFrame, volmap: DataFrame, parts: int = 1, then: Callable[[DataFrame], DataFrame] | None = None, known_hashes: DataFrame | None = None) -> DataFrame:
     """Entries with ``class, emit_canonical, live_blocks, runs, held, keep_cost``; ``volmap`` is the map of these entries, with or without hashes.
 
     What has to be known of a hash is one stored aggregate over the marks of
@@ -83,25 +89,25 @@ def classified(entries: DataFrame, segments: DataFrame, volmap: DataFrame, parts
     Each step is stored in ``parts`` parts of the volumes; a segment and its
     entries are of one volume. With ``then``, which works inside volumes, the
     result is stored in parts too: ``then`` of the classification.
+    ``known_hashes`` are those of :func:`known`, where they are at hand.
     """
-    told = lambda k: ci.told_hashes(with_runs(part_of(entries, k, parts), part_of(volmap, k, parts)), part_of(segments, k, parts))
-    known = ci.known_hashes(stored_parts(told, parts, "hashes", ci.least_of))
+    hashes = known(entries, segments, volmap, parts) if known_hashes is None else known_hashes
 
     def asked(k: int) -> DataFrame:
         asks = part_of(entries, k, parts).where("kind in ('canonical_data', 'delta')").withColumn("about", F.when(F.col("kind") == "delta", F.col("delta_source")).otherwise(F.col("hash")))
         asks = asks.select("volume_id", "segment_id", "entry_idx", *iv.marked("about", "m1", "m2"))
-        return asks.join(known.select("m1", "m2", F.col("is_live").alias("live_asked"), F.col("owner").isNotNull().alias("resolvable")), ["m1", "m2"]).select("volume_id", "segment_id", "entry_idx", "live_asked", "resolvable")
+        return asks.join(hashes.select("m1", "m2", F.col("is_live").alias("live_asked"), F.col("owner").isNotNull().alias("resolvable")), ["m1", "m2"]).select("volume_id", "segment_id", "entry_idx", "live_asked", "resolvable")
 
     answers = stored_parts(asked, parts, "asked")
     if then is None:
-        return fates(entries, volmap, known, answers)
-    return stored_parts(lambda k: then(fates(part_of(entries, k, parts), part_of(volmap, k, parts), known, part_of(answers, k, parts))), parts, "classes")
+        return fates(entries, volmap, hashes, answers)
+    return stored_parts(lambda k: then(fates(part_of(entries, k, parts), part_of(volmap, k, parts), hashes, part_of(answers, k, parts))), parts, "classes")
 
 
-def fates(entries: DataFrame, volmap: DataFrame, known: DataFrame, told: DataFrame) -> DataFrame:
-    """The classification from what is ``known`` of hashes and ``told`` to the entries that ask."""
+def fates(entries: DataFrame, volmap: DataFrame, hashes: DataFrame, told: DataFrame) -> DataFrame:
+    """The classification from what is known of ``hashes`` and ``told`` to the entries that ask."""
     rows = with_runs(entries, volmap)
-    own = known.where("owner is not null or recipe is not null").select(F.coalesce("owner", "recipe").alias("segment_id"), "m1", "m2", F.col("owner").isNull().alias("as_delta"), F.col("is_live").alias("live_own"))
+    own = hashes.where("owner is not null or recipe is not null").select(F.coalesce("owner", "recipe").alias("segment_id"), "m1", "m2", F.col("owner").isNull().alias("as_delta"), F.col("is_live").alias("live_own"))
     rows = rows.withColumn("as_delta", F.col("kind") == "delta").join(own, ["segment_id", "m1", "m2", "as_delta"], "left")
     rows = rows.join(told.drop("volume_id"), ["segment_id", "entry_idx"], "left")
     owns, kind, live = F.col("live_own").isNotNull(), F.col("kind"), F.col("live_blocks")
@@ -190,13 +196,15 @@ def repack_scan(classes: DataFrame, referenced: DataFrame) -> DataFrame:
     Live bytes are those of data and inline entries, in part where an entry is
     dead in part. A segment is all live if every body's hash is referenced,
     wherever the claim is; one journal entry makes it a journal segment.
+    ``referenced`` names hashes, or the marks ``m1, m2`` of hashes.
     """
     c = F.col("class")
     data = F.col("kind").isin("data", "inline")
     whole = c.isin("fully_live", "defer_unresolvable_delta", "demote_to_canonical")
     kept = F.when(whole, F.col("stored_length")).when(c == "partial_death", F.floor(F.col("stored_length") * F.col("live_blocks") / F.col("lba_length"))).otherwise(0)
     count = F.when(whole, 1).when(c == "partial_death", F.col("runs") + F.col("emit_canonical").cast("long")).when(c == "zero_sub_runs", F.col("runs")).otherwise(0)
-    rows = classes.join(referenced.select("hash", F.lit(True).alias("named")), "hash", "left")
+    by = ["hash"] if "hash" in referenced.columns else ["m1", "m2"]
+    rows = classes.withColumns(dict(zip(("m1", "m2"), iv.marked("hash", "m1", "m2"), strict=True))).join(referenced.select(*by, F.lit(True).alias("named")), by, "left")
     bodied = F.col("kind").isin("data", "inline", "canonical_data", "canonical_inline")
     return rows.groupBy("volume_id", "segment_id").agg(
         F.sum(F.when(data, kept).otherwise(0)).cast("long").alias("live_bytes"),
@@ -257,14 +265,20 @@ def plan_rows(classes: DataFrame, entries_of: DataFrame, volmap: DataFrame | Non
     return some.unionByName(dead.select(F.lit("drop").alias("op"), "segment_id", F.lit(-1).cast("long").alias("entry_idx"), *none))
 
 
-def unreachable(entries: DataFrame, segments: DataFrame, volmap: DataFrame, floor: int) -> DataFrame:
-    """Segments above the floor that hold no claim and own no live hash: ``segment_id, entries, journal``."""
-    live = live_hashes(volmap, entries)
-    owners = ci.data_owners(entries, segments)
-    owned = owners.select("hash", "segment_id").unionByName(ci.delta_owners(entries, segments, owners).select("hash", "segment_id")).join(live, "hash", "left_semi")
-    rest = entries.where(F.col("segment_id") > floor).groupBy("segment_id").agg(F.sum((F.col("kind") != "dedup_ref").cast("long")).alias("entries"), F.bool_and("journal").alias("journal"))
-    rest = rest.join(volmap.select(F.col("claimant").alias("segment_id")).distinct(), "segment_id", "left_anti")
-    return rest.join(owned.select("segment_id").distinct(), "segment_id", "left_anti")
+def unreachable(entries: DataFrame, segments: DataFrame, volmap: DataFrame, floor: int, parts: int = 1) -> DataFrame:
+    """Segments above the floor that hold no claim and own no live hash: ``segment_id, entries, journal``.
+
+    Stored in parts of the volumes; ``volmap`` is the map of these entries, with or without hashes.
+    """
+    hashes = known(entries, segments, volmap, parts)
+    owned = hashes.where("is_live").select(F.coalesce("owner", "recipe").alias("segment_id")).distinct()
+
+    def rest(k: int) -> DataFrame:
+        rows = part_of(entries, k, parts).where(F.col("segment_id") > floor).groupBy("segment_id").agg(F.sum((F.col("kind") != "dedup_ref").cast("long")).alias("entries"), F.bool_and("journal").alias("journal"))
+        rows = rows.join(part_of(volmap, k, parts).select(F.col("claimant").alias("segment_id")).distinct(), "segment_id", "left_anti")
+        return rows.join(owned, "segment_id", "left_anti")
+
+    return stored_parts(rest, parts, "unreachable")
 
 
 def above_floor(segments: DataFrame, floors: DataFrame) -> DataFrame:

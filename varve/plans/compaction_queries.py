@@ -23,6 +23,11 @@ def classes(s, d, then=None):
     return gc.classified(e, g, iv.rebuilt(e, g, parts), parts, then)
 
 
+def unreachable(s, d):
+    e, g, parts = fx.entries(s, d), fx.segments(s, d), fx.parts(s, d)
+    return gc.unreachable(e, g, iv.rebuilt(e, g, parts), FLOOR, parts)
+
+
 def stats(s, d):
     return classes(s, d, gc.segment_stats)
 
@@ -99,11 +104,11 @@ SELECT * FROM p UNION ALL SELECT 'drop', segment_id, -1, -1, -1, -1 FROM chosen
         prelude("stats") + f"SELECT volume_id, string_agg(CAST(segment_id AS VARCHAR), ',' ORDER BY segment_id) AS inputs FROM stats WHERE {PAYS} GROUP BY volume_id",
     ),
     "g15_unreachable": (
-        lambda s, d: gc.unreachable(fx.entries(s, d), fx.segments(s, d), volmap(s, d), FLOOR),
+        lambda s, d: unreachable(s, d),
         prelude("live", "owners") + REAP + " SELECT * FROM reap",
     ),
     "g16_reap_cap": (
-        lambda s, d: gc.capped(gc.unreachable(fx.entries(s, d), fx.segments(s, d), volmap(s, d), FLOOR), 2000).select("segment_id", "ahead", "admitted"),
+        lambda s, d: gc.capped(unreachable(s, d), 2000).select("segment_id", "ahead", "admitted"),
         prelude("live", "owners")
         + REAP
         + ", a AS (SELECT *, CAST(coalesce(sum(CASE WHEN journal THEN 0 ELSE entries END) OVER (ORDER BY segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ahead FROM reap) SELECT segment_id, ahead, journal OR ahead < 2000 AS admitted FROM a",
@@ -169,7 +174,7 @@ SELECT * FROM b WHERE dead_blocks >= 1 AND dead_ratio >= 0.2 AND stored_length >
         prelude("classes") + "SELECT segment_id, CAST(sum(stored_length) AS BIGINT) AS stored, CAST(sum(CASE WHEN class NOT IN ('drop', 'drop_and_remove_hash') THEN stored_length ELSE 0 END) AS BIGINT) AS live FROM classes GROUP BY segment_id",
     ),
     "g21_apply_reap_to_head": (
-        lambda s, d: gc.reaped_head(head(s, d), gc.unreachable(fx.entries(s, d), fx.segments(s, d), volmap(s, d), FLOOR)),
+        lambda s, d: gc.reaped_head(head(s, d), unreachable(s, d)),
         prelude("live", "owners")
         + REAP
         + " SELECT volume_id, CASE WHEN segment_id IN (SELECT segment_id FROM reap) OR segment_id % 50 = 7 THEN 'tombstoned' WHEN tier = 'gc' THEN 'superseded' ELSE 'added' END AS section, segment_id FROM segments",

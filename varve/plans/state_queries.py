@@ -112,9 +112,12 @@ def trained(files, size):
 
 def repacked(s, d):
     """What a repack of the pending segments does with each: packed by live bytes, left alone, or merged with the journal."""
-    mine = cq.classes(s, d).join(fx.segments(s, d).where("tier = 'pending'").select("segment_id"), "segment_id", "left_semi")
-    referenced = gc.live_hashes(cq.volmap(s, d), fx.entries(s, d))
-    return gc.repacked(gc.repack_scan(mine, referenced), cap_bytes=100_000, cap_entries=2_000)
+    e, g, parts = fx.entries(s, d), fx.segments(s, d), fx.parts(s, d)
+    held = iv.rebuilt(e, g, parts)
+    known = gc.known(e, g, held, parts)
+    pending, referenced = g.where("tier = 'pending'").select("segment_id"), known.where("is_live").select("m1", "m2")
+    scan = gc.classified(e, g, held, parts, lambda c: gc.repack_scan(c.join(pending, "segment_id", "left_semi"), referenced), known)
+    return gc.repacked(scan, cap_bytes=100_000, cap_entries=2_000)
 
 
 def object_keys(s, d):
@@ -168,8 +171,9 @@ def reap_again(s, d):
     """Segments that an older view would reap, checked against the current one: what is still unreachable goes, the rest is refused."""
     e, g, cut = fx.entries(s, d), fx.segments(s, d), fx.segment_share(s, d, VIEW)
     old_e, old_g = e.where(F.col("segment_id") <= cut), g.where(F.col("segment_id") <= cut)
-    old = gc.unreachable(old_e, old_g, iv.rebuild(old_e, old_g), cq.FLOOR).select("segment_id")
-    now = gc.unreachable(e, g, cq.volmap(s, d), cq.FLOOR).select("segment_id", F.lit("reaped").alias("outcome"))
+    parts = fx.parts(s, d)
+    old = gc.unreachable(old_e, old_g, iv.rebuilt(old_e, old_g, parts), cq.FLOOR, parts).select("segment_id")
+    now = gc.unreachable(e, g, iv.rebuilt(e, g, parts), cq.FLOOR, parts).select("segment_id", F.lit("reaped").alias("outcome"))
     return old.join(now, "segment_id", "left").fillna("refused", ["outcome"])
 
 
