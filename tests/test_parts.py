@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from varve.operators import compaction as gc
+from varve.operators import snapshots as sn
 from varve.plans import fixtures as fx
 from varve.plans.catalog import ORACLE_SQL, QUERIES
 
@@ -56,3 +57,11 @@ def test_a_repack_comes_out_the_same_in_parts(spark, monkeypatch):
     assert made == set(range(fx.parts(spark, FOLDER)))
     rows = lambda frame: sorted(map(tuple, frame.itertuples(index=False)))
     assert len(whole) and rows(parted) == rows(whole)
+
+
+def test_live_volumes_are_opened_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(fx, "PART_LINES", 2000)
+    made, real = set(), sn.stored_parts
+    monkeypatch.setattr(sn, "stored_parts", lambda make, parts, *more: real(lambda k: made.add(k) or make(k), parts, *more))
+    matches_sql(spark, "s14_live_open")
+    assert made == set(range(fx.parts(spark, FOLDER)))

@@ -99,15 +99,22 @@ def marked(column: str, a: str, b: str) -> list[Column]:
     return [F.xxhash64(column).alias(a), F.xxhash64(F.lit("varve"), column).alias(b)]
 
 
-def held_pieces(entries: DataFrame, segments: DataFrame) -> DataFrame:
+def held_pieces(entries: DataFrame, segments: DataFrame, log: DataFrame | None = None) -> DataFrame:
     """``volume_id, segment_id, entry_idx, anchor, at, n``: the runs of :func:`rebuild`, cut at the edges of address buckets.
 
     Claims, not blocks, go to the bucket of their addresses and are spread to
     blocks there. A block's state is the place of its entry and the marks of
-    its hash; the hash itself stays with the entries.
+    its hash; the hash itself stays with the entries. The records of a ``log``
+    with the same columns hold their blocks over all segments, the greatest
+    last, and their pieces are marked ``above``.
     """
     claims = entries.where("kind not like 'canonical%' and lba_length > 0").select("volume_id", "segment_id", "entry_idx", "start_lba", "lba_length", *marked("hash", "m1", "m2"))
     claims = claims.join(segments.select("segment_id", F.when(F.size("inputs") > 0, F.array_max("inputs")).alias("horizon")), "segment_id")
+    if log is not None:
+        over = log.where("lba_length > 0").select("volume_id", "segment_id", "entry_idx", "start_lba", "lba_length", *marked("hash", "m1", "m2"))
+        claims = claims.withColumn("above", F.lit(False)).unionByName(over.withColumn("above", F.lit(True)), allowMissingColumns=True)
+    else:
+        claims = claims.withColumn("above", F.lit(False))
     claims = claims.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_lba") / BUCKET), F.floor((end() - 1) / BUCKET)))).repartition("volume_id", "bucket")
     low, high = F.greatest("start_lba", F.col("bucket") * BUCKET), F.least(end(), (F.col("bucket") + 1) * BUCKET)
     claims = claims.withColumn("lba", F.explode(F.sequence(low, high - 1)))
@@ -115,7 +122,8 @@ def held_pieces(entries: DataFrame, segments: DataFrame) -> DataFrame:
     state = F.struct(*(F.col(c).alias(k) for k, c in names.items()))
     output = F.struct(*(F.col(c).alias(k) for k, c in names.items()), F.col("horizon").alias("z"))
     found = claims.groupBy("volume_id", "bucket", "lba").agg(
-        F.max(F.when(F.col("horizon").isNull(), state)).alias("base"),
+        F.max(F.when(F.col("above"), state)).alias("top"),
+        F.max(F.when(F.col("horizon").isNull() & ~F.col("above"), state)).alias("base"),
         F.array_sort(F.collect_list(F.when(F.col("horizon").isNotNull(), output))).alias("outs"),
     )
 
@@ -124,12 +132,13 @@ def held_pieces(entries: DataFrame, segments: DataFrame) -> DataFrame:
         free = held.isNull() | (held["c"] <= new["z"]) | (held["c"] == new["c"]) | (same & (held["c"] < new["c"]))
         return F.when(free, F.struct(*(new[k].alias(k) for k in names))).otherwise(held)
 
-    won = found.select("volume_id", "bucket", "lba", F.aggregate("outs", F.col("base"), admit).alias("w"))
-    won = won.select("volume_id", "bucket", "lba", F.col("w.c").alias("segment_id"), F.col("w.i").alias("entry_idx"), F.col("w.s").alias("anchor"))
-    inside = Window.partitionBy("volume_id", "bucket", "segment_id", "entry_idx").orderBy("lba")
+    top = F.col("top").isNotNull()
+    won = found.select("volume_id", "bucket", "lba", top.alias("above"), F.when(top, F.col("top")).otherwise(F.aggregate("outs", F.col("base"), admit)).alias("w"))
+    won = won.select("volume_id", "bucket", "lba", "above", F.col("w.c").alias("segment_id"), F.col("w.i").alias("entry_idx"), F.col("w.s").alias("anchor"))
+    inside = Window.partitionBy("volume_id", "bucket", "above", "segment_id", "entry_idx").orderBy("lba")
     islands = won.withColumn("island", F.col("lba") - F.row_number().over(inside))
-    pieces = islands.groupBy("volume_id", "bucket", "segment_id", "entry_idx", "island").agg(F.min("anchor").alias("anchor"), F.min("lba").alias("at"), F.count("*").alias("n"))
-    return pieces.select("volume_id", "segment_id", "entry_idx", "anchor", "at", "n")
+    pieces = islands.groupBy("volume_id", "bucket", "above", "segment_id", "entry_idx", "island").agg(F.min("anchor").alias("anchor"), F.min("lba").alias("at"), F.count("*").alias("n"))
+    return pieces.select("volume_id", "segment_id", "entry_idx", "anchor", "at", "n", *(["above"] if log is not None else []))
 
 
 def stored_pieces(entries: DataFrame, segments: DataFrame, parts: int = 1) -> DataFrame:
