@@ -292,6 +292,20 @@ def test_retention_in_state(spark, tmp_path):
     assert sorted((r.input, r.output, str(r.since)[:10]) for r in found.collect()) == [(1, 10, "2024-01-01"), (2, 12, "2024-01-09"), (3, 13, "2024-01-09"), (4, 14, "2024-01-12")]
 
 
+def test_retention_keeps_neighbours_under_one_key(spark, tmp_path):
+    """Thousands of inputs need a few keys of state, and each still leaves in its own time."""
+    schema = "input long, output long, since timestamp"
+    day = lambda i: "2024-01-01" if i % 3 else "2024-02-01"
+    rows = [(i, i + 7, day(i)) for i in range(5000)] + [(i, i + 9, "2024-02-01") for i in range(1, 5000, 6)]
+    edges = spark.createDataFrame(rows, "input long, output long, since string").withColumn("since", F.to_timestamp("since"))
+    edges.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    found = log.run_to_folder(log.retained(stream, 10), str(tmp_path / "out"), "append")
+    want = [(i, i + 7, "2024-01-01") for i in range(5000) if i % 3 and i % 6 != 1]
+    assert sorted((r.input, r.output, str(r.since)[:10]) for r in found.collect()) == want
+    assert spark.read.format("statestore").load(str(tmp_path / "out" / "checkpoint")).count() == 5
+
+
 def test_a_tick_follows_each_epoch(spark, tmp_path):
     import json
     import time

@@ -114,32 +114,42 @@ def coalesced(wal: DataFrame) -> DataFrame:
     return rows.groupBy("wal_id", "run", "kind").agg(F.min("seq").alias("first_seq"), F.min("start_lba").alias("start_lba"), F.sum("lba_length").alias("lba_length"), F.count("*").alias("writes"), F.sum("data_length").alias("data_length")).drop("run")
 
 
+#: Neighbouring ids that share a key of the retention's state.
+STRETCH = 1024
+
+
 def retained(edges: DataFrame, days: int) -> DataFrame:
     """Superseded inputs as a stream, kept in state for their retention: ``input, output, since`` when it is over.
 
     ``edges (input, output, since)``. The timeout is event time: an input goes
     once the watermark has passed its ``since`` by ``days``; a later output that
-    names it again begins its time anew.
+    names it again begins its time anew. ``STRETCH`` neighbouring inputs share a
+    key, and its timeout is that of the first of them that is due.
     """
+    names, kept_as = ["input", "output", "since"], ["input", "output", "since", "due"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["input", "output", "since"]
-        if state.hasTimedOut:
-            output, since = state.get
+        now = state.getCurrentWatermarkMs()
+        held = pd.DataFrame(dict(zip(kept_as, state.get, strict=True)) if state.exists else {c: [] for c in kept_as}).astype("int64")
+        if not state.hasTimedOut:
+            rows = pd.concat([f[names] for f in frames])
+            rows = rows.assign(since=rows["since"].astype("datetime64[ms]").astype("int64"), due=0)
+            named = rows["input"].unique()
+            # what is held comes first and stays unless an output is later
+            held = pd.concat([held, rows]).sort_values(["input", "output"], ascending=[True, False], kind="stable").drop_duplicates("input").reset_index(drop=True)
+            again = held["input"].isin(named)
+            held.loc[again, "due"] = (held.loc[again, "since"] + days * 86_400_000).clip(lower=now + 1)
+        over = held["due"] < now
+        left = held[~over]
+        if len(left):
+            state.update(tuple(left[c].tolist() for c in kept_as))
+            state.setTimeoutTimestamp(int(left["due"].min()))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame([(key[0], output, pd.Timestamp(since, unit="ms"))], columns=columns)
-            return
-        output, since = state.get if state.exists else (-1, 0)
-        for rows in frames:
-            at = rows["output"].idxmax()
-            if rows["output"][at] > output:
-                output, since = int(rows["output"][at]), int(rows["since"][at].value // 1_000_000)
-        state.update((output, since))
-        state.setTimeoutTimestamp(max(since + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([], columns=columns)
-
-    named = edges.withWatermark("since", "0 seconds").groupBy("input")
-    return named.applyInPandasWithState(step, "input long, output long, since timestamp", "output long, since long", "append", GroupStateTimeout.EventTimeTimeout)
+        yield held.loc[over, names].assign(since=pd.to_datetime(held.loc[over, "since"], unit="ms"))
+
+    named = edges.withWatermark("since", "0 seconds").withColumn("stretch", F.floor(F.col("input") / STRETCH)).groupBy("stretch")
+    return named.applyInPandasWithState(step, "input long, output long, since timestamp", "input array<long>, output array<long>, since array<long>, due array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ticking(records: DataFrame, folder: str, tick, every: str = "2 minutes"):
