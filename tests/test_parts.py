@@ -65,3 +65,11 @@ def test_live_volumes_are_opened_in_parts(spark, monkeypatch):
     monkeypatch.setattr(sn, "stored_parts", lambda make, parts, *more: real(lambda k: made.add(k) or make(k), parts, *more))
     matches_sql(spark, "s14_live_open")
     assert made == set(range(fx.parts(spark, FOLDER)))
+
+
+def test_bloat_is_found_by_marks_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(fx, "PART_LINES", 2000)
+    made, real = set(), gc.stored_parts
+    monkeypatch.setattr(gc, "stored_parts", lambda make, parts, label, *more: real(lambda k: made.add((label, k)) or make(k), parts, label, *more))
+    matches_sql(spark, "a07_bloat_not_packed")
+    assert {k for label, k in made if label == "reached"} == set(range(fx.parts(spark, FOLDER)))

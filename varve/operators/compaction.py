@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from varve.operators import content_index as ci
 from varve.operators import intervals as iv
 from varve.operators import read_path as rp
-from varve.sources.shared import keep_together, part_of, stored_parts
+from varve.sources.shared import keep_together, part_of, stored, stored_parts
 
 #: Bytes and entries of a packed output, share of live bytes below which packing pays, outputs of a pass.
 CAP_BYTES, CAP_ENTRIES, SPARSE, MAX_BUCKETS = 32 << 20, 8192, 0.70, 4
@@ -309,6 +309,41 @@ def bloated(volmap: DataFrame, owners: DataFrame, min_dead: int, min_ratio: floa
     return t.where((F.col("dead_blocks") >= min_dead) & (F.col("dead_ratio") >= min_ratio) & (F.col("stored_length") >= min_bytes))
 
 
+def reached(entries: DataFrame, volmap: DataFrame, parts: int = 1) -> DataFrame:
+    """``m1, m2, live_blocks, logical_blocks`` of each hash that the map claims, by its marks: blocks claimed, and the furthest one.
+
+    Stored in parts of the volumes; ``volmap`` is the map of these entries, with or without hashes.
+    """
+    keep_together(entries.sparkSession)
+    furthest = F.col("payload_block_offset") + F.col("lba_length")
+
+    def part(k: int) -> DataFrame:
+        record = ["segment_id", "volume_id", "entry_idx", "anchor"]
+        runs = part_of(volmap, k, parts).select(F.col("claimant").alias("segment_id"), "volume_id", "entry_idx", (F.col("start_lba") - F.col("payload_block_offset")).alias("anchor"), "lba_length", "payload_block_offset")
+        whose = part_of(entries, k, parts).where("kind not like 'canonical%'").select("segment_id", "volume_id", "entry_idx", F.col("start_lba").alias("anchor"), *iv.marked("hash", "m1", "m2"))
+        return runs.join(whose, record).groupBy("m1", "m2").agg(F.sum("lba_length").alias("live_blocks"), F.max(furthest).alias("logical_blocks"))
+
+    return stored_parts(part, parts, "reached", lambda t: t.groupBy("m1", "m2").agg(F.sum("live_blocks").alias("live_blocks"), F.max("logical_blocks").alias("logical_blocks")))
+
+
+def bloated_elsewhere(entries: DataFrame, reach: DataFrame, hashes: DataFrame, chosen: DataFrame, min_dead: int = 1) -> DataFrame:
+    """``hash, dead_blocks``: what :func:`bloated` finds among bodies of segments that are not ``chosen (segment_id)``.
+
+    ``reach`` and ``hashes`` are those of :func:`reached` and :func:`known`. Bloat is
+    found by marks, and only what is left asks its owner's segment for the hash.
+    """
+    dead = F.greatest(F.col("logical_blocks") - F.col("live_blocks"), F.lit(0))
+    found = reach.select("m1", "m2", dead.alias("dead_blocks")).where(F.col("dead_blocks") >= min_dead)
+    found = found.join(hashes.where("owner is not null").select("m1", "m2", F.col("owner").alias("segment_id")), ["m1", "m2"])
+    found = stored(found.join(chosen.select("segment_id"), "segment_id", "left_anti"), "bloated")
+    bodies = entries.where(F.col("kind").isin(*ci.BODIES) & ~F.col("journal")).select("segment_id", "entry_idx", "kind", "hash")
+    # the segments of what is left are few, so their bodies' hashes move and no others
+    bodies = bodies.join(found.select("segment_id").distinct(), "segment_id", "left_semi")
+    bodies = bodies.withColumns(dict(zip(("m1", "m2"), iv.marked("hash", "m1", "m2"), strict=True)))
+    owners = bodies.join(found, ["segment_id", "m1", "m2"]).groupBy("m1", "m2").agg(F.min(F.struct("entry_idx", "kind", "hash", "dead_blocks")).alias("o"))
+    return owners.where("o.kind <> 'inline'").select("o.hash", "o.dead_blocks")
+
+
 def reclaim_ranges(volmap: DataFrame, ranges: DataFrame) -> DataFrame:
     """Hashes all of whose runs lie inside one of the ranges, with what a rewrite of them carries."""
     right = ranges.select(F.col("start_lba").alias("r_start"), F.col("end_lba").alias("stop"))

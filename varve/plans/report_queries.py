@@ -154,6 +154,16 @@ def waits(s, d):
     return fx.read(s, d, "events").select(F.col("event_type").alias("site"), F.floor(F.abs("value") * 100).cast("long").alias("millis"))
 
 
+def bloat_not_packed(s, d):
+    """Bodies with dead blocks in segments that a pass does not rewrite."""
+    e, g, parts = fx.entries(s, d), fx.segments(s, d), fx.parts(s, d)
+    held = iv.rebuilt(e, g, parts)
+    known = gc.known(e, g, held, parts)
+    reach = gc.reached(e, held, parts)
+    chosen = gc.candidates(gc.classified(e, g, held, parts, gc.segment_stats, known))
+    return gc.bloated_elsewhere(e, reach, known, chosen)
+
+
 QUERIES = {
     "a04_density_census": (
         lambda s, d: re.density_census(aged(s, d)),
@@ -166,7 +176,7 @@ QUERIES = {
         prelude("stats") + f"SELECT count(*) AS candidates, CAST(sum(reclaimable_bytes) AS BIGINT) AS bytes_freed, count(*) FILTER (pool = 'tombstone') AS dead_cleaned FROM stats WHERE {cq.PAYS}",
     ),
     "a07_bloat_not_packed": (
-        lambda s, d: gc.bloated(cq.volmap(s, d), ci.data_owners(fx.entries(s, d), fx.segments(s, d)), 1, 0.0, 0).select("hash", "dead_blocks").join(ci.data_owners(fx.entries(s, d), fx.segments(s, d)).join(gc.candidates(cq.stats(s, d)).select("segment_id"), "segment_id", "left_semi").select("hash"), "hash", "left_anti"),
+        bloat_not_packed,
         prelude("stats")
         + f""", t AS (SELECT hash, greatest(max(payload_block_offset + lba_length) - CAST(sum(lba_length) AS BIGINT), 0) AS dead_blocks FROM volmap GROUP BY hash)
 SELECT t.hash, dead_blocks FROM t JOIN owners o ON o.hash = t.hash AND o.kind <> 'inline' WHERE dead_blocks >= 1 AND o.segment_id NOT IN (SELECT segment_id FROM stats WHERE {cq.PAYS})""",
