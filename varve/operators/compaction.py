@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from varve.operators import content_index as ci
 from varve.operators import intervals as iv
 from varve.operators import read_path as rp
-from varve.sources.shared import keep_together, part_of, stored, stored_parts
+from varve.sources.shared import Scratch, keep_together, part_of, stored, stored_parts
 
 #: Bytes and entries of a packed output, share of live bytes below which packing pays, outputs of a pass.
 CAP_BYTES, CAP_ENTRIES, SPARSE, MAX_BUCKETS = 32 << 20, 8192, 0.70, 4
@@ -246,23 +246,38 @@ def repacked(scan: DataFrame, cap_bytes: int = CAP_BYTES, cap_entries: int = CAP
     return scan.groupBy("volume_id").applyInPandas(pack, "volume_id long, segment_id long, bucket long, action string")
 
 
-def plan_rows(classes: DataFrame, entries_of: DataFrame, volmap: DataFrame | None = None) -> DataFrame:
+def plan_rows(classes: DataFrame, entries_of: DataFrame, volmap: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """Plan records of the chosen segments: keep, canonical, run, zero_split, and drop for a segment without any.
 
     ``op, segment_id, entry_idx, start_lba, lba_length, payload_block_offset``.
     The runs are those that the classification found; ``volmap`` is not read.
+    Columns ``by`` of a segment (its volume) go to its records.
     """
+    by = by or []
     chosen = classes.join(entries_of.select("segment_id"), "segment_id", "left_semi")
     none = [F.lit(-1).cast("long").alias(c) for c in ("start_lba", "lba_length", "payload_block_offset")]
-    keep = chosen.where(F.col("class").isin("fully_live", "defer_unresolvable_delta")).select(F.lit("keep").alias("op"), "segment_id", "entry_idx", *none)
-    canonical = chosen.where((F.col("class") == "demote_to_canonical") | F.col("emit_canonical")).select(F.lit("canonical").alias("op"), "segment_id", "entry_idx", *none)
+    keep = chosen.where(F.col("class").isin("fully_live", "defer_unresolvable_delta")).select(F.lit("keep").alias("op"), *by, "segment_id", "entry_idx", *none)
+    canonical = chosen.where((F.col("class") == "demote_to_canonical") | F.col("emit_canonical")).select(F.lit("canonical").alias("op"), *by, "segment_id", "entry_idx", *none)
     split = chosen.where(F.col("class").isin("partial_death", "zero_sub_runs"))
-    runs = split.select("segment_id", "entry_idx", "class", F.col("start_lba").alias("own_start"), F.inline("held"))
+    runs = split.select(*by, "segment_id", "entry_idx", "class", F.col("start_lba").alias("own_start"), F.inline("held"))
     op = F.when(F.col("class") == "zero_sub_runs", "zero_split").otherwise("run")
-    runs = runs.select(op.alias("op"), "segment_id", "entry_idx", F.col("run_start").alias("start_lba"), F.col("run_length").alias("lba_length"), (F.col("run_start") - F.col("own_start")).alias("payload_block_offset"))
+    runs = runs.select(op.alias("op"), *by, "segment_id", "entry_idx", F.col("run_start").alias("start_lba"), F.col("run_length").alias("lba_length"), (F.col("run_start") - F.col("own_start")).alias("payload_block_offset"))
     some = iv.union_all(keep, canonical, runs)
-    dead = chosen.select("segment_id").distinct().join(some.select("segment_id"), "segment_id", "left_anti")
-    return some.unionByName(dead.select(F.lit("drop").alias("op"), "segment_id", F.lit(-1).cast("long").alias("entry_idx"), *none))
+    dead = chosen.select(*by, "segment_id").distinct().join(some.select("segment_id"), "segment_id", "left_anti")
+    return some.unionByName(dead.select(F.lit("drop").alias("op"), *by, "segment_id", F.lit(-1).cast("long").alias("entry_idx"), *none))
+
+
+def planned(entries: DataFrame, segments: DataFrame, volmap: DataFrame, parts: int = 1, known_hashes: DataFrame | None = None) -> DataFrame:
+    """The plan of a pass, with ``volume_id``, stored in parts of the volumes; the classification of one part is stored at a time, without its hashes."""
+    scratch = Scratch(entries.sparkSession, "classes")
+
+    def plan(classes: DataFrame) -> DataFrame:
+        found = scratch.store(classes.drop("hash", "delta_source", "delta_length", "present"))
+        return plan_rows(found, candidates(segment_stats(found)), by=["volume_id"])
+
+    whole = classified(entries, segments, volmap, parts, plan, known_hashes)
+    scratch.clear()
+    return whole
 
 
 def unreachable(entries: DataFrame, segments: DataFrame, volmap: DataFrame, floor: int, parts: int = 1) -> DataFrame:

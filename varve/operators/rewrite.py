@@ -9,10 +9,12 @@ the plan was made from.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varve.operators import intervals as iv
+from varve.operators import snapshots as sn
+from varve.sources.shared import Scratch, keep_together, part_of, stored_parts
 
 #: Output ids lie above all inputs: an input's own id and this.
 FRESH = 1_000_000_000
@@ -90,3 +92,58 @@ def applied_owners(owners: DataFrame, outputs: DataFrame, inputs: DataFrame) ->
     change = F.when(F.col("old").isNull(), "new").when(F.coalesce(taken, F.lit(False)), "rekeyed").when(F.col("consumed") & F.col("by").isNull(), "removed").when(F.col("consumed"), "taken").otherwise("kept")
     owner = F.when(change == "rekeyed", own_output).when(change.isin("new", "taken"), F.col("least")).when(change == "removed", F.lit(-1).cast("long")).otherwise(F.col("old"))
     return met.select("hash", owner.alias("owner"), change.alias("change"))
+
+
+def accepted_in_place(outputs: DataFrame) -> DataFrame:
+    """:func:`accepted` where the outputs of an input lie together: they are made once."""
+    bad = F.max(F.col("state") != "ok").over(Window.partitionBy("segment_id"))
+    return outputs.withColumn("bad", bad).where("not bad").drop("bad")
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    """``rows`` with a segment and a volume, which all that meets by them has; said of every use, so that one dealing out serves all."""
+    return rows.where("segment_id is not null and volume_id is not null")
+
+
+def live_after(entries: DataFrame, segments: DataFrame, wal: DataFrame, plan: DataFrame, bodies: DataFrame, zero_hash: str, parts: int = 1) -> DataFrame:
+    """:func:`applied_blocks` of the live volumes and the accepted outputs of ``plan``, without ``start_lba``.
+
+    Outputs meet the map's pieces by segment, in ``parts`` parts of the volumes
+    (``plan`` and ``bodies`` have ``volume_id``). What is stored of a part is a
+    row for each piece and hash, with the hash as bytes and the blocks as places
+    in an address bucket; blocks come apart when the result is read.
+    """
+    spark = entries.sparkSession
+    keep_together(spark)
+    log = wal.withColumnRenamed("wal_id", "segment_id").withColumnRenamed("seq", "entry_idx")
+    record = ["segment_id", "volume_id", "entry_idx", "anchor"]
+    scratch = Scratch(spark, "live")
+    stop = F.col("at") + F.col("n")
+
+    def told(k: int) -> DataFrame:
+        own, lines = whole(part_of(entries, k, parts)), part_of(log, k, parts)
+        pieces = scratch.store(iv.held_pieces(own, part_of(segments, k, parts), lines))
+        outputs = accepted_in_place(materialised(part_of(plan, k, parts).drop("volume_id"), own, whole(part_of(bodies, k, parts)), zero_hash)).where("lba_length > 0")
+        first, last = F.floor(F.col("start_lba") / iv.BUCKET), F.floor((iv.end() - 1) / iv.BUCKET)
+        claims = outputs.select("segment_id", F.explode(F.sequence(first, last)).alias("bucket"), F.col("start_lba").alias("a"), iv.end().alias("b"), "output_id", F.col("hash").alias("new_hash"))
+        below = own.where("kind not like 'canonical%'").select("segment_id", "volume_id", "entry_idx", F.col("start_lba").alias("anchor"), "hash")
+        held = pieces.where("not above").join(below, record).withColumn("bucket", F.floor(F.col("at") / iv.BUCKET))
+        # a piece lies in one bucket, so that it meets an output's claim once
+        p, c = held.alias("p"), claims.alias("c")
+        met = p.join(c, (F.col("p.segment_id") == F.col("c.segment_id")) & (F.col("p.bucket") == F.col("c.bucket")) & (F.col("a") < stop) & (F.col("at") < F.col("b")), "left")
+        places = lambda low, high: F.transform(F.sequence(low, high - 1), lambda x: (x % iv.BUCKET).cast("tinyint"))
+        new = F.struct(F.col("output_id").alias("claimant"), F.col("new_hash").alias("hash"), F.lit(True).alias("moved"), places(F.greatest("at", "a"), F.least(stop, F.col("b"))).alias("places"))
+        met = met.groupBy(*(F.col(f"p.{x}") for x in (*record, "at", "n", "bucket"))).agg(F.first("p.hash").alias("hash"), F.collect_list(F.when(F.col("output_id").isNotNull(), new)).alias("moves"))
+        rest = F.array_except(places(F.col("at"), stop), F.flatten(F.col("moves.places")))
+        old = F.struct(F.col("segment_id").alias("claimant"), "hash", F.lit(False).alias("moved"), rest.alias("places"))
+        ours = met.select("volume_id", "bucket", F.lit("segment").alias("source"), F.inline(F.concat("moves", F.array(old)))).where("size(places) > 0")
+        above = lines.groupBy("segment_id", "volume_id", "entry_idx", F.col("start_lba").alias("anchor")).agg(F.max("hash").alias("hash"))
+        over = pieces.where("above").join(above, record)
+        over = over.select("volume_id", F.floor(F.col("at") / iv.BUCKET).alias("bucket"), F.lit("wal").alias("source"), F.col("segment_id").alias("claimant"), "hash", F.lit(False).alias("moved"), places(F.col("at"), stop).alias("places"))
+        both = ours.unionByName(over)
+        return both.select("volume_id", "bucket", "source", "claimant", *sn.packed("hash"), "moved", "places")
+
+    found = stored_parts(told, parts, "applied")
+    scratch.clear()
+    blocks = found.select("volume_id", "bucket", "source", "claimant", sn.unpacked().alias("hash"), "moved", F.explode("places").alias("place"))
+    return blocks.select("volume_id", (F.col("bucket") * iv.BUCKET + F.col("place")).alias("lba"), "source", "claimant", "hash", "moved")
