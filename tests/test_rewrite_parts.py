@@ -12,7 +12,7 @@ from tests.test_parts import FOLDER, matches_sql
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the driver's tables are not here")
 
 
-@pytest.mark.parametrize(("name", "label"), [("g13_apply", "applied")])
+@pytest.mark.parametrize(("name", "label"), [("g13_apply", "applied"), ("g13_apply_owners", "owners")])
 def test_a_pass_is_applied_in_parts(spark, monkeypatch, name, label):
     monkeypatch.setattr(fx, "PART_LINES", 2000)
     made, real = set(), rw.stored_parts

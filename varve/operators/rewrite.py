@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varve.operators import content_index as ci
 from varve.operators import intervals as iv
 from varve.operators import snapshots as sn
 from varve.sources.shared import Scratch, keep_together, part_of, stored_parts
@@ -147,3 +148,41 @@ def live_after(entries: DataFrame, segments: DataFrame, wal: DataFrame, plan: Da
     scratch.clear()
     blocks = found.select("volume_id", "bucket", "source", "claimant", sn.unpacked().alias("hash"), "moved", F.explode("places").alias("place"))
     return blocks.select("volume_id", (F.col("bucket") * iv.BUCKET + F.col("place")).alias("lba"), "source", "claimant", "hash", "moved")
+
+
+def owners_after(entries: DataFrame, known: DataFrame, plan: DataFrame, bodies: DataFrame, zero_hash: str, parts: int = 1) -> DataFrame:
+    """:func:`applied_owners` of all hashes and the accepted outputs of ``plan``.
+
+    ``known`` are the hashes of :func:`varve.operators.compaction.known`. A segment's
+    owned and carried hashes are told where its entries lie, in ``parts`` parts
+    of the volumes (``plan`` and ``bodies`` have ``volume_id``); each part is
+    stored as one row for each hash, with the hash as bytes.
+    """
+    spark = entries.sparkSession
+    keep_together(spark)
+    keys = ["short", "long"]
+    owner = known.where("owner is not null").select(F.col("owner").alias("segment_id"), "m1", "m2", F.lit(True).alias("own"))
+    scratch = Scratch(spark, "carried")
+
+    def least_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.max("old").alias("old"), F.max("consumed").alias("consumed"), F.min("least").alias("least"), F.max("taken").alias("taken"))
+
+    def told(k: int) -> DataFrame:
+        own, records = whole(part_of(entries, k, parts)), part_of(plan, k, parts).drop("volume_id")
+        outputs = accepted_in_place(materialised(records, own, whole(part_of(bodies, k, parts)), zero_hash))
+        outputs = scratch.store(outputs.select("segment_id", "output_id", F.col("kind").isin(*CARRIED).alias("carries"), *iv.marked("hash", "m1", "m2"), *sn.packed("hash")))
+        inputs = outputs.select("segment_id").union(records.where("op = 'drop'").select("segment_id")).distinct().withColumn("consumed", F.lit(True))
+        named = own.where(F.col("kind").isin(*ci.BODIES) & ~F.col("journal")).select("segment_id", *sn.packed("hash"), *iv.marked("hash", "m1", "m2"))
+        named = named.join(owner, ["segment_id", "m1", "m2"]).join(inputs, "segment_id", "left")
+        none = lambda kind: F.lit(None).cast(kind)
+        named = named.select(*keys, F.col("segment_id").alias("old"), F.coalesce("consumed", F.lit(False)).alias("consumed"), none("long").alias("least"), none("boolean").alias("taken"))
+        carried = outputs.where("carries").join(owner, ["segment_id", "m1", "m2"], "left")
+        carried = carried.select(*keys, none("long").alias("old"), none("boolean").alias("consumed"), F.col("output_id").alias("least"), F.coalesce("own", F.lit(False)).alias("taken"))
+        return least_of(named.unionByName(carried))
+
+    met = stored_parts(told, parts, "owners")
+    scratch.clear()
+    met = met if parts == 1 else least_of(met)
+    change = F.when(F.col("old").isNull(), "new").when(F.col("taken"), "rekeyed").when(F.col("consumed") & F.col("least").isNull(), "removed").when(F.col("consumed"), "taken").otherwise("kept")
+    owner_now = F.when(F.col("change") == "rekeyed", F.col("old") + FRESH).when(F.col("change").isin("new", "taken"), F.col("least")).when(F.col("change") == "removed", F.lit(-1).cast("long")).otherwise(F.col("old"))
+    return met.withColumn("change", change).select(sn.unpacked().alias("hash"), owner_now.alias("owner"), "change")
